@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedweave.llm.mixing import plan, realise
+from feedweave.llm.quality import quality
 from feedweave.llm.sharding import interleave
 from feedweave.llm.simhash import simhash
 
@@ -15,18 +17,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, sources = plan(read(spark, sf_dir, "documents"))
+    return realise(rows, sources)
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = interleave(read(spark, sf_dir, "documents"), 24, payload=["doc_id"])
     return found.select("doc_id", (F.col("_bytes") + 8).alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_temperature_mix": op4_temperature_mix,
     "op5_simhash_trie": op5_simhash_trie,
+    "op6_quality_rules": op6_quality_rules,
     "op7_interleaved_shards": op7_interleaved_shards,
 }
 

@@ -12,9 +12,10 @@ from feedweave.llm.common import cut, id_text
 BIN_ROWS = 2048
 
 
-def shuffle_key(column: str, seed: int) -> Column:
+def shuffle_key(column: str, seed: int, block: Column | None = None) -> Column:
     """A seeded number below 2**60 from an id; equal in any SQL engine with MD5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_text(column)).cast("binary")), 1, 15), 16, 10).cast("long")
+    salt = [F.lit(f"{seed}:")] if block is None else [F.lit(f"{seed}:"), block.cast("string"), F.lit(":")]
+    return F.conv(F.substring(F.md5(F.concat(*salt, id_text(column)).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def ranked(rows: DataFrame, group: list[str], position: Column, bins: int, order: list[Column], rank: str, total: str) -> DataFrame:
