@@ -11,6 +11,7 @@ from feedweave.llm.mixing import plan, realise
 from feedweave.llm.quality import quality
 from feedweave.llm.sharding import interleave
 from feedweave.llm.simhash import simhash
+from feedweave.llm.warc import archive_path, read_archive, write_archive
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +38,27 @@ def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("_bytes") + 8).alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = archive_path(spark)
+    write_archive(read(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_temperature_mix": op4_temperature_mix,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_quality_rules": op6_quality_rules,
     "op7_interleaved_shards": op7_interleaved_shards,
+    "op10_warc_segments": op10_warc_segments,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc_segments": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        q as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha1(body) as payload_digest,
+                     max(page_id) over (partition by body) as last from p)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes < 1000 or last is null or page_id = last then 'response' else 'revisit' end as record_type,
+               case when payload_bytes < 1000 or last is null or page_id = last then null else last end as refers_to
+        from q""",
+}
