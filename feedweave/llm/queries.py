@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedweave.llm.common import fold
+from feedweave.llm.langid import identify, train
+from feedweave.llm.lm import score
 from feedweave.llm.mixing import plan, realise
 from feedweave.llm.quality import quality
 from feedweave.llm.sharding import interleave
@@ -18,6 +21,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_logbilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
+    return score(docs, docs.where("not held_out"), keep=["doc_id", "held_out"])
+
+
+def op2_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
+    return identify(docs, train(docs.where("not held_out")), keep=["doc_id", "held_out"])
+
+
 def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources = plan(read(spark, sf_dir, "documents"))
     return realise(rows, sources)
@@ -45,6 +58,8 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_logbilinear_lm": op1_logbilinear_lm,
+    "op2_naive_bayes_langid": op2_naive_bayes_langid,
     "op4_temperature_mix": op4_temperature_mix,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_quality_rules": op6_quality_rules,
