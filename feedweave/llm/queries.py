@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.llm.common import fold
+from feedweave.llm.decontam import contaminated
 from feedweave.llm.langid import identify, train
 from feedweave.llm.lm import score
 from feedweave.llm.mixing import plan, realise
@@ -31,6 +32,10 @@ def op2_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where("not held_out")), keep=["doc_id", "held_out"])
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources = plan(read(spark, sf_dir, "documents"))
     return realise(rows, sources)
@@ -60,6 +65,7 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_logbilinear_lm": op1_logbilinear_lm,
     "op2_naive_bayes_langid": op2_naive_bayes_langid,
+    "op3_latent_decontamination": op3_latent_decontamination,
     "op4_temperature_mix": op4_temperature_mix,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_quality_rules": op6_quality_rules,
