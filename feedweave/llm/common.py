@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,3 +120,29 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
         small = large.join(least, "u")
         now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``most`` bytes, with the place of the first."""
+    texts = [t or b"" for t in batch.column("_text").to_pylist()]
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and their inverses."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 21)
+        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, back)]
+    return _powers[0], _powers[1]

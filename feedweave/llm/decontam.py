@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import slices, table
+from feedweave.llm.common import parts, powers, slices, table
 
 #: Hashed terms; a passage is two blocks of BLOCK words; latent dimensions.
 TERMS, BLOCK, RANK = 1 << 17, 16, 128
@@ -26,17 +26,6 @@ LEAST_SHARE, LEAST_COSINE = 0.45, 0.55
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = []
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and their inverses."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, back)]
-    return _powers[0], _powers[1]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +38,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = data != 32
     turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     first, last = turns[::2], turns[1::2]
-    up, down = _power_table(len(data))
+    up, down = powers(len(data))
     sums = np.cumsum(data * up[: len(data)], dtype=np.uint64)
     h = (sums[last - 1] - sums[first - 1]) * down[first]
     h ^= h >> np.uint64(32)
@@ -70,19 +59,6 @@ def blocks(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out.reshape(-1, BLOCK), begin
 
 
-def parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about ``most`` bytes, with the place of the first."""
-    texts = [t or b"" for t in batch.column("_text").to_pylist()]
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, texts[first:i]
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
-
-
 def term_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Inverse document frequency of each hashed term over all blocks of all texts."""
 

@@ -15,6 +15,7 @@ from feedweave.llm.mixing import plan, realise
 from feedweave.llm.quality import quality
 from feedweave.llm.sharding import interleave
 from feedweave.llm.simhash import simhash
+from feedweave.llm.suffix import remove_repeats
 from feedweave.llm.warc import archive_path, read_archive, write_archive
 
 
@@ -56,6 +57,11 @@ def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("_bytes") + 8).alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read(spark, sf_dir, "documents"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archive_path(spark)
     write_archive(read(spark, sf_dir, "pages"), path)
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_trie": op5_simhash_trie,
     "op6_quality_rules": op6_quality_rules,
     "op7_interleaved_shards": op7_interleaved_shards,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_warc_segments": op10_warc_segments,
 }
 
