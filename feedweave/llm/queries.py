@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedweave.llm.common import fold
 from feedweave.llm.decontam import contaminated
 from feedweave.llm.langid import identify, train
+from feedweave.llm.lines import line_duplicates
 from feedweave.llm.lm import score
 from feedweave.llm.mixing import plan, realise
 from feedweave.llm.quality import quality
@@ -62,6 +63,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archive_path(spark)
     write_archive(read(spark, sf_dir, "pages"), path)
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_interleaved_shards": op7_interleaved_shards,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_line_edit_join": op9_line_edit_join,
     "op10_warc_segments": op10_warc_segments,
 }
 
