@@ -335,7 +335,7 @@ def _mark(docs: DataFrame, ix: Index, text: str) -> DataFrame:
     """The rows in whose text no passage is found."""
     shared = docs.sparkSession.sparkContext.broadcast(ix)
 
-    def holds(texts):
+    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ix = shared.value
         for series in texts:
             out = np.zeros(len(series), bool)
@@ -345,5 +345,5 @@ def _mark(docs: DataFrame, ix: Index, text: str) -> DataFrame:
                     out[first + t] = True
             yield pd.Series(out)
 
-    udf = F.pandas_udf(holds, "boolean", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(holds, "boolean")
     return docs.where(~udf(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))

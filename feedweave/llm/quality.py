@@ -202,9 +202,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", id_c
     return cut(features(statistics(joined, "_text", ["bad", "pruning"]))).where(~failed())
 
 
-def failed() -> Column:
+def failed(least_words: int = 50) -> Column:
     """Too few words, or too many in repeated windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -219,3 +219,15 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     judged = features(statistics(docs, text, keep or [id_col]))
     judged = judged.withColumn("base_failed", failed()).withColumn("rule", F.when(~F.col("base_failed"), decision(rules)))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", least_words: int = 1) -> DataFrame:
+    """The rows of ``docs``, all columns, that no rule rejects.
+
+    As :func:`quality` judges, but a short text is not rejected for that alone;
+    one without a word is. Rows are judged each by its own text.
+    """
+    rules = learn(labelled_sample(docs, labels, text, id_col))
+    everything = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    judged = features(statistics(docs.select(everything, F.col(text).alias("_text")), "_text", ["_row"]))
+    return judged.where(~failed(least_words) & decision(rules).isNull()).select("_row.*")
