@@ -15,11 +15,14 @@ from feedweave.llm.common import cut, parts, powers, slices, spread_join
 
 #: Anchors are substrings of this many bytes.
 GRAM = 40
-#: Bits of the filter of repeated anchors: 16 a key, up to 2**FILTER_BITS (32 MB).
-#: A full filter only lets more rows through; it never loses one.
+#: Bits of the filters that thin out rows before a shuffle: 16 for each hash in
+#: them, up to 2**FILTER_BITS (32 MB). A full one lets more rows through, and never
+#: loses one.
 FILTER_BITS = 28
-#: An anchor is hot if it has over 1/HOT of all runs, so there are under HOT hot ones.
-HOT, PIECE = 4096, 8
+#: An anchor is hot if over 1/HOT of all different segments have it, so there are
+#: under HOT hot ones; its windows are dealt by their distance from it, PIECE by PIECE.
+#: Anchors of up to LEAST_HOT segments are never hot.
+HOT, LEAST_HOT, PIECE = 4096, 1000, 8
 #: Windows that are sorted at a time.
 CHUNK = 100_000
 
@@ -60,8 +63,30 @@ def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     return text[new], start[new] - begin[text[new]], count, at[new] - start[new], h[at[new]]
 
 
-def repeated_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """Hashes that are the anchor of several runs, with their number; the number of all runs."""
+class Filter:
+    """A bitmap by the leading bits of 64-bit hashes."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        self.bits, n = 16, hashes.count()
+        while self.bits < FILTER_BITS and 1 << self.bits < 16 * n:
+            self.bits += 1
+        place = f"shiftrightunsigned({column}, {64 - self.bits})"
+        bit = F.expr(f"shiftleft(1L, cast({place} & 63 as int))")
+        words = hashes.groupBy(F.expr(f"shiftright({place}, 6)").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+        self.words = np.zeros(1 << self.bits - 6, np.uint64)
+        self.words[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
+
+    def __contains__(self, h: int) -> bool:
+        at = h >> 64 - self.bits
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return np.flatnonzero(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+
+
+def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
+    """Hashes that are the anchor of several runs."""
 
     def run(batches):
         for batch in slices(batches, "_text"):
@@ -70,45 +95,47 @@ def repeated_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
     counted = docs.select("_text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    marked = cut(counted.where("n > 1"))
-    return marked, marked.agg(F.sum("n")).first()[0] or 0
+    return cut(counted.where("n > 1").select("key"))
 
 
-def anchor_filter(marked: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bitmap by the leading bits of the repeated hashes, and the hot hashes."""
-    bits = 16
-    keys = marked.count()
-    while bits < FILTER_BITS and 1 << bits < 16 * keys:
-        bits += 1
-    place = F.shiftrightunsigned("key", 64 - bits)
-    words = marked.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")).alias("b")).toPandas()
-    bitmap = np.zeros(1 << bits - 6, np.uint64)
-    bitmap[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    hot = [r["key"] for r in marked.where(F.col("n") > max(1000, total // HOT)).select("key").collect()]
-    return bitmap, np.sort(np.array(hot, np.int64).view(np.uint64))
+def segments(batch: pa.RecordBatch, least: int, anchors: Filter) -> Iterator[tuple[int, int, int, int, int, bytes, bytes, int]]:
+    """(row, place, key, windows, ahead, bytes, digest, first) of the runs whose anchor may
+    be repeated; ``first`` orders runs by document rank and place."""
+    ranks = batch.column("_rank").to_pylist()
+    for begin, texts in parts(batch):
+        text, place, count, ahead, key = runs(texts, least)
+        some = anchors.hits(key)
+        for t, p, c, a, k in zip(*(x[some].tolist() for x in (text, place, count, ahead, key.view(np.int64)))):
+            body = texts[t][p : p + c - 1 + least]
+            yield begin + t, p, k, c, a, body, xxhash.xxh3_128_digest(body), (ranks[begin + t] + (1 << 63) << 32) + p
 
 
-def segments(texts: list[bytes], least: int, bitmap: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    """(text, place, key, bytes) of the runs whose anchor may be repeated.
+def tag(digest: bytes, first: int) -> int:
+    """Names one occurrence of a segment."""
+    return xxhash.xxh64_intdigest(b"%b%d" % (digest, first))
 
-    The runs of a hot anchor are cut by the windows' distance from it, so that
-    they meet in many tasks; equal windows still meet.
-    """
-    text, place, count, ahead, key = runs(texts, least)
-    shift = np.uint64(64 - int(len(bitmap) * 64 - 1).bit_length())
-    bit = key >> shift
-    some = np.flatnonzero(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
-    warm = np.isin(key[some], hot) if len(hot) else np.zeros(len(some), bool)
-    for t, p, c, a, k, w in zip(text[some].tolist(), place[some].tolist(), count[some].tolist(), ahead[some].tolist(), key[some].view(np.int64).tolist(), warm.tolist()):
-        if not w:
-            yield t, p, k, texts[t][p : p + c - 1 + least]
-            continue
-        at = 0
-        while at < c:
-            piece = (a - at) // PIECE
-            n = min(c - at, a - at - piece * PIECE + 1)
-            yield t, p + at, xxhash.xxh64_intdigest(b"%d %d" % (k, piece)) - (1 << 63), texts[t][p + at : p + at + n - 1 + least]
-            at += n
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def segment_kinds(docs: DataFrame, least: int, anchors: Filter) -> DataFrame:
+    """Different segments by anchor and digest: their number, size and first occurrence."""
+    shared = docs.sparkSession.sparkContext.broadcast(anchors)
+
+    def run(batches):
+        for batch in slices(batches, "_text"):
+            seen: dict[tuple[int, bytes], list] = {}
+            for _, _, k, c, a, _, digest, first in segments(batch, least, shared.value):
+                x = seen.setdefault((k, digest), [0, first, c, a])
+                x[0] += 1
+                x[1] = min(x[1], first)
+            columns = [[k for k, _ in seen], [d for _, d in seen], *([x[n] for x in seen.values()] for n in (0, 2, 3)), [b"%032x" % x[1] for x in seen.values()], [signed(tag(d, x[1])) for (_, d), x in seen.items()]]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "digest", "n", "windows", "ahead", "first", "tag"])
+
+    rows = docs.select("_rank", "_text").mapInArrow(run, "key bigint, digest binary, n bigint, windows int, ahead int, first binary, tag bigint")
+    return rows.groupBy("key", "digest", "windows", "ahead").agg(F.sum("n").alias("n"), F.min(F.struct("first", "tag")).alias("x")).select("key", "digest", "windows", "ahead", "n", "x.first", "x.tag")
 
 
 def suffix_runs(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,98 +167,125 @@ def previous_factors(order: np.ndarray, begins: np.ndarray, position: np.ndarray
     return again, earliest
 
 
-def _folded(batches, least: int) -> Iterator[list[tuple]]:
-    """Chunks of whole groups from rows sorted by key and digest."""
+def _folded(batches, least: int) -> Iterator[list[list]]:
+    """Chunks of whole groups from rows sorted by key, piece and digest: [group,
+    digest, n, first, offset, bytes] for each segment or piece of one."""
     group: list[list] = []
     chunk: list[list] = []
     size = 0
     for batch in batches:
-        for key, digest, n, first, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if group and group[-1][0] == key and group[-1][1] == digest:
-                group[-1][2] += n
-                group[-1][3] = min(group[-1][3], first)
+        for key, piece, digest, n, first, offset, body in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            if group and group[-1][0] == (key, piece) and group[-1][1] == digest:
+                x = group[-1]
+                x[2], x[3], x[4], x[5] = (x[2] or n), (x[3] or first), (x[4] if body is None else offset), (x[5] or body)
                 continue
-            if group and group[-1][0] != key:
+            if group and group[-1][0] != (key, piece):
                 chunk += group
-                size += sum(len(x[4]) - least + 1 for x in group) if len(group) > 1 else 0
+                size += sum(len(x[5] or b"") for x in group)
                 group = []
                 if size > CHUNK:
                     yield chunk
                     chunk, size = [], 0
-            group.append([key, digest, n, first, body])
+            group.append([(key, piece), digest, n, first, offset, body])
     yield chunk + group
 
 
-def repeated_segments(docs: DataFrame, least: int, bitmap: np.ndarray, hot: np.ndarray) -> DataFrame:
+def repeated_segments(docs: DataFrame, least: int, anchors: Filter) -> DataFrame:
     """``digest``, ``low``, ``high``, ``owner``, ``origin``: of the segment with that digest
     the bytes from ``low`` to ``high`` occur again; the first time in the document of
-    rank ``owner``, whose segment starts at ``origin``."""
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot))
+    rank ``owner``, where the segment would start at ``origin``.
 
-    def cutter(batches):
+    Of an anchor whose segments are all equal that is the whole segment. Else one
+    occurrence of each different segment is sent to where they are compared.
+    """
+    kinds = cut(segment_kinds(docs, least, anchors))
+    by_key = cut(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    several = cut(kinds.join(by_key, "key"))
+    spots = Filter(several, "tag")
+    bar = max(LEAST_HOT, several.count() // HOT)
+    hot = {r["key"] for r in by_key.where(F.col("kinds") > bar).select("key").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast((anchors, spots, hot))
+
+    def sender(batches):
+        anchors, spots, hot = shared.value
         for batch in slices(batches, "_text"):
-            ranks = batch.column("_rank").to_pylist()
-            for begin, texts in parts(batch):
-                seen: dict[tuple[int, bytes], list] = {}
-                for t, p, k, body in segments(texts, least, *shared.value):
-                    first = ranks[begin + t] + (1 << 63) << 32 | p
-                    x = seen.setdefault((k, body), [0, first])
-                    x[0] += 1
-                    x[1] = min(x[1], first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in seen], pa.int64()), pa.array([xxhash.xxh3_128_digest(b) for _, b in seen], pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([b"%032x" % x[1] for x in seen.values()], pa.binary()), pa.array([b for _, b in seen], pa.binary())],
-                    names=["key", "digest", "n", "first", "body"],
-                )
+            out = []
+            for _, _, k, c, a, body, digest, first in segments(batch, least, anchors):
+                if tag(digest, first) in spots:
+                    out += [(k, j, digest, at, body[at : at + n - 1 + least]) for j, at, n in pieces(c, a, k in hot)]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], t) for n, t in enumerate(kinds)], names=["key", "piece", "digest", "offset", "body"])
 
     def judge(batches):
         for chunk in _folded(batches, least):
-            out: list[tuple] = []
-            keys = [x[0] for x in chunk]
-            alone = [(k == 0 or keys[k - 1] != keys[k]) and (k == len(keys) - 1 or keys[k + 1] != keys[k]) for k in range(len(keys))]
-            out += [(x[1], 0, len(x[4]), int(x[3], 16)) for x, one in zip(chunk, alone) if one and x[2] > 1]
-            several = [x for x, one in zip(chunk, alone) if not one]
-            if several:
-                out += _compare(several, least)
+            # an occurrence let through by chance has no count; its segment is another row
+            known = [x for x in chunk if x[2] is not None and x[5] is not None]
+            out = _compare(known, least) if known else []
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.binary()), *(pa.array([x[k] for x in out], pa.int32()) for k in (1, 2)), pa.array([(x[3] >> 32) - (1 << 63) for x in out], pa.int64()), pa.array([x[3] & 0xFFFFFFFF for x in out], pa.int64())],
                 names=["digest", "low", "high", "owner", "origin"],
             )
 
-    rows = docs.select("_rank", "_text").mapInArrow(cutter, "key bigint, digest binary, n bigint, first binary, body binary")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "digest")
-    return dealt.mapInArrow(judge, "digest binary, low int, high int, owner bigint, origin bigint")
+    whole = kinds.where("n > 1").join(by_key, "key", "left_anti")
+    alone = whole.select("digest", F.lit(0).alias("low"), (F.col("windows") - 1 + least).alias("high"), *ranked("first"))
+    bodies = docs.select("_rank", "_text").mapInArrow(sender, "key bigint, piece int, digest binary, offset int, body binary")
+    counts = several.withColumn("hot", F.col("kinds") > bar)
+    low, high = F.floor((F.col("ahead") - F.col("windows") + 1) / PIECE).cast("int"), F.floor(F.col("ahead") / PIECE).cast("int")
+    counts = counts.withColumn("piece", F.explode(F.when(F.col("hot"), F.sequence(low, high)).otherwise(F.array(F.lit(-1)))))
+    rows = counts.select("key", "piece", "digest", "n", "first", F.lit(None).cast("int").alias("offset"), F.lit(None).cast("binary").alias("body"))
+    rows = rows.unionByName(bodies.withColumn("n", F.lit(None).cast("bigint")).withColumn("first", F.lit(None).cast("binary")))
+    dealt = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "digest")
+    return alone.unionByName(dealt.mapInArrow(judge, "digest binary, low int, high int, owner bigint, origin bigint"))
+
+
+def ranked(column: str) -> list:
+    """The rank and place that ``first`` (32 hex digits) is made of."""
+    digits = F.col(column).cast("string")
+    # the rank is shifted by 2**63 to be positive: flip its top bit back
+    high = F.conv(F.substring(digits, 9, 16), 16, -10).cast("long")
+    return [high.bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("owner"), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long").alias("origin")]
+
+
+def pieces(windows: int, ahead: int, hot: bool) -> Iterator[tuple[int, int, int]]:
+    """(piece, first window, windows): all in one, or of a hot anchor by distance from it."""
+    at = 0
+    while at < windows:
+        piece = (ahead - at) // PIECE if hot else -1
+        n = min(windows - at, ahead - at - piece * PIECE + 1) if hot else windows
+        yield piece, at, n
+        at += n
 
 
 def _compare(several: list[list], least: int) -> list[tuple]:
     """Intervals of the segments whose windows occur again, with the first place of each."""
-    data = np.frombuffer(b"".join(x[4] for x in several), np.uint8)
-    sizes = np.array([len(x[4]) for x in several])
+    data = np.frombuffer(b"".join(x[5] for x in several), np.uint8)
+    sizes = np.array([len(x[5]) for x in several])
+    first = [int(x[3], 16) + x[4] for x in several]
     begin = np.cumsum(sizes) - sizes
     count = sizes - least + 1
     owner = np.repeat(np.arange(len(several)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    by_rank = np.array(sorted(range(len(several)), key=first.__getitem__))
     rank = np.empty(len(several), np.int64)
-    rank[np.array(sorted(range(len(several)), key=lambda k: several[k][3]))] = np.arange(len(several))
+    rank[by_rank] = np.arange(len(several))
     copies = np.array([x[2] for x in several])
     order, begins = suffix_runs(data, begin[owner] + offset, least)
     again, earliest = previous_factors(order, begins, rank[owner], copies[owner])
-    by_rank = np.argsort(rank)
-    first = by_rank[earliest]
+    source = by_rank[earliest]
     # equal windows are equally far from their anchor, but segments may begin
     # at different distances: find the offset of the earliest window itself
     place = np.empty(len(owner), np.int64)
     place[order] = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(order)]))
     lead = np.zeros(len(begins), np.int64)
-    own = first == owner
+    own = source == owner
     lead[place[own]] = offset[own]
     drift = offset - lead[place]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (again[1:] != again[:-1]) | (first[1:] != first[:-1]) | (drift[1:] != drift[:-1])])
-    ends = np.r_[new[1:], len(owner)]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (again[1:] != again[:-1]) | (source[1:] != source[:-1]) | (drift[1:] != drift[:-1])])
     out = []
-    for a, b in zip(new.tolist(), ends.tolist()):
+    for a, b in zip(new.tolist(), np.r_[new[1:], len(owner)].tolist()):
         if again[a]:
-            at = int(several[int(first[a])][3], 16) - int(drift[a])
-            out.append((several[int(owner[a])][1], int(offset[a]), int(offset[b - 1]) + least, at))
+            x = several[int(owner[a])]
+            out.append((x[1], int(offset[a]) + x[4], int(offset[b - 1]) + least + x[4], first[int(source[a])] - int(drift[a]) - x[4]))
     return out
 
 
@@ -250,24 +304,22 @@ def spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: in
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     keyed = keyed.withColumn("_hash", F.xxhash64("_text")).withColumn("_rank", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
     long = keyed.where(F.octet_length("_text") >= least)
-    marked, total = repeated_anchors(long, least)
-    bitmap, hot = anchor_filter(marked, total)
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot))
+    anchors = Filter(repeated_anchors(long, least), "key")
+    shared = docs.sparkSession.sparkContext.broadcast(anchors)
 
     def places(batches):
         for batch in slices(batches, "_text"):
-            for begin, texts in parts(batch):
-                found = [(begin + t, p, xxhash.xxh3_128_digest(b)) for t, p, _, b in segments(texts, least, *shared.value)]
-                at = pa.array([x[0] for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_rank", "_hash")), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], names=["_rank", "_hash", "place", "digest"])
+            found = [(row, p, digest) for row, p, _, _, _, _, digest, _ in segments(batch, least, shared.value)]
+            at = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_rank", "_hash")), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], names=["_rank", "_hash", "place", "digest"])
 
     where = long.select("_rank", "_hash", "_text").mapInArrow(places, "_rank bigint, _hash bigint, place bigint, digest binary")
-    repeats = repeated_segments(long, least, bitmap, hot).groupBy("digest").agg(F.collect_list(F.struct("low", "high", "owner", "origin")).alias("x"))
+    repeats = repeated_segments(long, least, anchors).groupBy("digest").agg(F.collect_list(F.struct("low", "high", "owner", "origin")).alias("x"))
     met = spread_join(where, repeats, "digest", "inner", F.col("place"))
-    pieces = met.select("_rank", "_hash", "place", F.explode("x").alias("x"))
+    found = met.select("_rank", "_hash", "place", F.explode("x").alias("x"))
     if keep_first:
-        pieces = pieces.where((F.col("x.owner") != F.col("_rank")) | (F.col("x.origin") != F.col("place")))
-    ranges = pieces.groupBy("_rank", "_hash").agg(F.collect_set(F.struct((F.col("place") + F.col("x.low")).alias("low"), (F.col("place") + F.col("x.high")).alias("high"))).alias("_ranges"))
+        found = found.where((F.col("x.owner") != F.col("_rank")) | (F.col("x.origin") != F.col("place")))
+    ranges = found.groupBy("_rank", "_hash").agg(F.collect_set(F.struct((F.col("place") + F.col("x.low")).alias("low"), (F.col("place") + F.col("x.high")).alias("high"))).alias("_ranges"))
     joined = keyed.join(ranges.hint("shuffle_hash"), ["_rank", "_hash"], "left")
     return joined.select(F.col("_id").alias(id_col), F.col("_text"), "_ranges")
 

@@ -41,7 +41,8 @@ def texts():
 @pytest.mark.parametrize("hot", [False, True])
 def test_removed_bytes_equal_brute_force(spark, monkeypatch, keep_first, hot):
     if hot:
-        monkeypatch.setattr(suffix, "anchor_filter", lambda m, n, f=suffix.anchor_filter: (f(m, n)[0], np.sort(np.array([r[0] for r in m.select("key").collect()], np.int64).view(np.uint64))))
+        monkeypatch.setattr(suffix, "HOT", 10**9)
+        monkeypatch.setattr(suffix, "LEAST_HOT", 0)
     rows = texts()
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, kept string").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, keep_first=keep_first).collect()}
