@@ -60,7 +60,9 @@ def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     at = anchor[start]
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]) if len(at) else np.zeros(0, np.int64)
     count = np.diff(np.r_[new, len(at)])
-    return text[new], start[new] - begin[text[new]], count, at[new] - start[new], h[at[new]]
+    # the smallest hashes have leading zeros: mix them anew for the filters
+    key = (h[at[new]] ^ h[at[new]] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return text[new], start[new] - begin[text[new]], count, at[new] - start[new], key ^ key >> np.uint64(32)
 
 
 class Filter:
