@@ -196,7 +196,7 @@ def index(passages: DataFrame, weights: np.ndarray) -> Index:
         for w in windows(np.array(r["words"], np.int64)):
             passage.append(k)
             queries.append(vectors[place[terms_of(w)]].sum(0))
-    return Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["ends"] for r in rows], place, vectors, np.array(passage), np.array(queries, np.float32).reshape(len(passage), -1))
+    return Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["ends"] for r in rows], place, vectors, np.array(passage), np.array(queries, np.float32).reshape(len(passage), vectors.shape[1]))
 
 
 def candidates(hashes: np.ndarray, edges: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, float]]:
@@ -260,7 +260,8 @@ def matches(texts: list[bytes], ix: Index) -> list[tuple[int, tuple[int, float,
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Documents that hold a benchmark item: ``keep`` (default: the id) and what was found.
+    """Documents that hold a benchmark item: ``keep`` (default: the id; not one of these
+    names) and what was found.
 
     Adds ``item_id``, ``cosine``, ``share`` (of the item's words, in order) and ``kind``:
     ``copy`` if the share is at least COPY, or ``paraphrase`` if it is at least

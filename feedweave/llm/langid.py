@@ -84,14 +84,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns), ``lang_pred`` and ``score``.
+    """``keep`` (default: all columns but any of these names), ``lang_pred`` and ``score``.
 
     The score is the posterior probability of the predicted language. A text
     that is null or has no letter gets ``und`` and 0, as does every text if no
     language was learned. Of languages that fit alike the first by name wins.
     """
     languages, table = model
-    keep = keep or docs.columns
+    keep = keep or [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
 
     def run(batches):

@@ -19,7 +19,9 @@ END = b""
 #: Words with a class of their own, classes of all others, and words that every
 #: task knows by heart. The last bounds what is broadcast, not what is counted.
 SINGLES, CLASSES, HEAD = 704, 319, 150_000
-WIDTH, NOISE, BATCH = 16, 64, 8192
+#: Vector length, noise samples a batch, and tokens a batch: the first FIRST, twice
+#: as many after each STEPS batches, up to BATCH.
+WIDTH, NOISE, BATCH, FIRST, STEPS = 16, 64, 8192, 256, 32
 STEP = 0.15
 
 
@@ -144,7 +146,7 @@ class Trainer:
     """Noise-contrastive estimation by AdaGrad steps over batches of tokens."""
 
     def __init__(self, model: Model, noise: np.ndarray, seed: int):
-        self.m, self.seen = model, 0
+        self.m, self.seen, self.steps = model, 0, 0
         self.cumulative = np.cumsum(noise)
         self.log_noise = (np.log(noise) + np.log(NOISE)).astype(np.float32)
         self.rng = np.random.default_rng(seed)
@@ -170,6 +172,19 @@ class Trainer:
             s += g * g
             x += STEP * g / np.sqrt(s)
         self.seen += n
+        self.steps += 1
+
+    def learn(self, c2: np.ndarray, c1: np.ndarray, w: np.ndarray, rest: bool) -> int:
+        """Steps over the tokens in batches; returns how many were used. With ``rest``
+        the last, shorter batch is used too."""
+        k = 0
+        while k < len(w):
+            n = min(BATCH, FIRST << min(self.steps // STEPS, 16))
+            if k + n > len(w) and not rest:
+                break
+            self.step(c2[k : k + n], c1[k : k + n], w[k : k + n])
+            k += n
+        return min(k, len(w))
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -209,14 +224,11 @@ def fit(texts: DataFrame, vocab: Vocabulary) -> Model:
                 size += len(classes)
                 if size >= 16 * BATCH:
                     c2, c1, w = (np.concatenate(x) for x in zip(*waiting))
-                    for k in range(0, len(w) - BATCH + 1, BATCH):
-                        trainer.step(c2[k : k + BATCH], c1[k : k + BATCH], w[k : k + BATCH])
-                    rest = len(w) - len(w) % BATCH
+                    rest = trainer.learn(c2, c1, w, False)
                     waiting, size = [(c2[rest:], c1[rest:], w[rest:])], len(w) - rest
         if size:
             c2, c1, w = (np.concatenate(x) for x in zip(*waiting))
-            for k in range(0, len(w), BATCH):
-                trainer.step(c2[k : k + BATCH], c1[k : k + BATCH], w[k : k + BATCH])
+            trainer.learn(c2, c1, w, True)
         if trainer.seen:
             rows = trainer.m.rows().astype(np.float64) * trainer.seen
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([trainer.seen] * len(rows), pa.int64()), *(pa.array(c) for c in rows.T)], names=names)
@@ -258,7 +270,7 @@ def normalisers(spark, model: Model) -> np.ndarray:
 def score(docs: DataFrame, train: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Log10 probabilities of every whole text of ``docs`` by a model of ``train``.
 
-    Returns ``keep`` (default: all columns but the text), ``n_tokens``, ``n_known``,
+    Returns ``keep`` (default: all columns but the text and any of these names), ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (smoothed unigram) and ``score`` (the model).
     The model gives each class a probability after two tokens, normalised over
     all classes, and a word its smoothed share of its class, so that the
@@ -273,7 +285,7 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", keep: list[str]
     model = fit(train.select(F.col(text).cast("binary").alias("_text")), vocab)
     table = normalisers(spark, model)
     shared = spark.sparkContext.broadcast((vocab, model, table))
-    keep = keep or [c for c in docs.columns if c != text]
+    keep = keep or [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     smooth = float(np.log10(vocab.total + 0.5 * (vocab.distinct + 1)))
 
     def run(batches):

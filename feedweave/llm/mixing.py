@@ -111,4 +111,5 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     taken together. An empty table gives an empty result.
     """
     _, sources = plan(docs, text, id_col, source, budget, evenness, repeats, seed)
-    return realise(docs, sources, id_col, source, seed).select(*[F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_doc"), F.col(source).alias("_of"))
+    return realise(rows, sources, "_doc", "_of", seed).select("_row.*")

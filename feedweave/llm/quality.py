@@ -198,7 +198,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", id_c
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) == 0).alias("bad"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    joined = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col(text).alias("_text"), "bad", (fold(id_col, 3) == 2).alias("pruning"))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text"))
+    joined = rows.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_text", "bad", (fold("_doc", 3) == 2).alias("pruning"))
     return cut(features(statistics(joined, "_text", ["bad", "pruning"]))).where(~failed())
 
 
