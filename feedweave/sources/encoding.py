@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xfe\xff", "utf-16be"), (b"\xff\xfe", "utf-16le"))
 AS_WINDOWS_1252 = frozenset("iso-8859-1 iso8859-1 latin1 latin-1 l1 us-ascii ascii cp1252 x-cp1252 windows-1252".split())
 #: Bytes that the web's windows-1252 maps to control characters.
+UTF_NAMES = {"utf-8": "utf-8", "utf-16": "utf-16le", "utf-16-le": "utf-16le", "utf-16-be": "utf-16be"}
 CONTROLS = {b: chr(b) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 _LABEL = re.compile(rb"""encoding\s*=\s*["']([^"']{1,64})["']""")
@@ -25,19 +26,12 @@ def normalize(label: str) -> str | None:
     if low in AS_WINDOWS_1252:
         return "windows-1252"
     try:
-        name = codecs.lookup(low).name
+        codec = codecs.lookup(low)
     except LookupError:
         return None
-    if name.startswith("utf-32") or name not in _TEXT_CODECS and not _is_text(name):
+    if codec.name.startswith("utf-32") or not getattr(codec, "_is_text_encoding", True):
         return None
-    return {"utf_8": "utf-8", "utf_16": "utf-16le", "utf-16": "utf-16le"}.get(name, name.replace("_", "-") if name.startswith("utf") else low)
-
-
-_TEXT_CODECS = frozenset(("utf-8", "utf-16-le", "utf-16-be"))
-
-
-def _is_text(name: str) -> bool:
-    return getattr(codecs.lookup(name), "_is_text_encoding", True)
+    return UTF_NAMES.get(codec.name, low)
 
 
 def detect(data: bytes, hint: str | None = None) -> str:
