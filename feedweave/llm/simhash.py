@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -83,21 +84,26 @@ class Forest:
     def __init__(self, n: int):
         self.root = np.arange(n)
 
-    def link(self, u: np.ndarray, v: np.ndarray) -> None:
+    def link(self, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+        """Join the trees of linked positions; returns the links that joined two."""
+        kept: list[tuple[int, int]] = []
         while len(u):
-            u, v = self.root[u], self.root[v]
-            u, v = np.maximum(u, v), np.minimum(u, v)
-            u, v = u[u != v], v[u != v]
-            np.minimum.at(self.root, u, v)
+            a, b = self.root[u], self.root[v]
+            apart = a != b
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            self.root[high] = np.minimum(a, b)[first]
+            kept += zip(u[first].tolist(), v[first].tolist())
             while (up := self.root[self.root]).tobytes() != self.root.tobytes():
                 self.root = up
+        return kept
 
 
-def trie_join(a: Trie, b: Trie, lead: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(a: Trie, b: Trie, lead: int, most: int, depth_of_lead: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Position pairs that link all words of ``a`` and ``b`` near each other.
 
     Words are near if at most ``most`` bits differ, at most ``lead`` of them in
-    the upper half. Node pairs are descended together, adding up differing
+    the first ``depth_of_lead``. Node pairs are descended together, adding up differing
     bits; a pair beyond its budget is pruned, a small one compared word by
     word, and one whose words must all be near is linked without a look inside.
     With ``a is b`` each unordered pair is met once.
@@ -111,20 +117,20 @@ def trie_join(a: Trie, b: Trie, lead: int, most: int) -> Iterator[tuple[np.ndarr
         (sa, _, ca), (sb, _, cb) = a.level(depth), b.level(depth)
         na, nb = sa[i + 1] - sa[i], sb[j + 1] - sb[j]
         sure = d + 64 - depth <= most
-        if depth >= 32 and sure.any():
+        if depth >= depth_of_lead and sure.any():
             for x, y in zip(i[sure], j[sure]):
                 left, right = np.arange(sa[x], sa[x + 1]), np.arange(sb[y], sb[y + 1])
                 yield left, np.full(len(left), right[0])
                 yield np.full(len(right), left[0]), right
             i, j, d, na, nb = (x[~sure] for x in (i, j, d, na, nb))
         small = na * nb <= _LEAF_PAIRS
-        yield from _compare(a, b, sa[i[small]], na[small], sb[j[small]], nb[small], lead, most)
+        yield from _compare(a, b, sa[i[small]], na[small], sb[j[small]], nb[small], lead, most, depth_of_lead)
         i, j, d = i[~small], j[~small], d[~small]
         if not len(i):
             continue
         (ta, la, _), (tb, lb, _) = a.level(depth + 1), b.level(depth + 1)
         ends_a, ends_b = np.r_[ca, len(ta) - 1], np.r_[cb, len(tb) - 1]
-        budget = lead if depth < 32 else most
+        budget = lead if depth < depth_of_lead else most
         parts = []
         for x in (0, 1):
             for y in (0, 1):
@@ -139,7 +145,7 @@ def trie_join(a: Trie, b: Trie, lead: int, most: int) -> Iterator[tuple[np.ndarr
         stack.append((depth + 1, *(np.concatenate(x) for x in zip(*parts))))
 
 
-def _compare(a, b, start_a, na, start_b, nb, lead, most):
+def _compare(a, b, start_a, na, start_b, nb, lead, most, depth_of_lead):
     sizes = na * nb
     chunk = np.cumsum(sizes) // _COMPARE
     for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(chunk)) + 1) if len(sizes) else ():
@@ -150,60 +156,60 @@ def _compare(a, b, start_a, na, start_b, nb, lead, most):
         if a is b:
             u, v = u[u < v], v[u < v]
         x = a.values[u] ^ b.values[v]
-        near = (np.bitwise_count(x) <= most) & (np.bitwise_count(x >> np.uint64(32)) <= lead)
+        near = (np.bitwise_count(x) <= most) & (np.bitwise_count(x >> np.uint64(64 - depth_of_lead)) <= lead)
         if near.any():
             yield u[near], v[near]
 
 
-def _links(lead: list[int], most: int):
+def _links(tries: list[tuple[int, int, int]], most: int):
     """A grouped map: links between the residents of a prefix and its visitors."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         words = group["word"].to_numpy().view(np.uint64)
         home = group["home"].to_numpy()
-        kind = int(group["pass"].iloc[0])
+        turn, bits, errors = tries[int(group["pass"].iloc[0])]
         here, there = np.sort(words[home]), np.sort(words[~home])
         values = np.concatenate([here, there])
-        forest, own = Forest(len(values)), Trie(here)
+        forest, own, kept = Forest(len(values)), Trie(here), []
         if len(here):
-            for u, v in trie_join(own, own, lead[kind], most):
-                forest.link(u, v)
+            for u, v in trie_join(own, own, errors, most, bits):
+                kept += forest.link(u, v)
             if len(there):
-                for u, v in trie_join(own, Trie(there), lead[kind], most):
-                    forest.link(u, v + len(here))
-        moved = np.flatnonzero(forest.root != np.arange(len(values)))
-        turn = lambda x: (x << np.uint64(32) | x >> np.uint64(32) if kind else x).view(np.int64)
-        return pd.DataFrame({"a": turn(values[moved]), "b": turn(values[forest.root[moved]])})
+                for u, v in trie_join(own, Trie(there), errors, most, bits):
+                    kept += forest.link(u, v + len(here))
+        back = lambda x: (x >> np.uint64(turn) | x << np.uint64(64 - turn) if turn else x).view(np.int64)
+        edges = np.array(kept, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": back(values[edges[:, 0]]), "b": back(values[edges[:, 1]])})
 
     return run
 
 
-def near_links(values: DataFrame, most: int = 4, room: int = 50_000) -> DataFrame:
-    """Links that join all distinct fingerprints ``fp`` within ``most`` bits.
+def near_links(values: DataFrame, most: int = 4, tries: list[tuple[int, int, int]] | None = None, room: int = 50_000, least_depth: int = 8) -> DataFrame:
+    """Links that join the distinct fingerprints ``fp`` within ``most`` bits.
 
-    Differing bits fall into two halves of the word, so at most ``most // 2``
-    are in the upper or fewer than that share in the lower half: one trie
-    starts with the upper half, one with the lower, each with that budget for
-    its first 32 levels. A trie is dealt out by its top levels: a fingerprint
-    is at home in the subtrie of its prefix and a visitor in those of lesser
-    prefixes within the budget. The prefix grows until no subtrie is home to
-    over ``room`` words (at most 2**20 subtries), so a task's share is bounded
-    however many words there are. Of each task only the edges of a spanning
-    forest leave, never all pairs.
+    A trie (rotation, bits, errors) holds the fingerprints turned left by some
+    bits and meets the pairs that differ in at most ``errors`` of the first
+    ``bits``. By default there are two, which together meet all pairs: at most
+    ``most // 2`` of the differing bits are in the upper half, or fewer than that
+    share in the lower. A trie is dealt out by its top levels: a fingerprint is
+    at home in the subtrie of its prefix and a visitor in those of lesser
+    prefixes within the budget. The prefix grows with the number of words, so
+    that a subtrie is home to about ``room`` at most (2**20 subtries at most).
+    Of each task only the links of a spanning forest leave, never all pairs.
     """
-    lead = [most // 2, most - most // 2 - 1]
-    n = values.count()
-    depth = 8
+    tries = tries or [(0, 32, most // 2), (32, 32, most - most // 2 - 1)]
+    n, depth = values.count(), least_depth
     while depth < 20 and n / 2**depth > room / 4:
         depth += 1
-    top = F.shiftrightunsigned("word", 64 - depth)
-    turned = [F.col("fp"), F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))]
-    both = values.select(F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), w.alias("word")) for k, w in enumerate(turned)])).alias("x")).select("x.*")
-    masks = [[m for m in range(1 << depth) if m.bit_count() <= k] for k in lead]
-    flips: Column = F.when(F.col("pass") == 0, F.array(*map(F.lit, masks[0]))).otherwise(F.array(*map(F.lit, masks[1])))
+    turned = [F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", 64 - k)) if k else F.col("fp") for k, _, _ in tries]
+    both = values.select(F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.lit(e).alias("errors"), w.alias("word")) for k, (w, (_, _, e)) in enumerate(zip(turned, tries))])).alias("x")).select("x.*")
+    top = F.shiftrightunsigned("word", 64 - depth) if depth else F.lit(0).cast("long")
+    flips: Column = F.lit(None).cast("array<int>")
+    for e in sorted({e for _, _, e in tries}):
+        flips = F.when(F.col("errors") == e, F.array(*[F.lit(m) for m in range(1 << depth) if m.bit_count() <= e])).otherwise(flips)
     dealt = both.withColumn("flip", F.explode(flips)).withColumn("node", top.bitwiseXOR(F.col("flip"))).where(F.col("node") <= top)
     grouped = dealt.select("pass", "node", "word", (F.col("flip") == 0).alias("home")).groupBy("pass", "node")
-    return grouped.applyInPandas(_links(lead, most), "a bigint, b bigint")
+    return grouped.applyInPandas(_links(tries, most), "a bigint, b bigint")
 
 
 def components(marked: DataFrame, id_col: str, most: int = 4) -> DataFrame:
@@ -229,17 +235,82 @@ def simhash(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     return components(marked, id_col, most)
 
 
-def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, most: int = 4) -> DataFrame:
-    """The rows of ``docs``, but of each near-duplicate component only one.
+#: A document's sketch: the smallest of its different shingle hashes, 8 bytes each.
+SKETCH = 256
+#: Rotations of the fingerprint that near_dedup looks at, and the bits that may differ.
+ROTATIONS, WIDE = range(0, 64, 2), 14
 
-    It is the row of the component's smallest id (one of them, if several rows
-    have that id and text). Rows with a null id stay. All columns are kept.
+
+def sketches(docs: DataFrame, text: str, width: int, id_col: str) -> DataFrame:
+    """``id_col``, ``fp`` and ``sketch`` of every whole text."""
+
+    def run(batches):
+        for batch in slices(batches, "_text"):
+            fps, least = [], []
+            for t in batch.column("_text").to_pylist():
+                hashes = np.fromiter(shingle_hashes(t or b"", width), np.uint64)
+                fps.append(majority(hashes))
+                least.append(np.unique(hashes)[:SKETCH].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.binary())], names=[id_col, "fp", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint, sketch binary")
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of shingles by their sketches; exact for small sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    union = np.union1d(x, y)[: SKETCH if len(x) == SKETCH or len(y) == SKETCH else None]
+    if not len(union):
+        return 1.0
+    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union)
+
+
+def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near duplicates of rows with a smaller id; all columns.
+
+    Candidates are fingerprints within WIDE bits that the trie join meets in one
+    of ROTATIONS with at most one differing bit at its start. Of each group of
+    candidates the document with the smallest id is the first leader; those
+    whose shingles are at least ``similarity`` like its own go; of the rest the
+    smallest is the next leader, ``rounds`` times; what is left then stays.
+    Documents with equal fingerprints are equal here.
+
+    Of several rows with one id one stays. Rows with a null id stay. Texts without words are alike. An empty table
+    gives an empty result.
     """
-    found = cut(simhash(docs, text, id_col, width, most).groupBy(id_col).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    gone = table(found.where(F.col(id_col) != F.col("component_id")).select(id_col))
-    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    twice = table(found.where((F.col(id_col) == F.col("component_id")) & (F.col("n") > 1)).select(id_col))
+    marked = cut(sketches(docs, text, width, id_col))
+    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
+    start = max(16, distinct.count().bit_length() - 2)
+    links = near_links(distinct.select("fp"), WIDE, [(k, start, 1) for k in ROTATIONS], room=4_000_000, least_depth=0)
+    linked = connected_components(links.distinct()).select(F.col("node").alias("fp"), "root")
+    members = linked.join(distinct, "fp").where(F.col("least").isNotNull())
+    bodies = marked.select(F.col("fp").alias("_f"), F.col(id_col).alias("_i"), "sketch").join(members, (F.col("_f") == F.col("fp")) & (F.col("_i") == F.col("least")))
+    left = cut(bodies.groupBy("root", "fp", "least").agg(F.first("sketch").alias("sketch")))
+
+    def judge(batches):
+        for batch in batches:
+            like = [resemblance(a, b) >= similarity for a, b in zip(batch.column("sketch").to_pylist(), batch.column("_s").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "fp", "least", "sketch")), pa.array(like, pa.bool_())], names=["root", "fp", "least", "sketch", "like"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    likes = []
+    for _ in range(rounds):
+        leads = left.groupBy("root").agg(F.min_by(F.struct("fp", "sketch"), "least").alias("x")).select("root", F.col("x.fp").alias("_lead"), F.col("x.sketch").alias("_s"))
+        judged = left.join(leads, "root").where(F.col("fp") != F.col("_lead")).select("root", "fp", "least", "sketch", "_s")
+        judged = cut(judged.mapInArrow(judge, f"root bigint, fp bigint, least {kind}, sketch binary, like boolean"))
+        likes.append(judged.where("like").select("fp"))
+        left = judged.where("not like").drop("like")
+        if left.isEmpty():
+            break
+    copies = reduce(DataFrame.unionByName, likes).withColumn("like", F.lit(True))
+    owners = distinct.join(copies, "fp", "left")
+    found = spread_join(marked.select(id_col, "fp"), owners, "fp").groupBy(id_col).agg(F.max(F.coalesce("like", F.lit(False)) | (F.col(id_col) != F.col("least"))).alias("goes"), F.count("*").alias("n"))
+    found = cut(found.where(F.col(id_col).isNotNull()))
+    gone = table(found.where("goes").select(id_col))
+    stay = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    twice = table(found.where("not goes and n > 1").select(id_col))
     if twice.isEmpty():
-        return left
-    once = left.join(twice, id_col, "left_anti").select(docs.columns)
-    return once.unionByName(left.join(twice, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+        return stay
+    once = stay.join(twice, id_col, "left_anti").select(docs.columns)
+    return once.unionByName(stay.join(twice, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))

@@ -92,6 +92,25 @@ def test_simhash_of_nulls_ties_and_nothing(spark):
     assert simhash(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(4000)]
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, near, clean = [], [], []
+    for i in range(150):
+        words = list(rng.choice(vocab, 400))
+        rows.append((i, " ".join(words), "", 0))
+        other = list(words)
+        for k in rng.choice(400, 5 if i % 2 else 60, replace=False):
+            other[k] = "x" + other[k]
+        share = len(sets(words) & sets(other)) / len(sets(words) | sets(other))
+        rows.append((1000 + i, " ".join(other), "", 0))
+        (near if share >= 0.85 else clean if share < 0.7 else []).append(1000 + i)
+    kept = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert set(range(150)) <= kept and set(clean) <= kept
+    assert len(near) > 60 and len(kept & set(near)) <= 2
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(3, "x y z a b c", "", 0), (1, "x y z a b c", "", 0), (7, "other words are here now yes", "", 0), (7, "other words are here now yes", "", 0), (None, "n", "", 0)], SCHEMA)
     got = near_dedup(docs)
