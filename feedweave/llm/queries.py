@@ -88,6 +88,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_temperature_mix": r"""
+        with recursive t as (
+            select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 as bigint) as n_tokens from documents),
+        s as (select source, cast(sum(n_tokens) as bigint) as tokens from t group by source),
+        p as (select source, tokens, tokens / cast((select sum(tokens) from s) as double) as share from s),
+        bisect(step, lo, hi) as (
+            select 0, 0.0::double, 1.0::double
+            union all
+            select step + 1, case when ok then mid else lo end, case when ok then hi else mid end from (
+                select b.step, b.lo, b.hi, (b.lo + b.hi) / 2 as mid,
+                       (select ln(sum(pow(share, (b.lo + b.hi) / 2))) - (b.lo + b.hi) / 2 * sum(pow(share, (b.lo + b.hi) / 2) * ln(share)) / sum(pow(share, (b.lo + b.hi) / 2)) from p)
+                           >= 0.9 * (select ln(count(*)) from p) as ok
+                from bisect b where b.step < 40)),
+        a as (select case when (select ln(sum(share)) - sum(share * ln(share)) / sum(share) from p) >= 0.9 * (select ln(count(*)) from p) then 1.0
+                          else (select round(lo, 6) from bisect where step = 40) end as alpha),
+        w as (select source, tokens, cast(floor(pow(share, alpha) / (select sum(pow(share, alpha)) from p, a) * (select sum(tokens) from s)) as bigint) as budget from p, a),
+        plan as (select source, budget // tokens as full_blocks, budget % tokens as rest from w),
+        rows as (select t.*, full_blocks, rest, unnest(range(0, full_blocks + 1)) as block from t join plan using (source)),
+        placed as (select *, cast('0x' || substr(md5('11:' || block || ':' || doc_id), 1, 15) as bigint) as place from rows),
+        summed as (select *, sum(n_tokens) over (partition by source, block order by place range between unbounded preceding and current row) - n_tokens as before from placed)
+        select doc_id, source, n_tokens, block, place from summed where block < full_blocks or before < rest""",
+    "op7_interleaved_shards": r"""
+        with tbl as (select list_transform(range(256), lambda i: list_reduce(list_prepend(cast(i as bigint), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end))) as t),
+        d as (select doc_id, source, coalesce(text, '') as body, cast('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as key from documents),
+        c as (select doc_id, source, key, cast(strlen(body) + 8 as bigint) as size,
+                     xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: cast('0x' || h as bigint))),
+                                     lambda x, b: xor(x >> 8, t[xor(x & 255, b) + 1])), 4294967295) as text_crc32 from d, tbl),
+        r as (select *, row_number() over (partition by source order by key, doc_id nulls first, text_crc32) - 1 as k, count(*) over (partition by source) as n from c),
+        g as (select *, row_number() over (order by (2 * k + 1) / (2 * n), source nulls first, key, doc_id nulls first, text_crc32) - 1 as pos, count(*) over () as total from r),
+        e as (select *, total // 24 as q, total % 24 as m from g)
+        select doc_id, size, cast(text_crc32 as bigint) as text_crc32, 'rows' as law,
+               cast(case when pos < m * (q + 1) then pos // (q + 1) else m + (pos - m * (q + 1)) // greatest(q, 1) end as int) as shard,
+               cast(case when pos < m * (q + 1) then pos % (q + 1) else (pos - m * (q + 1)) % greatest(q, 1) end as bigint) as slot,
+               cast(null as int) as grown_shard
+        from e""",
     "op10_warc_segments": """
         with p as (select page_id, coalesce(html, '') as body from pages),
         q as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha1(body) as payload_digest,
