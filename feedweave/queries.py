@@ -160,14 +160,14 @@ def podcast_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select cast(c_custkey % 10 + 1 as bigint) as s_suppkey, 'https://example.com/e/' || c_custkey as link, (c_custkey % 60) || ':00' as duration, cast(c_custkey as varchar) as episode,
-                 case when c_custkey % 2 = 0 then true end as explicit, 'https://example.com/t/' || c_custkey as transcript, cast(c_custkey as double) as bite,
+                 case when c_custkey % 2 = 0 then 'true' end as explicit, 'https://example.com/t/' || c_custkey as transcript, cast(c_custkey as double) as bite,
                  'https://example.com/t.png' as thumbnail, cast(c_nationkey as double) as lat, cast(c_custkey % 90 as double) as lon, cast(c_custkey % 5 as bigint) as comments,
                  cast(c_custkey % 100 as bigint) as split, 'https://example.com/e/' || c_custkey || '.mp3' as enclosure, true as guidislink
           from customer""")
 def podcast_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = parse_entries(podcast_feeds(spark, sf_dir))
     first = lambda c: F.get(c, F.lit(0))
-    return got.select("s_suppkey", "link", "itunes.duration", "itunes.episode", "itunes.explicit", first("podcast_transcripts")["url"].alias("transcript"), first("podcast.soundbite")["start_time"].alias("bite"), first("media_thumbnail")["url"].alias("thumbnail"), first("where.coordinates")["lat"].alias("lat"), first("where.coordinates")["lon"].alias("lon"), F.col("slash_comments").alias("comments"), first("podcast.value.recipients")["split"].alias("split"), first("enclosures")["url"].alias("enclosure"), "guidislink")
+    return got.select("s_suppkey", "link", "itunes.duration", "itunes.episode", F.col("itunes.explicit").cast("string").alias("explicit"), first("podcast_transcripts")["url"].alias("transcript"), first("podcast.soundbite")["start_time"].alias("bite"), first("media_thumbnail")["url"].alias("thumbnail"), first("where.coordinates")["lat"].alias("lat"), first("where.coordinates")["lon"].alias("lon"), F.col("slash_comments").alias("comments"), first("podcast.value.recipients")["split"].alias("split"), first("enclosures")["url"].alias("enclosure"), "guidislink")
 
 
 @query("""select cast(c_custkey % 10 + 1 as bigint) as s_suppkey, 'Show ' || (c_custkey % 10 + 1) as title, 'Owner ' || (c_custkey % 10 + 1) as owner, 'Top' as category, 'Sub' as subcategory, 'a|b|c' as keywords,
@@ -215,13 +215,13 @@ def parse_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select l_orderkey, l_linenumber, cast(cast(floor(l_extendedprice) as bigint) // 3600 as varchar) || ':' || lpad(cast(cast(floor(l_extendedprice) as bigint) % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(cast(floor(l_extendedprice) as bigint) % 60 as varchar), 2, '0') as duration,
-                 case when l_returnflag = 'R' then true end as explicit, case when l_linestatus = 'O' then 'daily' end as period, l_returnflag = 'R' as valid
+                 case when l_returnflag = 'R' then 'true' end as explicit, case when l_linestatus = 'O' then 'daily' end as period, l_returnflag = 'R' as valid
           from lineitem""")
 def small_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
     r = F.col("l_returnflag")
     whole = F.floor("l_extendedprice")
-    return line.select("l_orderkey", "l_linenumber", values.format_duration(whole).alias("duration"), values.parse_explicit(F.when(r == "R", " Yes ").otherwise("no")).alias("explicit"), values.update_period(F.when(F.col("l_linestatus") == "O", "DAILY").otherwise("never")).alias("period"), values.is_valid_version(F.when(r == "R", "rss091").otherwise("rss091u")).alias("valid"))
+    return line.select("l_orderkey", "l_linenumber", values.format_duration(whole).alias("duration"), values.parse_explicit(F.when(r == "R", " Yes ").otherwise("no")).cast("string").alias("explicit"), values.update_period(F.when(F.col("l_linestatus") == "O", "DAILY").otherwise("never")).alias("period"), values.is_valid_version(F.when(r == "R", "rss091").otherwise("rss091u")).alias("valid"))
 
 
 @query("""select page_id, url, true as safe, false as internal, '' as version,
@@ -283,9 +283,9 @@ def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_custkey", "entry_idx", key.alias("o_orderkey"), "updated", F.col("tags")[0]["term"].alias("priority"), F.regexp_extract(F.col("content")[0]["value"], r"Price (.*)", 1).cast("double").alias("price"))
 
 
-@query("""select o_orderpriority as priority, year(o_orderdate) as y, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by rollup (o_orderpriority, year(o_orderdate))""")
+@query("""select o_orderpriority as priority, coalesce(year(o_orderdate), -1) as y, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by rollup (o_orderpriority, year(o_orderdate))""")
 def entries_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_rows(spark, sf_dir).rollup("priority", F.year("updated").cast("bigint").alias("y")).agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    return _order_rows(spark, sf_dir).rollup("priority", F.year("updated").cast("bigint").alias("y")).agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total")).withColumn("y", F.coalesce("y", F.lit(-1)))
 
 
 @query("""select o_custkey, o_orderkey, rn from (select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by date_trunc('second', o_orderdate) desc, o_orderkey) as int) as rn from orders) where rn <= 2""")
