@@ -17,6 +17,7 @@ _DAY = r"(?:[a-z]{3},\s*)?"
 
 #: Forms in the order that they are tried, after white space is collapsed and
 #: letters are small: a pattern, and which groups are year, month, day, time, zone.
+#: The first pattern that fits decides; a first number over 12 is no US month.
 FORMS = (
     (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})[t ]{_TIME} ?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8"),
     (rf"^{_DAY}(\d{{1,2}}) {_MONTH} (\d{{2,4}}) {_TIME} ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8"),
@@ -27,7 +28,7 @@ FORMS = (
     (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?: {_TIME})?$", "$1|$2|$3|$4|$5|$6|$7|"),
     (rf"^(\d{{1,2}}) {_MONTH} (\d{{4}})$", "$3|$2|$1|||||"),
     (rf"^{_MONTH} (\d{{1,2}}), (\d{{4}})(?: {_TIME})?$", "$3|$1|$2|$4|$5|$6|$7|"),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: {_TIME})?$", "$3|$1|$2|$4|$5|$6|$7|"),
+    (rf"^(0?[1-9]|1[0-2])/(\d{{1,2}})/(\d{{4}})(?: {_TIME})?$", "$3|$1|$2|$4|$5|$6|$7|"),
     (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3|$1|$2|||||"),
     (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?: {_TIME})?$", "$3|$2|$1|$4|$5|$6|$7|"),
     (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: {_TIME})?$", "$3|$2|$1|$4|$5|$6|$7|"),
@@ -60,8 +61,9 @@ def parse_date(text: Column) -> Column:
     plain = F.lower(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " "))
 
     def instant(s: Column) -> Column:
-        canonical = F.array(*[F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order)) for pattern, order in FORMS])
-        found = F.transform(F.filter(canonical, lambda c: c.isNotNull()), lambda c: F.get(F.transform(F.array(F.split(c, r"\|")), _moment), F.lit(0)))
-        return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
+        canonical = F.lit(None).cast("string")
+        for pattern, order in reversed(FORMS):
+            canonical = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order)).otherwise(canonical)
+        return F.get(F.transform(F.array(F.split(canonical, r"\|")), _moment), F.lit(0))
 
     return F.get(F.transform(F.array(plain), instant), F.lit(0))

@@ -17,7 +17,9 @@ from feedweave.options import Limits, Options
 from feedweave.plans import render as R
 from feedweave.plans import views
 from feedweave.plans.parse import parse_entries, parse_feeds
+from feedweave.plans.remote import parse_urls
 from feedweave.sources.encoding import detect_encoding, to_utf8
+from feedweave.sources.fetch import Response
 from feedweave.sources.formats import detect_format
 from feedweave.streaming.entries import new_entries
 
@@ -179,6 +181,79 @@ def podcast_feed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("s_suppkey", "feed.title", it["owner"]["name"].alias("owner"), it["categories"][0]["text"].alias("category"), it["categories"][0]["subcategory"].alias("subcategory"), F.array_join(it["keywords"], "|").alias("keywords"), "feed.podcast.guid", "feed.podcast.locked", F.col("feed.podcast.funding")[0]["url"].alias("funding"), "feed.author")
 
 
+def nation_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of regions with an item for each nation, in extensions of many kinds."""
+    n = read(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    pair = F.concat(k, F.lit(" "), k + 1)
+    item = R.wrapped(
+        "item",
+        R.element("dc:title", F.col("n_name")),
+        R.element("dc:identifier", F.concat(F.lit("urn:nation:"), k)),
+        R.element("dc:creator", F.concat(F.lit("Creator "), k)),
+        R.element("dc:subject", "one"),
+        R.element("dc:subject", "two"),
+        R.element("content:encoded", F.concat(F.lit("<p>"), F.col("n_name"), F.lit("</p><script>x()</script>"))),
+        R.wrapped("media:group", R.wrapped("media:content", R.element("media:thumbnail", url=F.concat(F.lit("https://example.com/t/"), k)), url=F.concat(F.lit("https://example.com/v/"), k), type="video/mp4", fileSize=k.cast("string"))),
+        R.element("media:keywords", "x, y"),
+        R.element("media:credit", F.concat(F.lit("By "), k), role="author"),
+        F.when(k % 2 == 0, R.element("georss:line", F.concat(pair, F.lit(" 3 4")))).otherwise(R.wrapped("georss:where", R.wrapped("gml:Point", R.element("gml:pos", pair), srsName="urn:ogc:def:crs:OGC:1.3:CRS84"))),
+        R.element("thr:in-reply-to", ref=F.concat(F.lit("urn:r:"), k)),
+        R.element("slash:hit_parade", "1,2,3"),
+    )
+    head = F.concat(R.element("title", F.concat(F.lit("Region "), F.col("n_regionkey"))), R.element("dc:publisher", "Publisher"), R.element("georss:elev", "12.5"), R.element("media:rating", "nonadult", scheme="urn:simple"), R.element("atom:link", href="https://example.com/next", rel="next"))
+    gml = R.gathered(n, ["n_regionkey"], item, "n_nationkey").select("n_regionkey", R.rss(head).cast("string").alias("x"))
+    return gml.select("n_regionkey", F.replace("x", F.lit("<rss "), F.lit('<rss xmlns:gml="http://www.opengis.net/gml" ')).cast("binary").alias("content"))
+
+
+@query("""select n_regionkey, 'urn:nation:' || n_nationkey as id, n_name as title, 'Creator ' || n_nationkey as author, 'one|two|x|y' as tags, '<p>' || n_name || '</p>' as content,
+                 'https://example.com/v/' || n_nationkey as media, cast(n_nationkey as varchar) as size, 'https://example.com/t/' || n_nationkey as thumbnail, 'By ' || n_nationkey as credit,
+                 case when n_nationkey % 2 = 0 then 'line' else 'point' end as shape, cast(case when n_nationkey % 2 = 0 then n_nationkey else n_nationkey + 1 end as double) as lat,
+                 cast(case when n_nationkey % 2 = 0 then n_nationkey + 1 else n_nationkey end as double) as lon, 'urn:r:' || n_nationkey as reply, '1,2,3' as hits
+          from nation""")
+def extension_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_entries(nation_feeds(spark, sf_dir))
+    first = lambda c: F.get(c, F.lit(0))
+    return got.select("n_regionkey", "id", "title", "author", F.array_join(F.transform("tags", lambda t: t["term"]), "|").alias("tags"), first("content")["value"].alias("content"), first("media_content")["url"].alias("media"), first("media_content")["filesize"].alias("size"), first("media_thumbnail")["url"].alias("thumbnail"), first("media_credit")["content"].alias("credit"), F.col("where.geo_type").alias("shape"), first("where.coordinates")["lat"].alias("lat"), first("where.coordinates")["lon"].alias("lon"), first("in_reply_to")["ref"].alias("reply"), F.col("slash_hit_parade").alias("hits"))
+
+
+@query("""select n_regionkey, 'Region ' || n_regionkey as title, 'Publisher' as publisher, 12.5::double as elev, 'nonadult' as rating, 'https://example.com/next' as next_url from nation group by n_regionkey""")
+def extension_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_feeds(nation_feeds(spark, sf_dir), feed_fields=("title", "publisher", "where", "media_rating", "next_url"))
+    return got.select("n_regionkey", "feed.title", "feed.publisher", "feed.where.elev", F.col("feed.media_rating.content").alias("rating"), "feed.next_url")
+
+
+#: Roots of all formats, and the versions that they are.
+ROOTS = (
+    ('<rss version="0.90"/>', "rss090"), ('<rss version="0.91"/>', "rss091u"), ('<rss version="0.92"/>', "rss092"), ("<rss/>", "rss20"), ('<rss version="3"/>', ""), ("<rdf:RDF/>", "rss10"),
+    ('<feed xmlns="http://purl.org/atom/ns#"/>', "atom03"), ("<feed/>", "atom10"), ('{"version":"https://jsonfeed.org/version/1"}', "json10"), ("plain", ""),
+)
+
+
+@query("select n_nationkey, (['rss090', 'rss091u', 'rss092', 'rss20', '', 'rss10', 'atom03', 'atom10', 'json10', ''])[n_nationkey % 10 + 1] as version from nation")
+def format_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation")
+    roots = F.array(*[F.lit(r) for r, _ in ROOTS])
+    return n.select("n_nationkey", detect_format(F.get(roots, F.col("n_nationkey") % len(ROOTS)).cast("binary")).alias("version"))
+
+
+def canned(url: str, headers: dict[str, str], timeout: float, most: int) -> Response:
+    """A transport without a network: a feed named after the address, or no change."""
+    if headers.get("If-None-Match") == "old":
+        return Response(304)
+    name = url.rsplit("/", 1)[1]
+    return Response(200, {"ETag": f"tag-{name}", "Content-Type": "application/rss+xml"}, f"<rss version='2.0'><channel><title>Feed {name}</title></channel></rss>".encode())
+
+
+@query("""select c_custkey, case when c_custkey % 3 = 0 then 304 else 200 end as status, case when c_custkey % 3 = 0 then 'old' else 'tag-' || c_custkey end as etag,
+                 case when c_custkey % 3 <> 0 then 'Feed ' || c_custkey end as title, case when c_custkey % 3 <> 0 then 'rss20' else '' end as version
+          from customer""")
+def fetched_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://feeds.example.com/"), F.col("c_custkey")).alias("url"), F.when(F.col("c_custkey") % 3 == 0, "old").alias("tag"))
+    got = parse_urls(c, etag="tag", transport=canned, feed_fields=("title",))
+    return got.select("c_custkey", "status", "etag", "feed.title", "version")
+
+
 # Scalar functions ----------------------------------------------------------------------
 
 
