@@ -4,7 +4,9 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from feedweave.functions.register import register
 from feedweave.plans.parse import parse_feeds
+from feedweave.plans.remote import parse_urls
 from feedweave.sources.fetch import MOST_REDIRECTS, Response, addresses, causes, fetch_feeds
 from feedweave.streaming.entries import counts, new_entries
 
@@ -66,3 +68,18 @@ def test_new_entries_of_a_stream(spark, tmp_path):
     assert got == [("f", "1"), ("f", "2"), ("f", "3"), ("g", "1")]
     assert sorted((r.feed, r.entry_key) for r in new_entries(table, "feed", "fetched").collect()) == got
     assert counts(new_entries(table, "feed", "fetched"), "fetched", "feed").agg(F.sum("n")).first()[0] == 4
+
+
+def test_parsing_of_addresses(spark):
+    rows = [("http://example.com/feed", None), ("http://example.com/same", "e1"), ("http://example.com/gone", None)]
+    urls = spark.createDataFrame(rows, "url string, tag string")
+    got = {r.url.rsplit("/", 1)[1]: r for r in parse_urls(urls, etag="tag", transport=answer, partitions=2, feed_fields=("title",)).collect()}
+    assert (got["feed"].feed.title, got["feed"].etag, got["feed"].bozo, got["feed"].error) == ("T", "e2", False, None)
+    assert (got["same"].status, got["same"].feed.title, got["same"].etag, got["same"].error, got["same"].bozo) == (304, None, "e1", None, False)
+    assert "404" in got["gone"].error
+
+
+def test_functions_in_sql(spark):
+    assert "sanitize_html" in register(spark)
+    row = spark.sql("select sanitize_html('<b>x</b><script>1</script>') a, is_safe_url('http://localhost/') b, resolve_url('y', 'http://e.com/x') c, detect_format(cast('<rss/>' as binary)) d").first()
+    assert tuple(row) == ("<b>x</b>", False, "http://e.com/y", "rss20")
