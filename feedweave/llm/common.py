@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whole texts travel to Python in slices of about this many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bits of the filters that thin out rows before a shuffle: 16 for each hash in
+#: them, up to 2**FILTER_BITS (32 MB). A full one lets more rows through, and never
+#: loses one.
+FILTER_BITS = 28
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded(spark: SparkSession) -> None:
+    """Keep what goes to Python at once small where texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(spark.conf.get(key))
+    except ValueError:
+        now = -1
+    if not 0 < now <= 2 * SLICE_BYTES:
+        spark.conf.set(key, str(2 * SLICE_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
@@ -122,7 +137,7 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``most`` bytes, with the place of the first."""
     texts = [t or b"" for t in batch.column("_text").to_pylist()]
     first = size = 0
@@ -142,7 +157,29 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and their inverses."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         back = np.uint64(pow(int(_BASE), -1, 1 << 64))
         _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, back)]
     return _powers[0], _powers[1]
+
+
+class Filter:
+    """A bitmap by the leading bits of 64-bit hashes."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        self.bits, n = 16, hashes.count()
+        while self.bits < FILTER_BITS and 1 << self.bits < 16 * n:
+            self.bits += 1
+        place = f"shiftrightunsigned({column}, {64 - self.bits})"
+        bit = F.expr(f"shiftleft(1L, cast({place} & 63 as int))")
+        words = hashes.groupBy(F.expr(f"shiftright({place}, 6)").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+        self.words = np.zeros(1 << self.bits - 6, np.uint64)
+        self.words[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
+
+    def __contains__(self, h: int) -> bool:
+        at = h >> 64 - self.bits
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return np.flatnonzero(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))

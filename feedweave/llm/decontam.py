@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import parts, powers, slices, table
+from feedweave.llm.common import bounded, parts, powers, slices, table
 
 #: Hashed terms; a passage is two blocks of BLOCK words; latent dimensions.
 TERMS, BLOCK, RANK = 1 << 17, 16, 128
@@ -74,6 +74,7 @@ def term_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[counts[at], n])], names=["term", "n"])
 
+    bounded(docs.sparkSession)
     found = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts, n = np.zeros(TERMS), 0
     for r in found:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import slices
+from feedweave.llm.common import bounded, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -51,6 +51,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     number of languages, which is checked, times :data:`BUCKETS`. Languages are
     taken as equally likely beforehand.
     """
+    bounded(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("_lang"), F.col(text).cast("binary").alias("_text"))
 
     def run(batches):

@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import cut, slices
+from feedweave.llm.common import bounded, cut, slices
 
 #: The end of a text as a token; no word is empty.
 END = b""
 #: Words with a class of their own, classes of all others, and words that every
 #: task knows by heart. The last bounds what is broadcast, not what is counted.
-SINGLES, CLASSES, HEAD = 704, 319, 150_000
+SINGLES, CLASSES, HEAD = 704, 319, 100_000
 #: Vector length, noise samples a batch, and tokens a batch: the first FIRST, twice
 #: as many after each STEPS batches, up to BATCH.
 WIDTH, NOISE, BATCH, FIRST, STEPS = 16, 64, 8192, 256, 32
@@ -280,6 +280,7 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", keep: list[str]
     zero. Equal and repeated rows are scored each by themselves.
     """
     spark = docs.sparkSession
+    bounded(spark)
     counts = cut(count_words(train.select(F.col(text).cast("binary").alias("_text"))))
     vocab = vocabulary(counts)
     model = fit(train.select(F.col(text).cast("binary").alias("_text")), vocab)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import connected_components, cut, slices, spread_join, table
+from feedweave.llm.common import Filter, bounded, connected_components, cut, slices, spread_join, table
 
 SEED = 42
 #: Lane tables: bit k of a byte becomes 1 in byte k of a 64-bit word.
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, text: str, width: int, keep: list[str]) -> Dat
             out = [majority(np.fromiter(shingle_hashes(t or b"", width), np.uint64)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(out, np.uint64).view(np.int64))], names=[*keep, "fp"])
 
+    bounded(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "fp bigint"])
     return rows.mapInArrow(run, schema)
@@ -161,22 +162,31 @@ def _compare(a, b, start_a, na, start_b, nb, lead, most, depth_of_lead):
             yield u[near], v[near]
 
 
-def _links(tries: list[tuple[int, int, int]], most: int):
+def _links(tries: list[tuple[int, int, int]], most: int, most_of_both: int | None):
     """A grouped map: links between the residents of a prefix and its visitors."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         words = group["word"].to_numpy().view(np.uint64)
         home = group["home"].to_numpy()
         turn, bits, errors = tries[int(group["pass"].iloc[0])]
-        here, there = np.sort(words[home]), np.sort(words[~home])
-        values = np.concatenate([here, there])
+        order = np.lexsort((words, ~home))
+        values, n = words[order], int(home.sum())
+        here, there = values[:n].copy(), values[n:].copy()
+        second = group["second"].to_numpy().view(np.uint64)[order] if most_of_both else None
         forest, own, kept = Forest(len(values)), Trie(here), []
-        if len(here):
+
+        def near(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+            if second is not None:
+                both = np.bitwise_count(values[u] ^ values[v]) + np.bitwise_count(second[u] ^ second[v]) <= most_of_both
+                u, v = u[both], v[both]
+            return forest.link(u, v)
+
+        if n:
             for u, v in trie_join(own, own, errors, most, bits):
-                kept += forest.link(u, v)
+                kept += near(u, v)
             if len(there):
                 for u, v in trie_join(own, Trie(there), errors, most, bits):
-                    kept += forest.link(u, v + len(here))
+                    kept += near(u, v + n)
         back = lambda x: (x >> np.uint64(turn) | x << np.uint64(64 - turn) if turn else x).view(np.int64)
         edges = np.array(kept, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": back(values[edges[:, 0]]), "b": back(values[edges[:, 1]])})
@@ -184,9 +194,12 @@ def _links(tries: list[tuple[int, int, int]], most: int):
     return run
 
 
-def near_links(values: DataFrame, most: int = 4, tries: list[tuple[int, int, int]] | None = None, room: int = 50_000, least_depth: int = 8) -> DataFrame:
+def near_links(values: DataFrame, most: int = 4, tries: list[tuple[int, int, int]] | None = None, room: int = 50_000, least_depth: int = 8, most_of_both: int | None = None) -> DataFrame:
     """Links that join the distinct fingerprints ``fp`` within ``most`` bits.
 
+    With ``most_of_both`` there is a second word ``second`` for each, and at most so
+    many bits may differ in the two together.
+
     A trie (rotation, bits, errors) holds the fingerprints turned left by some
     bits and meets the pairs that differ in at most ``errors`` of the first
     ``bits``. By default there are two, which together meet all pairs: at most
@@ -202,14 +215,14 @@ def near_links(values: DataFrame, most: int = 4, tries: list[tuple[int, int, int
     while depth < 20 and n / 2**depth > room / 4:
         depth += 1
     turned = [F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", 64 - k)) if k else F.col("fp") for k, _, _ in tries]
-    both = values.select(F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.lit(e).alias("errors"), w.alias("word")) for k, (w, (_, _, e)) in enumerate(zip(turned, tries))])).alias("x")).select("x.*")
+    both = values.select(F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.lit(e).alias("errors"), w.alias("word"), *([F.col("second")] if most_of_both else [])) for k, (w, (_, _, e)) in enumerate(zip(turned, tries))])).alias("x")).select("x.*")
     top = F.shiftrightunsigned("word", 64 - depth) if depth else F.lit(0).cast("long")
     flips: Column = F.lit(None).cast("array<int>")
     for e in sorted({e for _, _, e in tries}):
         flips = F.when(F.col("errors") == e, F.array(*[F.lit(m) for m in range(1 << depth) if m.bit_count() <= e])).otherwise(flips)
     dealt = both.withColumn("flip", F.explode(flips)).withColumn("node", top.bitwiseXOR(F.col("flip"))).where(F.col("node") <= top)
-    grouped = dealt.select("pass", "node", "word", (F.col("flip") == 0).alias("home")).groupBy("pass", "node")
-    return grouped.applyInPandas(_links(tries, most), "a bigint, b bigint")
+    grouped = dealt.select("pass", "node", "word", (F.col("flip") == 0).alias("home"), *(["second"] if most_of_both else [])).groupBy("pass", "node")
+    return grouped.applyInPandas(_links(tries, most, most_of_both), "a bigint, b bigint")
 
 
 def components(marked: DataFrame, id_col: str, most: int = 4) -> DataFrame:
@@ -237,24 +250,41 @@ def simhash(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
 
 #: A document's sketch: the smallest of its different shingle hashes, 8 bytes each.
 SKETCH = 256
-#: Rotations of the fingerprint that near_dedup looks at, and the bits that may differ.
-ROTATIONS, WIDE = range(0, 64, 2), 14
+#: Rotations of the fingerprint that near_dedup looks at, and the bits that may
+#: differ in it, and in it and a second fingerprint together.
+ROTATIONS, WIDE, WIDE_BOTH = range(0, 64, 2), 14, 30
 
 
-def sketches(docs: DataFrame, text: str, width: int, id_col: str) -> DataFrame:
-    """``id_col``, ``fp`` and ``sketch`` of every whole text."""
+def two_fingerprints(docs: DataFrame, text: str, width: int, id_col: str) -> DataFrame:
+    """``id_col`` and two independent fingerprints ``fp`` and ``second`` of every whole text."""
 
     def run(batches):
         for batch in slices(batches, "_text"):
-            fps, least = [], []
+            one, two = [], []
             for t in batch.column("_text").to_pylist():
                 hashes = np.fromiter(shingle_hashes(t or b"", width), np.uint64)
-                fps.append(majority(hashes))
-                least.append(np.unique(hashes)[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.binary())], names=[id_col, "fp", "sketch"])
+                one.append(majority(hashes))
+                two.append(majority((hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))], names=[id_col, "fp", "second"])
 
+    bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint, sketch binary")
+    return docs.select(id_col, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint, second bigint")
+
+
+def sketches(docs: DataFrame, text: str, width: int, id_col: str, wanted: Filter) -> DataFrame:
+    """``id_col`` and ``sketch`` of the rows whose id's hash may be in ``wanted``."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        for batch in slices(batches, "_text"):
+            at = pa.array(shared.value.hits(batch.column("_h").to_numpy().view(np.uint64)))
+            some = batch.take(at)
+            least = [np.unique(np.fromiter(shingle_hashes(t or b"", width), np.uint64))[:SKETCH].tobytes() for t in some.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(id_col), pa.array(least, pa.binary())], names=[id_col, "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.xxhash64(id_col).alias("_h"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, sketch binary")
 
 
 def resemblance(a: bytes, b: bytes) -> float:
@@ -269,8 +299,9 @@ def resemblance(a: bytes, b: bytes) -> float:
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
     """The rows of ``docs`` without near duplicates of rows with a smaller id; all columns.
 
-    Candidates are fingerprints within WIDE bits that the trie join meets in one
-    of ROTATIONS with at most one differing bit at its start. Of each group of
+    Candidates are fingerprints within WIDE bits (and WIDE_BOTH with a second one)
+    that the trie join meets in one of ROTATIONS with at most one differing bit at
+    its start. Of each group of
     candidates the document with the smallest id is the first leader; those
     whose shingles are at least ``similarity`` like its own go; of the rest the
     smallest is the next leader, ``rounds`` times; what is left then stays.
@@ -279,13 +310,14 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     Of several rows with one id one stays. Rows with a null id stay. Texts without words are alike. An empty table
     gives an empty result.
     """
-    marked = cut(sketches(docs, text, width, id_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
+    marked = cut(two_fingerprints(docs, text, width, id_col))
+    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("second").alias("second")))
     start = max(16, distinct.count().bit_length() - 2)
-    links = near_links(distinct.select("fp"), WIDE, [(k, start, 1) for k in ROTATIONS], room=4_000_000, least_depth=0)
+    links = near_links(distinct.select("fp", "second"), WIDE, [(k, start, 1) for k in ROTATIONS], room=4_000_000, least_depth=0, most_of_both=WIDE_BOTH)
     linked = connected_components(links.distinct()).select(F.col("node").alias("fp"), "root")
-    members = linked.join(distinct, "fp").where(F.col("least").isNotNull())
-    bodies = marked.select(F.col("fp").alias("_f"), F.col(id_col).alias("_i"), "sketch").join(members, (F.col("_f") == F.col("fp")) & (F.col("_i") == F.col("least")))
+    members = cut(linked.join(distinct.select("fp", "least"), "fp").where(F.col("least").isNotNull()))
+    wanted = Filter(members.select(F.xxhash64("least").alias("h")), "h")
+    bodies = sketches(docs, text, width, id_col, wanted).join(members, F.col(id_col) == F.col("least"))
     left = cut(bodies.groupBy("root", "fp", "least").agg(F.first("sketch").alias("sketch")))
 
     def judge(batches):
@@ -304,7 +336,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
         if left.isEmpty():
             break
     copies = reduce(DataFrame.unionByName, likes).withColumn("like", F.lit(True))
-    owners = distinct.join(copies, "fp", "left")
+    owners = distinct.drop("second").join(copies, "fp", "left")
     found = spread_join(marked.select(id_col, "fp"), owners, "fp").groupBy(id_col).agg(F.max(F.coalesce("like", F.lit(False)) | (F.col(id_col) != F.col("least"))).alias("goes"), F.count("*").alias("n"))
     found = cut(found.where(F.col(id_col).isNotNull()))
     gone = table(found.where("goes").select(id_col))

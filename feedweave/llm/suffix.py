@@ -11,18 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import cut, parts, powers, slices, spread_join
+from feedweave.llm.common import Filter, bounded, cut, parts, powers, slices, spread_join
 
 #: Anchors are substrings of this many bytes.
 GRAM = 40
-#: Bits of the filters that thin out rows before a shuffle: 16 for each hash in
-#: them, up to 2**FILTER_BITS (32 MB). A full one lets more rows through, and never
-#: loses one.
-FILTER_BITS = 28
 #: An anchor is hot if over 1/HOT of all different segments have it, so there are
 #: under HOT hot ones; its windows are dealt by their distance from it, PIECE by PIECE.
 #: Anchors of up to LEAST_HOT segments are never hot.
 HOT, LEAST_HOT, PIECE = 4096, 1000, 8
+#: Anchors that a task counts before it passes them on.
+AT_ONCE = 1_000_000
 #: Windows that are sorted at a time.
 CHUNK = 100_000
 
@@ -65,39 +63,25 @@ def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     return text[new], start[new] - begin[text[new]], count, at[new] - start[new], key ^ key >> np.uint64(32)
 
 
-class Filter:
-    """A bitmap by the leading bits of 64-bit hashes."""
-
-    def __init__(self, hashes: DataFrame, column: str):
-        self.bits, n = 16, hashes.count()
-        while self.bits < FILTER_BITS and 1 << self.bits < 16 * n:
-            self.bits += 1
-        place = f"shiftrightunsigned({column}, {64 - self.bits})"
-        bit = F.expr(f"shiftleft(1L, cast({place} & 63 as int))")
-        words = hashes.groupBy(F.expr(f"shiftright({place}, 6)").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
-        self.words = np.zeros(1 << self.bits - 6, np.uint64)
-        self.words[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
-
-    def __contains__(self, h: int) -> bool:
-        at = h >> 64 - self.bits
-        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        at = h >> np.uint64(64 - self.bits)
-        return np.flatnonzero(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
-
-
 def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     """Hashes that are the anchor of several runs."""
 
     def run(batches):
+        found: list[np.ndarray] = []
         for batch in slices(batches, "_text"):
             for _, texts in parts(batch):
-                keys, n = np.unique(runs(texts, least)[4].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+                found.append(runs(texts, least)[4].view(np.int64))
+                if sum(map(len, found)) > AT_ONCE:
+                    yield counted(found)
+        yield counted(found)
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-    counted = docs.select("_text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return cut(counted.where("n > 1").select("key"))
+    sums = docs.select("_text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return cut(sums.where("n > 1").select("key"))
 
 
 def segments(batch: pa.RecordBatch, least: int, anchors: Filter) -> Iterator[tuple[int, int, int, int, int, bytes, bytes, int]]:
@@ -126,15 +110,21 @@ def segment_kinds(docs: DataFrame, least: int, anchors: Filter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches):
+        seen: dict[tuple[int, bytes], list] = {}
         for batch in slices(batches, "_text"):
-            seen: dict[tuple[int, bytes], list] = {}
             for _, _, k, c, a, _, digest, first in segments(batch, least, shared.value):
                 x = seen.setdefault((k, digest), [0, first, c, a])
                 x[0] += 1
                 x[1] = min(x[1], first)
-            columns = [[k for k, _ in seen], [d for _, d in seen], *([x[n] for x in seen.values()] for n in (0, 2, 3)), [b"%032x" % x[1] for x in seen.values()], [signed(tag(d, x[1])) for (_, d), x in seen.items()]]
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "digest", "n", "windows", "ahead", "first", "tag"])
+            if len(seen) > AT_ONCE // 10:
+                yield told(seen)
+        yield told(seen)
+
+    def told(seen: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
+        columns = [[k for k, _ in seen], [d for _, d in seen], *([x[n] for x in seen.values()] for n in (0, 2, 3)), [b"%032x" % x[1] for x in seen.values()], [signed(tag(d, x[1])) for (_, d), x in seen.items()]]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "digest", "n", "windows", "ahead", "first", "tag"])
 
     rows = docs.select("_rank", "_text").mapInArrow(run, "key bigint, digest binary, n bigint, windows int, ahead int, first binary, tag bigint")
     return rows.groupBy("key", "digest", "windows", "ahead").agg(F.sum("n").alias("n"), F.min(F.struct("first", "tag")).alias("x")).select("key", "digest", "windows", "ahead", "n", "x.first", "x.tag")
@@ -303,6 +293,7 @@ def spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: in
     ids are ordered by text hash, and of rows equal in both all are first. An
     empty table gives an empty result.
     """
+    bounded(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     keyed = keyed.withColumn("_hash", F.xxhash64("_text")).withColumn("_rank", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
     long = keyed.where(F.octet_length("_text") >= least)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import SLICE_BYTES, cut, shared_dir, slices, spread_join, table
+from feedweave.llm.common import SLICE_BYTES, bounded, cut, shared_dir, slices, spread_join, table
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
@@ -99,6 +99,7 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", id_col: st
     are split into continuation records. Repeated rows are written each; pages
     whose id is null have the id of no page and never displace another.
     """
+    bounded(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     narrow = pages.select(F.col(id_col).alias("_id"), F.octet_length(body).alias("_n"), body.alias("_b")).where(F.col("_n") >= least).select("_id", F.sha1("_b").alias("_digest"), "_n")
     shared = table(narrow.groupBy("_digest", "_n").agg(F.max("_id").alias("_last"), F.count("*").alias("_c")).where("_c > 1").select(F.concat_ws(":", "_digest", "_n").alias("_same"), "_last"))
