@@ -13,8 +13,8 @@ from feedweave.operators.nodes import Fields, Scope, at, blank, build, capped, k
 from feedweave.plans import schema as S
 
 ITUNES_SCHEME = "http://www.itunes.com/"
-#: EPSG codes of systems whose axes are latitude first.
-GEOGRAPHIC = (4326, 4258, 4269, 4267, 4283, 4617, 4674, 4148, 4171, 4322, 4979)
+#: Ranges of EPSG codes that are of geographic systems, latitude first.
+GEOGRAPHIC = "3819 3821 3824 3889 3906 4001-4016 4018-4025 4027-4036 4041-4047 4052-4055 4075 4081 4120-4176 4178-4185 4188-4216 4218-4289 4291-4304 4306-4319 4322 4324 4326 4463 4470 4475 4483 4490 4555 4558 4600-4646 4657-4765 4801-4811 4813-4821 4823-4824 4901-4904 4979"
 _COORDINATES = "array<struct<lat:double,lon:double>>"
 
 
@@ -225,9 +225,14 @@ def coordinates(text: Column, dimensions: Column | int = 2, swapped: Column | No
 
 
 def lon_first(srs: Column) -> Column:
-    """Whether a reference system names longitude first: CRS84, and codes that are not geographic."""
-    code = F.regexp_extract(srs, r"(?i)epsg(?:::|[:/#]+(?:[0-9.]+[:/])?)(\d+)", 1).try_cast("int")
-    return F.coalesce(F.upper(srs).contains("CRS84") | (code.isNotNull() & ~code.isin(*GEOGRAPHIC)), F.lit(False))
+    """Whether a reference system names longitude first: CRS84, and EPSG codes that are not geographic."""
+    name = F.upper(F.trim(srs))
+    code = F.when(name.contains("EPSG"), F.regexp_extract(name, r"(?:^|[:/#])\s*(\d+)\s*[:/#]*$", 1).try_cast("int"))
+    geographic = F.lit(False)
+    for part in GEOGRAPHIC.split():
+        first, _, last = part.partition("-")
+        geographic |= code.between(int(first), int(last or first))
+    return F.coalesce(name.contains("CRS84") | (code.isNotNull() & ~geographic), F.lit(False))
 
 
 def _gml(s: Scope) -> Column:

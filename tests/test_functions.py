@@ -159,3 +159,11 @@ def test_encodings():
 )
 def test_formats(text, want):
     assert version_of(text.encode()) == want
+
+
+def test_axis_order(spark):
+    from feedweave.operators.extensions import lon_first
+
+    names = {"EPSG:4326": False, "urn:ogc:def:crs:EPSG::4326": False, "http://www.opengis.net/def/crs/EPSG/0/3857": True, "http://www.opengis.net/gml/srs/epsg.xml#4258": False, "urn:ogc:def:crs:OGC:1.3:CRS84": True, "EPSG:4017": True, "other": False, None: False}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", lon_first(F.col("n")).alias("x")).collect()
+    assert {r.n: r.x for r in rows} == names
