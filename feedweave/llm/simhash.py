@@ -12,8 +12,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from feedweave.llm.common import Filter, bounded, connected_components, cut, slices, spread_join, table
+from feedweave.llm.common import FILTER_BITS, Filter, bounded, connected_components, cut, slices, spread_join, table
 
 SEED = 42
 #: Lane tables: bit k of a byte becomes 1 in byte k of a 64-bit word.
@@ -248,101 +249,214 @@ def simhash(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     return components(marked, id_col, most)
 
 
-#: A document's sketch: the smallest of its different shingle hashes, 8 bytes each.
-SKETCH = 256
-#: Rotations of the fingerprint that near_dedup looks at, and the bits that may
-#: differ in it, and in it and a second fingerprint together.
-ROTATIONS, WIDE, WIDE_BOTH = range(0, 64, 2), 14, 30
+#: Of the hashes that end so (mod 8) it is counted which several texts have; as
+#: these are 3 in 8 and a prefix about 1 in 5, the others are seldom looked at.
+COUNTED = 3
+#: The most common of the shared hashes have a place of their own in the order.
+COMMON, COMMON_LEAST = 100_000, 32
+#: Leaders of a hash that its members are compared with, by round; the last for all more.
+LEADERS = (1, 16, 128, 512)
 
 
-def two_fingerprints(docs: DataFrame, text: str, width: int, id_col: str) -> DataFrame:
-    """``id_col`` and two independent fingerprints ``fp`` and ``second`` of every whole text."""
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.fromiter(shingle_hashes(text or b"", width), np.uint64))
+
+
+class Bitmap(Filter):
+    """A filter that executors pack, so that only its bits come to the driver."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        bits, n = 16, hashes.count()
+        while bits < FILTER_BITS and 1 << bits < 16 * n:
+            bits += 1
+
+        def pack(group: pd.DataFrame) -> pd.DataFrame:
+            h = group["h"].to_numpy(np.int64).view(np.uint64)
+            mask = np.zeros(1 << bits - 8, np.uint8)
+            mask[(h >> np.uint64(64 - bits) & np.uint64((1 << bits - 8) - 1)).astype(np.int64)] = 1
+            return pd.DataFrame({"w": [int(h[0] >> np.uint64(56))], "b": [np.packbits(mask, bitorder="little").tobytes()]})
+
+        self.bits, self.words = bits, np.zeros(1 << bits - 6, np.uint64)
+        size = 1 << bits - 14
+        for w, b in hashes.select(F.col(column).alias("h")).groupBy(F.shiftrightunsigned("h", 56)).applyInPandas(pack, "w int, b binary").collect():
+            self.words[w * size : (w + 1) * size] = np.frombuffer(b, np.uint64)
+
+
+def set_key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def shared_hashes(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``h``, the counted hashes that two different texts have, and about in how many ``n``.
+
+    A hash leaves a slice of the texts twice at most, so that one that all texts
+    have is not a load on one task.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    ways = min(1 << 16, 16 + size // (4 << 20))
 
     def run(batches):
         for batch in slices(batches, "_text"):
-            one, two = [], []
-            for t in batch.column("_text").to_pylist():
-                hashes = np.fromiter(shingle_hashes(t or b"", width), np.uint64)
-                one.append(majority(hashes))
-                two.append(majority((hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))], names=[id_col, "fp", "second"])
+            sets = {set_key(u): u[u & np.uint64(7) < COUNTED] for u in (shingle_set(t, width) for t in batch.column("_text").to_pylist())}
+            h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+            h = np.repeat(h, np.minimum(n, 2))
+            way = (h >> np.uint64(3)) % np.uint64(ways)
+            order = np.argsort(way, kind="stable")
+            found, at = np.unique(way[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(h[order], at[1:])] if len(found) else []
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(packed, pa.binary())], names=["way", "hashes"])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        h, n = np.unique(np.frombuffer(b"".join(group["hashes"]), np.uint64), return_counts=True)
+        return pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
 
     bounded(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint, second bigint")
+    packed = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, "way bigint, hashes binary")
+    return packed.groupBy("way").applyInPandas(count, "h bigint, n bigint")
 
 
-def sketches(docs: DataFrame, text: str, width: int, id_col: str, wanted: Filter) -> DataFrame:
-    """``id_col`` and ``sketch`` of the rows whose id's hash may be in ``wanted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def prefixes(docs: DataFrame, text: str, width: int, id_col: str, similarity: float) -> DataFrame:
+    """``id_col``, the text's hash ``_th``, the ``key`` of its shingle set, its ``size``, ``prefix`` and ``hashes``.
+
+    All hashes have one order: those of one text only, the shared ones, the common
+    ones by count, those that were not counted. Sets of at least ``similarity``
+    meet in the first ``size - ceil(similarity * size) + 1`` hashes of each. What
+    no other text has cannot meet, so it is left out; where nothing is left, the
+    text is near to no other, and ``prefix`` and ``hashes`` are null.
+    """
+    shared = cut(shared_hashes(docs, text, width))
+    least, more = COMMON_LEAST, 0
+    for level, count in sorted(shared.where(F.col("n") >= least).groupBy(F.floor(F.log2("n"))).count().collect(), reverse=True):
+        more += count
+        if more > COMMON:
+            least = 2 << level
+            break
+    common = shared.where(F.col("n") >= least).toPandas()
+    known, times = common["h"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64)
+    order = np.argsort(known)
+    sent = docs.sparkSession.sparkContext.broadcast((Bitmap(shared, "h"), known[order], times[order]))
+
+    def prefix(u: np.ndarray) -> np.ndarray:
+        maybe, known, times = sent.value
+        first = len(u) - int(np.ceil(similarity * len(u) - 1e-9)) + 1 if len(u) else 0
+        counted = u & np.uint64(7) < COUNTED
+        low = u[counted]
+        met = low[maybe.hits(low)]
+        room = first - (len(low) - len(met))
+        if room <= 0:
+            return u[:0]
+        rank = np.zeros(len(met), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, met), len(known) - 1)
+            rank = np.where(known[at] == met, times[at], 0)
+        return np.concatenate([met[np.lexsort((met, rank))], u[~counted]])[:room]
 
     def run(batches):
         for batch in slices(batches, "_text"):
-            at = pa.array(shared.value.hits(batch.column("_h").to_numpy().view(np.uint64)))
-            some = batch.take(at)
-            least = [np.unique(np.fromiter(shingle_hashes(t or b"", width), np.uint64))[:SKETCH].tobytes() for t in some.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(id_col), pa.array(least, pa.binary())], names=[id_col, "sketch"])
+            keys, sizes, firsts, sets = [], [], [], []
+            for t in batch.column("_text").to_pylist():
+                u = shingle_set(t, width)
+                p = prefix(u)
+                keys.append(set_key(u))
+                sizes.append(len(u))
+                firsts.append(p.view(np.int64) if len(p) else None)
+                sets.append(u.tobytes() if len(p) else None)
+            made = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_th"), *made], names=[id_col, "_th", "key", "size", "prefix", "hashes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.xxhash64(id_col).alias("_h"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, sketch binary")
+    rows = docs.select(id_col, text_hash(text).alias("_th"), F.col(text).cast("binary").alias("_text"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, _th bigint, key bigint, size bigint, prefix array<bigint>, hashes binary")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
 
 
 def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of shingles by their sketches; exact for small sets."""
+    """Jaccard similarity of two sets of shingle hashes."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    union = np.union1d(x, y)[: SKETCH if len(x) == SKETCH or len(y) == SKETCH else None]
-    if not len(union):
-        return 1.0
-    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union)
+    both = len(np.intersect1d(x, y, True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near duplicates of rows with a smaller id; all columns.
-
-    Candidates are fingerprints within WIDE bits (and WIDE_BOTH with a second one)
-    that the trie join meets in one of ROTATIONS with at most one differing bit at
-    its start. Of each group of
-    candidates the document with the smallest id is the first leader; those
-    whose shingles are at least ``similarity`` like its own go; of the rest the
-    smallest is the next leader, ``rounds`` times; what is left then stays.
-    Documents with equal fingerprints are equal here.
+def followers(sets: DataFrame, similarity: float) -> DataFrame:
+    """The keys of ``sets`` that go: each is like one of a smaller ``owner`` that stays.
 
-    Of several rows with one id one stays. Rows with a null id stay. Texts without words are alike. An empty table
-    gives an empty result.
+    In a round the members of a hash are compared with its first few, the
+    leaders, never all with all. A text that leads in all its hashes was
+    compared with all that it can be like. If nothing that it is like
+    comes before it, it stays, and those like it go. Who is neither, waits for the
+    next round, which takes more leaders. The first of all always stays, so no
+    text is left unjudged.
     """
-    marked = cut(two_fingerprints(docs, text, width, id_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("second").alias("second")))
-    start = max(16, distinct.count().bit_length() - 2)
-    links = near_links(distinct.select("fp", "second"), WIDE, [(k, start, 1) for k in ROTATIONS], room=4_000_000, least_depth=0, most_of_both=WIDE_BOTH)
-    linked = connected_components(links.distinct()).select(F.col("node").alias("fp"), "root")
-    members = cut(linked.join(distinct.select("fp", "least"), "fp").where(F.col("least").isNotNull()))
-    wanted = Filter(members.select(F.xxhash64("least").alias("h")), "h")
-    bodies = sketches(docs, text, width, id_col, wanted).join(members, F.col(id_col) == F.col("least"))
-    left = cut(bodies.groupBy("root", "fp", "least").agg(F.first("sketch").alias("sketch")))
 
     def judge(batches):
         for batch in batches:
-            like = [resemblance(a, b) >= similarity for a, b in zip(batch.column("sketch").to_pylist(), batch.column("_s").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "fp", "least", "sketch")), pa.array(like, pa.bool_())], names=["root", "fp", "least", "sketch", "like"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    likes = []
-    for _ in range(rounds):
-        leads = left.groupBy("root").agg(F.min_by(F.struct("fp", "sketch"), "least").alias("x")).select("root", F.col("x.fp").alias("_lead"), F.col("x.sketch").alias("_s"))
-        judged = left.join(leads, "root").where(F.col("fp") != F.col("_lead")).select("root", "fp", "least", "sketch", "_s")
-        judged = cut(judged.mapInArrow(judge, f"root bigint, fp bigint, least {kind}, sketch binary, like boolean"))
-        likes.append(judged.where("like").select("fp"))
-        left = judged.where("not like").drop("like")
+            like = [resemblance(a, b) >= similarity for a, b in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    bounded(sets.sparkSession)
+    left = cut(sets.select(F.explode("prefix").alias("h"), "key", "owner", "size"))
+    hashes = sets.select("key", "hashes")
+    gone, turn = [], 0
+    while True:
+        most, turn = LEADERS[min(turn, len(LEADERS) - 1)], turn + 1
+        place = F.row_number().over(Window.partitionBy("h").orderBy("owner", "key"))
+        leads = cut(left.withColumn("_n", place).where(F.col("_n") <= most).select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), F.col("size").alias("_s")))
+        close = (F.col("_s") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_s") * similarity - 1e-6)
+        later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
+        pairs = left.join(leads, "h").where(later & close).select("a", F.col("key").alias("b")).distinct()
+        pairs = pairs.join(hashes.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b").join(hashes.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a")
+        links = cut(pairs.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
+        led = leads.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("_led"))
+        wait = cut(left.groupBy("key").agg(F.count("*").alias("_all")).join(led, "key", "left").where(F.coalesce("_led", F.lit(0)) < F.col("_all")).select("key"))
+        went = []
+        while True:
+            first = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_anti").join(wait.select(F.col("key").alias("a")), "a", "left_anti")
+            less = cut(links.join(first, "a", "left_semi").select(F.col("b").alias("key")).distinct())
+            if less.isEmpty():
+                break
+            went.append(less)
+            links = cut(links.join(less.select(F.col("key").alias("b")), "b", "left_anti").join(less.select(F.col("key").alias("a")), "a", "left_anti").select("a", "b"))
+        gone += went
+        open_ = wait.unionByName(links.select(F.col("b").alias("key"))).distinct()
+        for less in went:
+            open_ = open_.join(less, "key", "left_anti")
+        left = cut(left.join(open_, "key", "left_semi"))
         if left.isEmpty():
             break
-    copies = reduce(DataFrame.unionByName, likes).withColumn("like", F.lit(True))
-    owners = distinct.drop("second").join(copies, "fp", "left")
-    found = spread_join(marked.select(id_col, "fp"), owners, "fp").groupBy(id_col).agg(F.max(F.coalesce("like", F.lit(False)) | (F.col(id_col) != F.col("least"))).alias("goes"), F.count("*").alias("n"))
-    found = cut(found.where(F.col(id_col).isNotNull()))
-    gone = table(found.where("goes").select(id_col))
-    stay = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    twice = table(found.where("not goes and n > 1").select(id_col))
+    return reduce(DataFrame.unionByName, gone) if gone else sets.select("key").limit(0)
+
+
+def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates of rows with a smaller id; all columns.
+
+    Texts are alike if the Jaccard similarity of their sets of shingles (by 64-bit
+    hashes) is at least ``similarity``. By rising id, a text stays unless it is
+    like one that stays. All such pairs are met, however many texts there are: by a
+    join on the rarest shingles of each, and each is decided on the whole sets.
+
+    Rows are judged by id and text: of several rows with one id those with
+    different texts are judged apart, and of equal ones one stays. Rows with a null
+    id stay and lead none. Texts without words are alike. An empty table gives an
+    empty result.
+    """
+    marked = cut(prefixes(docs, text, width, id_col, similarity))
+    named = marked.where(F.col(id_col).isNotNull())
+    owners = cut(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
+    held = named.where(F.col("prefix").isNotNull())
+    sets = cut(held.join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "hashes"))
+    judged = owners.join(followers(sets, similarity).withColumn("like", F.lit(True)), "key", "left")
+    mine = F.struct(F.col(id_col), F.col("_th")) == F.col("owner")
+    found = spread_join(named.select(id_col, "_th", "key"), judged, "key").groupBy(id_col, "_th").agg(F.max(F.coalesce("like", F.lit(False)) | ~mine).alias("goes"), F.count("*").alias("n"))
+    found = cut(found)
+    gone = table(found.where("goes").select(id_col, "_th"))
+    rows = docs.withColumn("_th", text_hash(text))
+    stay = rows.join(gone, [id_col, "_th"], "left_anti")
+    twice = table(found.where("not goes and n > 1").select(id_col, "_th"))
     if twice.isEmpty():
-        return stay
-    once = stay.join(twice, id_col, "left_anti").select(docs.columns)
-    return once.unionByName(stay.join(twice, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+        return stay.select(docs.columns)
+    once = stay.join(twice, [id_col, "_th"], "left_anti").select(docs.columns)
+    return once.unionByName(stay.join(twice, [id_col, "_th"], "left_semi").dropDuplicates([id_col, "_th"]).select(docs.columns))

@@ -116,3 +116,34 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     got = near_dedup(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in got.collect()) == [-1, 1, 7]
+
+
+def shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def stays(texts):
+    """By rising id, the texts that are not 0.8 like one that stays; all pairs compared."""
+    kept = {}
+    for i in sorted(texts):
+        s = shingles(texts[i])
+        if all(len(s & o) < 0.8 * len(s | o) for o in kept.values()):
+            kept[i] = s
+    return set(kept)
+
+
+def test_near_dedup_decides_pairs_beside_the_threshold(spark):
+    rng = np.random.default_rng(21)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts, shares = {}, []
+    for i in range(150):
+        words = list(rng.choice(vocab, rng.integers(100, 900)))
+        other = list(words)
+        for k in rng.choice(len(words), max(1, round(len(words) * rng.uniform(0.018, 0.034))), replace=False):
+            other[k] = "x" + other[k]
+        a, b = shingles(words), shingles(other)
+        shares.append(len(a & b) / len(a | b))
+        texts |= {i: words, 1000 + i: other}
+    assert sum(0.75 <= x < 0.8 for x in shares) > 20 and sum(0.8 <= x <= 0.85 for x in shares) > 20
+    docs = spark.createDataFrame([(i, " ".join(w), "", 0) for i, w in texts.items()], SCHEMA).repartition(3)
+    assert {r.doc_id for r in near_dedup(docs).collect()} == stays(texts)
