@@ -147,3 +147,24 @@ def test_near_dedup_decides_pairs_beside_the_threshold(spark):
     assert sum(0.75 <= x < 0.8 for x in shares) > 20 and sum(0.8 <= x <= 0.85 for x in shares) > 20
     docs = spark.createDataFrame([(i, " ".join(w), "", 0) for i, w in texts.items()], SCHEMA).repartition(3)
     assert {r.doc_id for r in near_dedup(docs).collect()} == stays(texts)
+
+
+def test_near_dedup_of_many_groups_on_one_template(spark):
+    rng = np.random.default_rng(22)
+    vocab = [f"w{i}" for i in range(5000)]
+    form, texts = list(rng.choice(vocab, 300)), {}
+    for g in range(24):
+        own = form + list(rng.choice(vocab, 60))
+        for k in range(6):
+            words = list(own)
+            words[int(rng.integers(0, 300))] = f"x{g}_{k}"
+            texts[int(rng.integers(0, 10**9))] = words
+    want = stays(texts)
+    docs = spark.createDataFrame([(i, " ".join(w), "", 0) for i, w in texts.items()], SCHEMA).repartition(3)
+    assert 5 < len(want) < len(texts) / 2 and {r.doc_id for r in near_dedup(docs).collect()} == want
+
+
+def test_near_dedup_judges_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words are here now"), (3, "p q r s t u"), (3, "v w x y z a"), (3, "v w x y z a")]
+    got = near_dedup(spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, rows[0][1]), (2, rows[2][1]), (3, rows[3][1]), (3, rows[4][1])]
