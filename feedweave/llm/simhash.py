@@ -254,8 +254,11 @@ def simhash(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
 COUNTED = 3
 #: The most common of the shared hashes have a place of their own in the order.
 COMMON, COMMON_LEAST = 100_000, 32
-#: Leaders of a hash that its members are compared with, by round; the last for all more.
-LEADERS = (1, 16, 128, 512)
+#: Leaders of a hash that its members are compared with in a round: one as long as a
+#: round settles half of the texts, then the next numbers, the last in all further rounds.
+LEADERS = (1, 32, 512)
+#: Words of a set's parities.
+PARITIES = 4
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -283,6 +286,15 @@ class Bitmap(Filter):
             self.words[w * size : (w + 1) * size] = np.frombuffer(b, np.uint64)
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """Parities of a set's hashes by some of their bits, as signed 64-bit words.
+
+    Two sets differ in no more of them than in elements, whatever the sets.
+    """
+    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
@@ -317,13 +329,13 @@ def shared_hashes(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, text: str, width: int, id_col: str, similarity: float) -> DataFrame:
-    """``id_col``, the text's hash ``_th``, the ``key`` of its shingle set, its ``size``, ``prefix`` and ``hashes``.
+    """``id_col``, the text's hash ``_th``, the ``key`` of its shingle set, its ``size``, ``prefix``, ``sign`` (parities) and ``hashes``.
 
     All hashes have one order: those of one text only, the shared ones, the common
     ones by count, those that were not counted. Sets of at least ``similarity``
     meet in the first ``size - ceil(similarity * size) + 1`` hashes of each. What
     no other text has cannot meet, so it is left out; where nothing is left, the
-    text is near to no other, and ``prefix`` and ``hashes`` are null.
+    text is near to no other, and ``prefix``, ``sign`` and ``hashes`` are null.
     """
     shared = cut(shared_hashes(docs, text, width))
     least, more = COMMON_LEAST, 0
@@ -354,20 +366,21 @@ def prefixes(docs: DataFrame, text: str, width: int, id_col: str, similarity: fl
 
     def run(batches):
         for batch in slices(batches, "_text"):
-            keys, sizes, firsts, sets = [], [], [], []
+            keys, sizes, firsts, signs, sets = [], [], [], [], []
             for t in batch.column("_text").to_pylist():
                 u = shingle_set(t, width)
                 p = prefix(u)
                 keys.append(set_key(u))
                 sizes.append(len(u))
                 firsts.append(p.view(np.int64) if len(p) else None)
+                signs.append(parities(u) if len(p) else None)
                 sets.append(u.tobytes() if len(p) else None)
-            made = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_th"), *made], names=[id_col, "_th", "key", "size", "prefix", "hashes"])
+            made = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_th"), *made], names=[id_col, "_th", "key", "size", "prefix", "sign", "hashes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_hash(text).alias("_th"), F.col(text).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, _th bigint, key bigint, size bigint, prefix array<bigint>, hashes binary")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, _th bigint, key bigint, size bigint, prefix array<bigint>, sign array<bigint>, hashes binary")
 
 
 def text_hash(text: str) -> Column:
@@ -388,8 +401,13 @@ def followers(sets: DataFrame, similarity: float) -> DataFrame:
     leaders, never all with all. A text that leads in all its hashes was
     compared with all that it can be like. If nothing that it is like
     comes before it, it stays, and those like it go. Who is neither, waits for the
-    next round, which takes more leaders. The first of all always stays, so no
-    text is left unjudged.
+    next round. The first of all always stays, so no text is left unjudged.
+    While one leader a hash settles enough texts, members meet only such leaders
+    as are the first in all their hashes and so sure to stay. Where many texts
+    share a hash and are not alike, rounds take more leaders.
+
+    Sizes, and parities of the sets, rule out most pairs that are not alike before
+    whole sets are sent to where they are compared.
     """
 
     def judge(batches):
@@ -398,35 +416,58 @@ def followers(sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
     bounded(sets.sparkSession)
-    left = cut(sets.select(F.explode("prefix").alias("h"), "key", "owner", "size"))
     hashes = sets.select("key", "hashes")
-    gone, turn = [], 0
-    while True:
-        most, turn = LEADERS[min(turn, len(LEADERS) - 1)], turn + 1
-        place = F.row_number().over(Window.partitionBy("h").orderBy("owner", "key"))
-        leads = cut(left.withColumn("_n", place).where(F.col("_n") <= most).select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), F.col("size").alias("_s")))
-        close = (F.col("_s") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_s") * similarity - 1e-6)
-        later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
-        pairs = left.join(leads, "h").where(later & close).select("a", F.col("key").alias("b")).distinct()
-        pairs = pairs.join(hashes.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b").join(hashes.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a")
-        links = cut(pairs.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
-        led = leads.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("_led"))
-        wait = cut(left.groupBy("key").agg(F.count("*").alias("_all")).join(led, "key", "left").where(F.coalesce("_led", F.lit(0)) < F.col("_all")).select("key"))
-        went = []
-        while True:
-            first = links.select("a").distinct().join(links.select(F.col("b").alias("a")), "a", "left_anti").join(wait.select(F.col("key").alias("a")), "a", "left_anti")
-            less = cut(links.join(first, "a", "left_semi").select(F.col("b").alias("key")).distinct())
-            if less.isEmpty():
-                break
-            went.append(less)
-            links = cut(links.join(less.select(F.col("key").alias("b")), "b", "left_anti").join(less.select(F.col("key").alias("a")), "a", "left_anti").select("a", "b"))
+    signs = [f"s{k}" for k in range(PARITIES)]
+    differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in signs])
+    may = (F.col("_s") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_s") * similarity - 1e-6) & (differ <= (F.col("size") + F.col("_s")) * (1 - similarity) / (1 + similarity) + 1e-6)
+    later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Without the hashes that one text alone has."""
+        several = rows.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+        return cut(rows.join(several, "h", "left_semi"))
+
+    def alike(left: DataFrame, leads: DataFrame) -> DataFrame:
+        """Pairs of a leader ``a`` and a later text ``b`` that are alike."""
+        first = leads.select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), F.col("size").alias("_s"), *[F.col(s).alias(f"_{s}") for s in signs])
+        pairs = left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct()
+        pairs = pairs.join(hashes.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b")
+        pairs = spread_join(pairs, hashes.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a", "inner", F.col("b"))
+        return cut(pairs.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
+
+    def leading(left: DataFrame, first: DataFrame) -> DataFrame:
+        """The texts that are among the ``first`` in all their hashes."""
+        led = first.groupBy("key").agg(F.count("*").alias("_led"))
+        return cut(left.groupBy("key").agg(F.count("*").alias("_all")).join(led, "key").where("_led = _all").select("key"))
+
+    left = met(sets.select(F.explode("prefix").alias("h"), "key", "owner", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
+    gone, turn, n = [], 0, left.select("key").distinct().count()
+    while n:
+        if LEADERS[turn] == 1:
+            first = left.groupBy("h").agg(F.min(F.struct("owner", "key")).alias("_f")).select("h", F.col("_f.key").alias("key"))
+            sure = leading(left, first)
+            leads = left.join(first, ["h", "key"], "left_semi").join(sure, "key", "left_semi")
+            went = [cut(alike(left, leads).select(F.col("b").alias("key")).distinct())]
+            done = sure.unionByName(went[0])
+        else:
+            place = F.row_number().over(Window.partitionBy("h").orderBy("owner", "key"))
+            leads = cut(left.withColumn("_n", place).where(F.col("_n") <= LEADERS[turn]).drop("_n"))
+            lead = leading(left, leads.select("h", "key"))
+            links, went = alike(left, leads), []
+            while True:
+                top = links.select("a").distinct().join(lead.select(F.col("key").alias("a")), "a", "left_semi").join(links.select(F.col("b").alias("a")), "a", "left_anti")
+                less = cut(links.join(top, "a", "left_semi").select(F.col("b").alias("key")).distinct())
+                if less.isEmpty():
+                    break
+                went.append(less)
+                links = cut(links.join(less.select(F.col("key").alias("b")), "b", "left_anti").join(less.select(F.col("key").alias("a")), "a", "left_anti"))
+            kept = lead.join(links.select(F.col("b").alias("key")), "key", "left_anti")
+            done = reduce(DataFrame.unionByName, [kept, *went])
         gone += went
-        open_ = wait.unionByName(links.select(F.col("b").alias("key"))).distinct()
-        for less in went:
-            open_ = open_.join(less, "key", "left_anti")
-        left = cut(left.join(open_, "key", "left_semi"))
-        if left.isEmpty():
-            break
+        left = met(left.join(done.distinct(), "key", "left_anti"))
+        before, n = n, left.select("key").distinct().count()
+        if 2 * n > before:
+            turn = min(turn + 1, len(LEADERS) - 1)
     return reduce(DataFrame.unionByName, gone) if gone else sets.select("key").limit(0)
 
 
@@ -447,7 +488,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     named = marked.where(F.col(id_col).isNotNull())
     owners = cut(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
     held = named.where(F.col("prefix").isNotNull())
-    sets = cut(held.join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "hashes"))
+    sets = cut(held.join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign", "hashes"))
     judged = owners.join(followers(sets, similarity).withColumn("like", F.lit(True)), "key", "left")
     mine = F.struct(F.col(id_col), F.col("_th")) == F.col("owner")
     found = spread_join(named.select(id_col, "_th", "key"), judged, "key").groupBy(id_col, "_th").agg(F.max(F.coalesce("like", F.lit(False)) | ~mine).alias("goes"), F.count("*").alias("n"))
