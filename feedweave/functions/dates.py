@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Month names by their first three letters, and zone names with offsets.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 ZONES = {"z": "+00:00", "ut": "+00:00", "utc": "+00:00", "gmt": "+00:00", "est": "-05:00", "edt": "-04:00", "cst": "-06:00", "cdt": "-05:00", "mst": "-07:00", "mdt": "-06:00", "pst": "-08:00", "pdt": "-07:00"}
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?"
@@ -42,8 +42,8 @@ def _moment(parts: Column) -> Column:
     zones = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
     two = lambda c: F.lpad(c, 2, "0")
     offset = F.when(zone.rlike(r"^[+-]"), F.regexp_replace(zone, r"^(...):?(..)$", "$1:$2")).otherwise(F.coalesce(F.element_at(zones, zone), F.lit("+00:00")))
-    at = F.call_function("locate", F.substring(month, 1, 3), F.lit(MONTHS))
-    month = F.when(month.rlike(r"^\d"), month).when(at % 3 == 1, ((at + 2) / 3).cast("int").cast("string"))
+    at = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(month, 1, 3))
+    month = F.when(month.rlike(r"^\d"), month).when(at > 0, at.cast("string"))
     year = F.when(F.length(year) == 2, F.concat(F.when(year < "50", "20").otherwise("19"), year)).when(F.length(year) == 3, (year.try_cast("int") + 1900).cast("string")).otherwise(year)
     second = F.when(second == "60", "59").otherwise(second)
     text = F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit("T"), two(hour), F.lit(":"), two(minute), F.lit(":"), two(second), F.substring(fraction, 1, 7), offset)

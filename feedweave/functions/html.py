@@ -4,139 +4,181 @@ from __future__ import annotations
 
 import html
 import re
-from html.parser import HTMLParser
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What is kept, and what the nesting guard knows of elements.
-TAGS = frozenset("a abbr acronym b blockquote br caption cite code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img kbd li mark ol p pre q s samp small span strike strong sub sup table tbody td tfoot th thead tr u ul var".split())
-ATTRIBUTES = frozenset("alt cite class href id src title".split())
-TAG_ATTRIBUTES = {"a": "href hreflang", "blockquote": "cite", "hr": "align size width", "img": "align alt height src width", "ol": "start", "q": "cite", "table": "align char charoff summary", "tbody": "align char charoff", "td": "align char charoff colspan headers rowspan", "tfoot": "align char charoff", "th": "align char charoff colspan headers rowspan scope", "thead": "align char charoff", "tr": "align char charoff"}
+from feedweave.functions.markup import CDATA, CLOSE, OPEN, RAW, STRAY, tokens
+
+#: What is kept, and how elements nest.
+TAGS = frozenset((
+    "a", "abbr", "acronym", "b", "blockquote", "br", "caption", "cite", "code", "dd", "div", "dl", "dt", "em", "h1", "h2", "h3", "h4", "h5", "h6",
+    "hr", "i", "img", "kbd", "li", "mark", "ol", "p", "pre", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "table", "tbody",
+    "td", "tfoot", "th", "thead", "tr", "u", "ul", "var",
+))
+ATTRIBUTES = frozenset((
+    "alt", "cite", "class", "href", "id", "src", "title",
+))
+TAG_ATTRIBUTES = {
+    "a": ("href", "hreflang"),
+    "blockquote": ("cite",),
+    "hr": ("align", "size", "width"),
+    "img": ("align", "alt", "height", "src", "width"),
+    "ol": ("start",),
+    "q": ("cite",),
+    "table": ("align", "char", "charoff", "summary"),
+    "tbody": ("align", "char", "charoff"),
+    "td": ("align", "char", "charoff", "colspan", "headers", "rowspan"),
+    "tfoot": ("align", "char", "charoff"),
+    "th": ("align", "char", "charoff", "colspan", "headers", "rowspan", "scope"),
+    "thead": ("align", "char", "charoff"),
+    "tr": ("align", "char", "charoff"),
+}
 SCHEMES = ("http", "https", "mailto")
 URL_ATTRIBUTES = frozenset(("href", "src", "cite"))
 REL = "nofollow noopener noreferrer"
-DROPPED = frozenset(("script", "style"))
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AUTO_CLOSE = frozenset("li option p td th tr".split())
-BARRIERS = frozenset("table td th caption object marquee applet".split())
-FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+))
+AUTO_CLOSE = frozenset((
+    "li", "option", "p", "td", "th", "tr",
+))
+BARRIERS = frozenset((
+    "table", "td", "th", "caption", "object", "marquee", "applet",
+))
+FORMATTING = frozenset((
+    "a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u",
+))
 MOST_TAGS = 10_000
 
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_LONE = re.compile(r"<(?![A-Za-z/!?])")
 
-class _Cleaner(HTMLParser):
-    """Rewrites a fragment with balanced allowed tags only."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+class TooDeep(Exception):
+    """A fragment nests deeper than is allowed, or has too many tags."""
+
+
+class _Cleaner:
+    """Rewrites a fragment with balanced allowed tags only.
+
+    Open elements of either kind count for the depth, but for those of mere formatting.
+    """
+
+    def __init__(self, most: int):
         self.out: list[str] = []
         self.open: list[str] = []
-        self.muted = ""
-
-    def handle_starttag(self, tag, attrs):
-        if self.muted:
-            return
-        if tag in DROPPED:
-            self.muted = tag
-            return
+        self.others: list[str] = []
+        self.most, self.depth, self.tags = most, 0, 0
+
+    def read(self, text: str) -> None:
+        for kind, _, _, name, source in tokens(text, RAW):
+            if kind == OPEN:
+                self.start(name.lower(), source)
+            elif kind == CLOSE:
+                self.end(name.lower())
+            else:
+                data = "<" if kind == STRAY else name if kind == CDATA else html.unescape(name)
+                self.out.append(html.escape(data, quote=False).replace("\xa0", "&nbsp;"))
+        while self.open:
+            self.out.append(f"</{self.open.pop()}>")
+
+    def enter(self, tag: str, where: list[str]) -> None:
+        where.append(tag)
+        self.depth += tag not in FORMATTING
+        if self.depth > self.most:
+            raise TooDeep
+
+    def start(self, tag: str, source: str) -> None:
+        self.tags += 1
+        if self.tags > MOST_TAGS:
+            raise TooDeep
         if tag not in TAGS:
+            if tag not in VOID and tag not in RAW and not source.endswith("/"):
+                self.enter(tag, self.others)
             return
         if tag in AUTO_CLOSE and tag in self.open and not BARRIERS & set(self.open[self.open.index(tag) + 1 :]):
             self.close_to(tag)
-        kept = []
-        own = ATTRIBUTES | frozenset(TAG_ATTRIBUTES.get(tag, "").split())
-        for name, value in attrs:
-            value = value or ""
-            if name not in own or (name in URL_ATTRIBUTES and not _allowed_url(value)):
-                continue
-            kept.append(f' {name}="{html.escape(value, quote=False).replace(chr(34), "&quot;")}"')
+        kept: dict[str, str] = {}
+        own = ATTRIBUTES | frozenset(TAG_ATTRIBUTES.get(tag, ()))
+        for m in _ATTRIBUTE.finditer(source):
+            name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+            if name in own and name not in kept and (name not in URL_ATTRIBUTES or _allowed_url(value)):
+                kept[name] = html.escape(value, quote=False).replace('"', "&quot;")
         if tag == "a":
-            kept.append(f' rel="{REL}"')
-        self.out.append(f"<{tag}{''.join(kept)}>")
+            kept["rel"] = REL
+        self.out.append(f"<{tag}{''.join(f' {name}={chr(34)}{value}{chr(34)}' for name, value in kept.items())}>")
         if tag not in VOID:
-            self.open.append(tag)
+            self.enter(tag, self.open)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if self.muted:
-            if tag == self.muted:
-                self.muted = ""
-        elif tag in self.open:
+    def end(self, tag: str) -> None:
+        if tag in self.open:
             self.close_to(tag)
+        elif tag in self.others:
+            self.others.remove(tag)
+            self.depth -= tag not in FORMATTING
 
     def close_to(self, tag):
         while self.open:
             last = self.open.pop()
+            self.depth -= last not in FORMATTING
             self.out.append(f"</{last}>")
             if last == tag:
                 return
 
-    def handle_data(self, data):
-        if not self.muted:
-            self.out.append(html.escape(data, quote=False).replace(" ", "&nbsp;"))
-
 
 def _allowed_url(value: str) -> bool:
     scheme = re.match(r"\s*([A-Za-z][A-Za-z0-9+.-]*):", re.sub(r"[\x00-\x20]+", "", value))
     return scheme is None or scheme[1].lower() in SCHEMES
 
 
-def clean(text: str) -> str:
-    """The text with allowed markup only; its structure is balanced."""
+def clean(text: str, most: int = 100) -> str:
+    """The text with allowed markup only; its structure is balanced.
+
+    Raises :class:`TooDeep` if elements nest deeper than ``most``.
+    """
     if not re.search(r"[<>& ]", text):
         return text
-    cleaner = _Cleaner()
+    cleaner = _Cleaner(most)
     # a lone < that opens no tag is text
-    cleaner.feed(re.sub(r"<(?![A-Za-z/!?])", "&lt;", text))
-    cleaner.close()
-    while cleaner.open:
-        cleaner.out.append(f"</{cleaner.open.pop()}>")
+    cleaner.read(_LONE.sub("&lt;", text))
     return "".join(cleaner.out)
 
 
-def too_deep(text: str, most: int) -> bool:
-    """Whether open elements nest deeper than ``most``, or there are too many tags."""
-    stack: list[str] = []
-    for n, m in enumerate(re.finditer(r"<(/?)([^>\s/!?][^>\s/]*)([^>]*)>", text)):
-        if n >= MOST_TAGS:
-            return True
-        name = m[2].lower()
-        closes = m[1] == "/"
-        if closes or name in AUTO_CLOSE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] == name:
-                    del stack[k:]
-                    break
-                if stack[k] in BARRIERS:
-                    break
-        if closes or m[3].endswith("/") or name in VOID or name in FORMATTING:
-            continue
-        stack.append(name)
-        if len(stack) > most:
-            return True
-    return False
-
-
 def sanitize(text: str, depth: int = 100) -> str:
     """As :func:`clean`; text that nests too deep is escaped as a whole."""
-    if "<" in text and too_deep(text, depth):
+    try:
+        return clean(text, depth)
+    except TooDeep:
         return html.escape(text, quote=True)
-    return clean(text)
 
 
-@F.pandas_udf(StringType())
-def sanitize_html(text: pd.Series) -> pd.Series:
-    """Markup reduced to an allow-list of tags, attributes and schemes."""
-    return pd.Series([None if t is None else sanitize(t) for t in text], dtype=object)
+@lru_cache
+def sanitizing(depth: int):
+    """:func:`sanitize` to a depth, for columns."""
+
+    @F.pandas_udf(StringType())
+    def sanitize_html(text: pd.Series) -> pd.Series:
+        """Markup reduced to an allow-list of tags, attributes and schemes."""
+        return pd.Series([None if t is None else sanitize(t, depth) for t in text], dtype=object)
+
+    return sanitize_html
+
+
+sanitize_html = sanitizing(100)
+
+
+def _stripped(text: str) -> str:
+    parts = ["<" if kind == STRAY else name for kind, _, _, name, _ in tokens(_LONE.sub("&lt;", text), RAW) if kind not in (OPEN, CLOSE)]
+    return html.escape(html.unescape("".join(parts)), quote=False)
 
 
 @F.pandas_udf(StringType())
 def strip_tags(text: pd.Series) -> pd.Series:
     """The text without any markup."""
-    return pd.Series([None if t is None else html.escape(html.unescape(re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[A-Za-z][^>]*>", "", t)), quote=False) for t in text], dtype=object)
+    return pd.Series([None if t is None else _stripped(t) for t in text], dtype=object)
 
 
 @F.pandas_udf(StringType())

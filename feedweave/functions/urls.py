@@ -13,15 +13,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 #: Address ranges, host names and domains that are not public.
-BLOCKED_V4 = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.31.196.0/24 192.52.193.0/24 192.88.99.0/24 192.168.0.0/16 192.175.48.0/24 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4"
-BLOCKED_V6 = "::/128 ::1/128 64:ff9b:1::/48 100::/64 100:0:0:1::/64 2001::/23 2001:db8::/32 2620:4f:8000::/48 3fff::/20 5f00::/16 fc00::/7 fe80::/10 ff00::/8"
-EMBEDDED_V4 = "::ffff:0:0/96 ::/96 64:ff9b::/96"
-BLOCKED_HOSTS = "localhost localhost.localdomain metadata metadata.google.internal metadata.azure.com"
-BLOCKED_DOMAINS = ".local .localhost .internal .intranet .corp .home .lan"
+BLOCKED_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.31.196.0/24",
+    "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16", "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4",
+    "240.0.0.0/4",
+)
+BLOCKED_V6 = (
+    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "100:0:0:1::/64", "2001::/23", "2001:db8::/32", "2620:4f:8000::/48", "3fff::/20", "5f00::/16",
+    "fc00::/7", "fe80::/10", "ff00::/8",
+)
+EMBEDDED_V4 = (
+    "::ffff:0:0/96", "::/96", "64:ff9b::/96",
+)
+BLOCKED_HOSTS = (
+    "localhost", "localhost.localdomain", "metadata", "metadata.google.internal", "metadata.azure.com",
+)
+BLOCKED_DOMAINS = (
+    ".local", ".localhost", ".internal", ".intranet", ".corp", ".home", ".lan",
+)
 FORBIDDEN_SCHEMES = ("file://", "data:", "javascript:", "ftp://", "gopher://")
 ABSOLUTE = ("http://", "https://", "mailto:", "tel:")
 
-_V4, _V6, _EMBEDDED = ([ipaddress.ip_network(x) for x in text.split()] for text in (BLOCKED_V4, BLOCKED_V6, EMBEDDED_V4))
+_V4, _V6, _EMBEDDED = ([ipaddress.ip_network(x) for x in ranges] for ranges in (BLOCKED_V4, BLOCKED_V6, EMBEDDED_V4))
 
 
 def is_public(address: str) -> bool:
@@ -67,7 +80,7 @@ def is_safe(url: str) -> bool:
     if address is not None:
         return is_public(str(address))
     name = host.rstrip(".")
-    return bool(name) and name not in BLOCKED_HOSTS.split() and not name.endswith(tuple(BLOCKED_DOMAINS.split()))
+    return bool(name) and name not in BLOCKED_HOSTS and not name.endswith(BLOCKED_DOMAINS)
 
 
 def join(href: str, base: str | None) -> str:

@@ -14,7 +14,12 @@ from feedweave.plans import schema as S
 
 ITUNES_SCHEME = "http://www.itunes.com/"
 #: Ranges of EPSG codes that are of geographic systems, latitude first.
-GEOGRAPHIC = "3819 3821 3824 3889 3906 4001-4016 4018-4025 4027-4036 4041-4047 4052-4055 4075 4081 4120-4176 4178-4185 4188-4216 4218-4289 4291-4304 4306-4319 4322 4324 4326 4463 4470 4475 4483 4490 4555 4558 4600-4646 4657-4765 4801-4811 4813-4821 4823-4824 4901-4904 4979"
+GEOGRAPHIC = (
+    (3819, 3819), (3821, 3821), (3824, 3824), (3889, 3889), (3906, 3906), (4001, 4016), (4018, 4025), (4027, 4036), (4041, 4047), (4052, 4055),
+    (4075, 4075), (4081, 4081), (4120, 4176), (4178, 4185), (4188, 4216), (4218, 4289), (4291, 4304), (4306, 4319), (4322, 4322), (4324, 4324),
+    (4326, 4326), (4463, 4463), (4470, 4470), (4475, 4475), (4483, 4483), (4490, 4490), (4555, 4555), (4558, 4558), (4600, 4646), (4657, 4765),
+    (4801, 4811), (4813, 4821), (4823, 4824), (4901, 4904), (4979, 4979),
+)
 _COORDINATES = "array<struct<lat:double,lon:double>>"
 
 
@@ -228,28 +233,31 @@ def lon_first(srs: Column) -> Column:
     """Whether a reference system names longitude first: CRS84, and EPSG codes that are not geographic."""
     name = F.upper(F.trim(srs))
     code = F.when(name.contains("EPSG"), F.regexp_extract(name, r"(?:^|[:/#])\s*(\d+)\s*[:/#]*$", 1).try_cast("int"))
-    geographic = F.lit(False)
-    for part in GEOGRAPHIC.split():
-        first, _, last = part.partition("-")
-        geographic |= code.between(int(first), int(last or first))
+    ranges = F.array(*[F.struct(F.lit(first).alias("first"), F.lit(last).alias("last")) for first, last in GEOGRAPHIC])
+    geographic = let(code, lambda c: F.exists(ranges, lambda r: c.between(r["first"], r["last"])))
     return F.coalesce(name.contains("CRS84") | (code.isNotNull() & ~geographic), F.lit(False))
 
 
 def _gml(s: Scope) -> Column:
     """The last GML geometry of a georss:where."""
-    node = s.last("georss:where")
-    inner = lambda *names: F.try_element_at(kids(node, *names), F.lit(-1))
-    shape = inner("gml:Point", "gml:LineString", "gml:Polygon", "gml:Envelope")
-    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("gml:Point", "point", "gml:LineString", "line", "gml:Polygon", "polygon", "gml:Envelope", "box")]), shape["name"])
-    srs = at(shape, "srsName")
-    swap = lon_first(srs)
-    held = inner("gml:pos", "gml:posList")
-    size = F.coalesce(number(at(held, "srsDimension"), "int"), number(at(shape, "srsDimension"), "int"), F.lit(2))
-    size = F.when(size.isin(2, 3), size).otherwise(2)
-    corner = F.concat_ws(" ", inner("gml:lowerCorner")["text"], inner("gml:upperCorner")["text"])
-    text = F.when(kind == "box", corner).otherwise(held["text"])
-    points = F.when(swap, coordinates(text, size, F.lit(True))).otherwise(coordinates(text, size))
-    return F.when(points.isNotNull(), build(S.GEO, geo_type=kind, coordinates=points, srs_name=srs))
+    inner = lambda node, *names: F.try_element_at(kids(node, *names), F.lit(-1))
+    kinds = F.create_map(*[F.lit(x) for x in ("gml:Point", "point", "gml:LineString", "line", "gml:Polygon", "polygon", "gml:Envelope", "box")])
+
+    def found(node: Column) -> Column:
+        corner = F.concat_ws(" ", inner(node, "gml:lowerCorner")["text"], inner(node, "gml:upperCorner")["text"])
+        return F.struct(inner(node, "gml:Point", "gml:LineString", "gml:Polygon", "gml:Envelope").alias("shape"), inner(node, "gml:pos", "gml:posList").alias("held"), corner.alias("corner"))
+
+    def told(x: Column) -> Column:
+        size = F.coalesce(number(at(x["held"], "srsDimension"), "int"), number(at(x["shape"], "srsDimension"), "int"))
+        kind = F.element_at(kinds, x["shape"]["name"])
+        srs = at(x["shape"], "srsName")
+        return F.struct(kind.alias("kind"), srs.alias("srs"), lon_first(srs).alias("swap"), F.when(size.isin(2, 3), size).otherwise(2).alias("size"), F.when(kind == "box", x["corner"]).otherwise(x["held"]["text"]).alias("text"))
+
+    def made(x: Column) -> Column:
+        points = F.when(x["swap"], coordinates(x["text"], x["size"], F.lit(True))).otherwise(coordinates(x["text"], x["size"]))
+        return let(points, lambda p: F.when(p.isNotNull(), build(S.GEO, geo_type=x["kind"], coordinates=p, srs_name=x["srs"])))
+
+    return let(s.last("georss:where"), lambda node: let(found(node), lambda x: let(told(x), made)))
 
 
 @staged
@@ -259,17 +267,21 @@ def places(s: Scope) -> Fields:
 
     def simple(kind: str) -> Column:
         points = coordinates(s.last(f"georss:{kind}")["text"])
-        return F.when(fits[kind](F.size(points)), build(S.GEO, geo_type=F.lit(kind), coordinates=points))
+        return let(points, lambda p: F.when(fits[kind](F.size(p)), build(S.GEO, geo_type=F.lit(kind), coordinates=p)))
 
     lat, lon = number(s.text("geo:lat"), "double"), number(F.coalesce(s.text("geo:long"), s.text("geo:lon")), "double")
     lat, lon = F.when(lat.between(-90, 90), lat), F.when(lon.between(-180, 180), lon)
     both = F.when(lat.isNotNull() & lon.isNotNull(), build(S.GEO, geo_type=F.lit("point"), coordinates=F.array(F.struct(lat.alias("lat"), lon.alias("lon")))))
     shape = F.coalesce(both, *map(simple, fits), _gml(s))
     more = {"elev": number(s.text("georss:elev"), "double"), "feature_type_tag": s.text("georss:featuretypetag"), "feature_name": s.text("georss:featurename"), "relationship_tag": s.text("georss:relationshiptag")}
-    any_of = shape.isNotNull()
-    for v in more.values():
-        any_of |= v.isNotNull()
-    where = F.when(any_of, build(S.GEO, geo_type=F.coalesce(shape["geo_type"], F.lit("point")), coordinates=F.coalesce(shape["coordinates"], F.array().cast(_COORDINATES)), srs_name=shape["srs_name"], **more))
+
+    def made(x: Column) -> Column:
+        any_of = x["shape"].isNotNull()
+        for name in more:
+            any_of |= x[name].isNotNull()
+        return F.when(any_of, build(S.GEO, geo_type=F.coalesce(x["shape"]["geo_type"], F.lit("point")), coordinates=F.coalesce(x["shape"]["coordinates"], F.array().cast(_COORDINATES)), srs_name=x["shape"]["srs_name"], **{name: x[name] for name in more}))
+
+    where = let(F.struct(shape.alias("shape"), *[v.alias(name) for name, v in more.items()]), made)
     return {"where": where, "geo_lat": lat, "geo_long": lon}
 
 

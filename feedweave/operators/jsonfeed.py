@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedweave.functions.dates import parse_date
+from feedweave.functions.html import sanitizing
 from feedweave.operators.nodes import Fields, blank, build, capped, link, null, some
 from feedweave.options import Limits, Options
 from feedweave.plans import schema as S
@@ -47,25 +50,34 @@ def _detail(value: Column, language: Column, kind: str = "text") -> Column:
     return F.when(value.isNotNull(), build(S.TEXT, value=value, content_type=F.lit(kind), language=language))
 
 
+def cleaner(options: Options) -> Callable[[Column], Column]:
+    """What makes a text safe to show, if that is wanted; only texts with markup go through it."""
+    if not options.sanitize_html:
+        return lambda value: value
+    clean = sanitizing(options.limits.html_nesting_depth)
+    return lambda value: F.when(value.rlike("[<>&\\xa0]"), clean(value)).otherwise(value)
+
+
 def _one(value: Column, made: Column, kind: str = _LINKS) -> Column:
     return F.when(value.isNotNull(), F.array(made)).otherwise(F.array().cast(kind))
 
 
 def feed(v: Column, options: Options) -> Fields:
     """Fields of a JSON Feed."""
-    limits = options.limits
+    limits, clean = options.limits, cleaner(options)
+    title, subtitle = clean(text(v, "title")), clean(text(v, "description"))
     language = text(v, "language")
     home, own = text(v, "home_page_url"), text(v, "feed_url")
     people = capped(authors(v), limits.authors)
     hubs = F.transform(items(v, "hubs"), lambda h: link(text(h, "url"), "hub", link_type=text(h, "type")))
     links = F.concat(_one(home, link(home, "alternate")), _one(own, link(own, "self", link_type=F.lit("application/feed+json"))), some(hubs, lambda h: h["href"].isNotNull()))
     return {
-        "title": text(v, "title"),
-        "title_detail": _detail(text(v, "title"), language),
+        "title": title,
+        "title_detail": _detail(title, language),
         "link": home,
         "links": capped(links, limits.links_per_feed),
-        "subtitle": text(v, "description"),
-        "subtitle_detail": _detail(text(v, "description"), language),
+        "subtitle": subtitle,
+        "subtitle_detail": _detail(subtitle, language),
         "icon": text(v, "icon"),
         "logo": text(v, "favicon"),
         "author": F.get(people, F.lit(0))["name"],
@@ -80,10 +92,11 @@ def feed(v: Column, options: Options) -> Fields:
 
 def entry(e: Column, v: Column, options: Options) -> Fields:
     """Fields of a JSON item ``e`` in the feed ``v``."""
-    limits = options.limits
+    limits, clean = options.limits, cleaner(options)
+    title = clean(text(e, "title"))
     language = F.coalesce(text(e, "language"), text(v, "language"))
     url, other, image, banner = text(e, "url"), text(e, "external_url"), text(e, "image"), text(e, "banner_image")
-    html, plain, summary = text(e, "content_html"), text(e, "content_text"), text(e, "summary")
+    html, plain, summary = clean(text(e, "content_html")), text(e, "content_text"), clean(text(e, "summary"))
     kind = f"array<{S.CONTENT}>"
     content = F.concat(
         _one(html, build(S.CONTENT, value=html, content_type=F.lit("text/html"), language=language), kind),
@@ -96,8 +109,8 @@ def entry(e: Column, v: Column, options: Options) -> Fields:
     terms = F.transform(items(e, "tags"), lambda t: build(S.TAG, term=F.try_variant_get(t, "$", "string")))
     return {
         "id": text(e, "id"),
-        "title": text(e, "title"),
-        "title_detail": _detail(text(e, "title"), language),
+        "title": title,
+        "title_detail": _detail(title, language),
         "link": url,
         "links": capped(links, limits.links_per_entry),
         "summary": F.coalesce(summary, null()),

@@ -55,6 +55,7 @@ class Scope:
         self.c, self.limits, self.prefix = column, limits, prefix
         self.nodes, self.base, self.lang = column["nodes"], column["base"], column["lang"]
         self.staged: dict[str, Column] = {}
+        self.asked: set[str] = set()
         self.fields: dict[str, list[str]] = {}
 
     def stage(self, name: str, make: Callable[[], Column]) -> Column:
@@ -67,18 +68,28 @@ class Scope:
     def attr(self, name: str) -> Column:
         return F.element_at(self.c["attrs"], name)
 
+    def element(self, name: str) -> Column:
+        """The nodes of a name, null if there are none."""
+        self.asked.add(name)
+        return F.element_at(self.nodes, name)
+
+    def wanted(self, text: str) -> frozenset[str]:
+        """Which of the names that were asked for are in the text of some columns."""
+        at = F.element_at(self.nodes, "").cast("string")._jc.toString().split("''")[0].removeprefix("CAST(")
+        return frozenset(n for n in self.asked if f"{at}'{n}'" in text)
+
     def all(self, *names: str) -> Column:
         """All nodes of the names, in document order; an empty array if there are none."""
         none = F.array().cast(_nodes_type())
-        found = [F.coalesce(F.element_at(self.nodes, n), none) for n in names]
+        found = [F.coalesce(self.element(n), none) for n in names]
         return found[0] if len(found) == 1 else F.array_sort(F.concat(*found), lambda a, b: a["pos"] - b["pos"])
 
     def first(self, name: str) -> Column:
-        return F.get(F.element_at(self.nodes, name), F.lit(0))
+        return F.get(self.element(name), F.lit(0))
 
     def last(self, *names: str) -> Column:
         if len(names) == 1:
-            return F.try_element_at(F.element_at(self.nodes, names[0]), F.lit(-1))
+            return F.try_element_at(self.element(names[0]), F.lit(-1))
         return F.try_element_at(self.all(*names), F.lit(-1))
 
     def text(self, *names: str) -> Column:
@@ -127,14 +138,18 @@ def kid(node: Column, name: str) -> Column:
 
 def text_construct(node: Column, kind: str = "html") -> Column:
     """An RSS text with its language and base; null without a node."""
-    return F.when(node.isNotNull(), build(S.TEXT, value=shown(node), content_type=F.lit(kind), language=node["lang"], base=node["base"]))
+    return let(node, lambda n: F.when(n.isNotNull(), build(S.TEXT, value=shown(n), content_type=F.lit(kind), language=n["lang"], base=n["base"])))
 
 
 def atom_text(node: Column) -> Column:
     """An Atom text construct: the markup of XHTML, plain text as it is, else HTML."""
-    kind = F.when(at(node, "type").isNull(), "html").otherwise(text_type(at(node, "type")))
-    value = F.when(kind == "xhtml", F.coalesce(node["xml"], shown(node))).when(kind == "text", node["text"]).otherwise(shown(node))
-    return F.when(node.isNotNull(), build(S.TEXT, value=value, content_type=kind, language=node["lang"], base=node["base"]))
+
+    def made(n: Column) -> Column:
+        kind = F.when(at(n, "type").isNull(), "html").otherwise(text_type(at(n, "type")))
+        value = F.when(kind == "xhtml", F.coalesce(n["xml"], shown(n))).when(kind == "text", n["text"]).otherwise(shown(n))
+        return F.when(n.isNotNull(), build(S.TEXT, value=value, content_type=kind, language=n["lang"], base=n["base"]))
+
+    return let(node, made)
 
 
 def link(href: Column, rel: str | Column | None, **more: Column) -> Column:
@@ -156,7 +171,7 @@ def person_field(s: Scope, name: str) -> tuple[Column, Column]:
 
 
 def atom_person(node: Column) -> Column:
-    return F.when(node.isNotNull(), build(S.PERSON, name=kid(node, "name"), email=kid(node, "email"), uri=F.coalesce(kid(node, "uri"), kid(node, "url"))))
+    return let(node, lambda n: F.when(n.isNotNull(), build(S.PERSON, name=kid(n, "name"), email=kid(n, "email"), uri=F.coalesce(kid(n, "uri"), kid(n, "url")))))
 
 
 def flat(person: Column) -> Column:
@@ -165,10 +180,13 @@ def flat(person: Column) -> Column:
 
 def struct_if(values: Fields, kind: str) -> Column:
     """A struct of a type, null unless one of its values is there (arrays: not empty)."""
-    there = F.lit(False)
-    for v in values.values():
-        there |= v.isNotNull()
-    return F.when(there, build(kind, **values))
+    def made(held: Column) -> Column:
+        there = F.lit(False)
+        for name in values:
+            there |= held[name].isNotNull()
+        return F.when(there, build(kind, **{name: held[name] for name in values}))
+
+    return let(F.struct(*[v.alias(name) for name, v in values.items()]), made)
 
 
 def listed(items: Column) -> Column:

@@ -147,10 +147,12 @@ def entry(s: Scope, feed_scope: Scope) -> Fields:
     limits = s.limits
     it = X.itunes_entry(s)
     guid, last_link = s.last("guid"), s.last("link")
-    permanent = F.lower(F.coalesce(at(guid, "isPermaLink"), F.lit("true"))) != "false"
+    permanent = F.lower(F.coalesce(at(guid, "isPermaLink"), F.lit("true"))) == "true"
     guid_url = F.when(permanent, blank(guid["safe"]))
     own_links = F.transform(some(s.all("link"), lambda n: n["text"] != ""), lambda n: link(n["safe"], "alternate"))
-    guid_links = F.when((F.size(own_links) == 0) & guid_url.isNotNull(), F.array(link(guid_url, "alternate"))).otherwise(F.array().cast(f"array<{S.LINK}>"))
+    # a permalink is a link too, unless a link stands before it
+    before = s.first("link")["pos"]
+    guid_links = F.when(guid_url.isNotNull() & (before.isNull() | (guid["pos"] < before)), F.array(link(guid_url, "alternate"))).otherwise(F.array().cast(f"array<{S.LINK}>"))
     files = s.stage("files", lambda: some(F.transform(s.all("enclosure"), lambda n: build(S.ENCLOSURE, url=url_of(n), length=at(n, "length"), enclosure_type=at(n, "type"))), lambda e: e["url"].isNotNull()))
     file_links = F.transform(files, lambda e: link(e["url"], "enclosure", link_type=e["enclosure_type"], length=e["length"]))
     raw, detail = person_field(s, "author")
@@ -168,7 +170,7 @@ def entry(s: Scope, feed_scope: Scope) -> Fields:
         | {
             "id": F.coalesce(blank(guid["text"]), s.text("dc:identifier")),
             "link": F.coalesce(blank(last_link["safe"]), guid_url),
-            "links": capped(F.concat(own_links, guid_links, file_links, _atom_links(s)), limits.links_per_entry),
+            "links": capped(F.concat(guid_links, own_links, file_links, _atom_links(s)), limits.links_per_entry),
             "rights": s.text("dc:rights"),
             "published": F.coalesce(pub, dc),
             "published_str": F.coalesce(s.text("pubDate"), s.text("dc:date")),

@@ -15,17 +15,20 @@ from feedweave.operators import atom, jsonfeed, rss
 from feedweave.operators.nodes import Fields, Scope
 from feedweave.options import Options
 from feedweave.plans.schema import ENTRY, FEED
-from feedweave.sources.lexer import LEXED, lexing
+from feedweave.sources.lexer import LEXED, Names, lexing
 
 ATOM, RDF, JSON = ("atom03", "atom10"), ("rss10",), ("json10", "json11")
 STATUS = ("bozo", "bozo_exception", "encoding", "version", "namespaces", "error")
 
 
-def lex(docs: DataFrame, content: str = "content", options: Options = Options()) -> DataFrame:
-    """``docs`` without the content, with the columns of :data:`LEXED`: one pass, no shuffle."""
+def lex(docs: DataFrame, content: str = "content", options: Options = Options(), names: Names = (None, None)) -> DataFrame:
+    """``docs`` without the content, with the columns of :data:`LEXED`: one pass, no shuffle.
+
+    ``names`` are the elements wanted of the feed and of entries (default: all).
+    """
     keep = StructType([f for f in docs.schema.fields if f.name != content])
     out = StructType([*keep.fields, *StructType.fromDDL(LEXED).fields])
-    return docs.mapInArrow(lexing(options, to_arrow_schema(keep), content), out)
+    return docs.mapInArrow(lexing(options, to_arrow_schema(keep), content, names), out)
 
 
 def _pick(fields: dict[str, str], wanted: Iterable[str] | None, by_format: dict[str, Fields], version: Column) -> list[Column]:
@@ -60,11 +63,15 @@ class Rules:
     by_format: dict[str, Fields]
     staged: dict[str, Column]
     status: dict[str, Column]
+    head: Scope
+    own: Scope | None
 
-    def used(self, columns: list[Column]) -> dict[str, Column]:
-        """The staged columns that some columns refer to."""
+    def used(self, columns: list[Column]) -> tuple[dict[str, Column], Names]:
+        """The staged columns that some columns refer to, and the elements that all refer to."""
         text = " ".join(c._jc.toString() for c in columns)
-        return {n: c for n, c in self.staged.items() if n in text}
+        staged = {n: c for n, c in self.staged.items() if n in text}
+        text = " ".join([text, *(c._jc.toString() for c in staged.values())])
+        return staged, (self.head.wanted(text), self.own.wanted(text) if self.own else frozenset())
 
 
 @lru_cache(maxsize=32)
@@ -75,10 +82,11 @@ def _rules(options: Options, session: SparkSession, entries: bool) -> Rules:
         own = Scope(F.col("_e.item"), options.limits, "_e_")
         full = rss.entry(own, head)
         made = {"rss": full, "rdf": rss.rdf_entry(own, full), "atom": atom.entry(own, head), "json": jsonfeed.entry(F.col("_e.element"), F.col("_v"), options)}
-        return Rules(made, head.staged | own.staged, {})
+        return Rules(made, head.staged | own.staged, {}, head, own)
     full = rss.feed(head)
     made = {"rss": full, "rdf": rss.rdf_feed(head, full), "atom": atom.feed(head), "json": jsonfeed.feed(F.col("_v"), options)}
-    return Rules(made, head.staged, _status(head, options))
+    status = _status(head, options)
+    return Rules(made, head.staged, status, head, None)
 
 
 def _status(head: Scope, options: Options) -> dict[str, Column]:
@@ -107,11 +115,12 @@ def parse_feeds(docs: DataFrame, content: str = "content", options: Options = Op
     ``encoding``, ``version``, ``namespaces`` and ``error``.
     """
     keep = [c for c in docs.columns if c != content]
-    lexed = _with_json(lex(docs, content, options))
-    n = F.when(F.col("json").isNotNull(), F.size(_limited(F.col("_v"), options))).otherwise(F.coalesce(F.size("items"), F.lit(0)))
     rules = _rules(options, docs.sparkSession, False)
     fields, status = _pick(FEED, feed_fields, rules.by_format, F.col("version")), rules.status
-    out = lexed.withColumns(rules.used([*fields, *status.values()])).select(*keep, F.struct(*fields).alias("feed"), n.alias("n_entries"), *[status.get(c, F.col(c)).alias(c) for c in STATUS])
+    staged, names = rules.used([*fields, *status.values()])
+    lexed = _with_json(lex(docs, content, options, names))
+    n = F.when(F.col("json").isNotNull(), F.size(_limited(F.col("_v"), options))).otherwise(F.coalesce(F.size("items"), F.lit(0)))
+    out = lexed.withColumns(staged).select(*keep, F.struct(*fields).alias("feed"), n.alias("n_entries"), *[status.get(c, F.col(c)).alias(c) for c in STATUS])
     return _checked(out, options)
 
 
@@ -122,14 +131,15 @@ def parse_entries(docs: DataFrame, content: str = "content", options: Options =
     are applied, so that each is a row of plain columns.
     """
     keep = [c for c in docs.columns if c != content]
-    lexed = _with_json(lex(docs, content, options))
+    rules = _rules(options, docs.sparkSession, True)
+    fields = _pick(ENTRY, entry_fields, rules.by_format, F.col("version"))
+    staged, names = rules.used(fields)
+    lexed = _with_json(lex(docs, content, options, names))
     scopes = F.coalesce(F.transform("items", lambda x: F.struct(x.alias("item"), F.lit(None).cast("variant").alias("element"))), F.array().cast(f"array<{item_type(lexed)}>"))
     elements = F.transform(_limited(F.col("_v"), options), lambda x: F.struct(F.lit(None).cast(scope_type(lexed)).alias("item"), x.alias("element")))
     both = F.when(F.col("json").isNotNull() & (F.col("version") != ""), elements).otherwise(scopes)
     rows = lexed.select(*keep, "version", "head", "_v", F.posexplode(both).alias("entry_idx", "_e"))
-    rules = _rules(options, docs.sparkSession, True)
-    fields = _pick(ENTRY, entry_fields, rules.by_format, F.col("version"))
-    return rows.withColumns(rules.used(fields)).select(*keep, "version", "entry_idx", *fields)
+    return rows.withColumns(staged).select(*keep, "version", "entry_idx", *fields)
 
 
 def scope_type(lexed: DataFrame) -> str:

@@ -7,6 +7,7 @@ rules over columns (``feedweave.operators``) make fields of them.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from feedweave.functions.html import sanitize
+from feedweave.functions.markup import CDATA, CLOSE, OPEN, STRAY, tokens
 from feedweave.functions.urls import join, join_safe
 from feedweave.options import Options
 from feedweave.sources.encoding import decode
@@ -35,13 +37,16 @@ TRUNCATED = "Feed is truncated or has unclosed XML elements"
 MALFORMED = "Malformed XML attributes"
 #: Attributes and elements that hold URLs.
 URL_ATTRIBUTES = ("href", "url", "src", "uri")
-URL_TEXTS = frozenset("link url icon logo guid comments docs id".split())
+URL_TEXTS = frozenset(("link", "url", "icon", "logo", "guid", "comments", "docs", "id"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<!(?:[^\[>]|\[(?:[^\]]*)\])*>|<(/?)([^\s/>=<]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|([^<]+)|(<)", re.S)
 _ATTRIBUTE = re.compile(r"\s*([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')|\s*([^\s]+)")
 _REFERENCE = re.compile(r"&(?:#[xX]([0-9A-Fa-f]+);|#([0-9]+);|([^;&<\s]+);|)")
 
 
+#: Names of the elements that are wanted of the feed and of its entries (null: all).
+Names = tuple[frozenset[str] | None, frozenset[str] | None]
+
+
 class Broken(Exception):
     """A construct that ends the field, or the entry, that it is in."""
 
@@ -65,8 +70,9 @@ class Element:
 class Document:
     """One document's nodes; ``feed`` reads the tokens of it."""
 
-    def __init__(self, text: str, options: Options):
+    def __init__(self, text: str, options: Options, names: Names = (None, None)):
         self.text, self.options, self.limits = text, options, options.limits
+        self.names = names
         self.version, self.bozo, self.error = "", None, None
         self.namespaces: dict[str, str] = {}
         self.head, self.items = self.scope({}, None, None), []
@@ -114,7 +120,7 @@ class Document:
                 continue
             value = self.resolved(m[2] if m[2] is not None else m[3], strict=False)
             if m[1] not in found:
-                found[m[1]] = value if len(value.encode()) <= self.limits.attribute_length else value[: self.limits.attribute_length]
+                found[m[1]] = value[: self.limits.attribute_length]
         return found
 
     def declare(self, attrs: dict[str, str]) -> None:
@@ -129,8 +135,11 @@ class Document:
 
     def add(self, scope: dict, pos: int, e: Element, inner: str | None) -> None:
         text = "".join(e.text).strip().replace("\0", "")
-        if len(text.encode()) > self.limits.text_length:
+        if 4 * len(text) > self.limits.text_length and len(text.encode()) > self.limits.text_length:
             raise Broken("text is too long")
+        names = self.names[scope is not self.head]
+        if names is not None and e.name not in names:
+            return
         attrs, resolve = dict(e.attrs), self.options.resolve_relative_uris
         for key in URL_ATTRIBUTES:
             if key in attrs:
@@ -161,8 +170,12 @@ class Document:
         if (e.attrs.get("type") or "").lower() not in ("xhtml", "application/xhtml+xml"):
             return None
         source = self.text[e.inner : end]
-        m = re.match(r"\s*<[^>]*?(/?)>(.*)</[^<>]*>\s*$", source, re.S)
-        whole = m[2] if m else "" if re.match(r"\s*<[^>]*/>\s*$", source) or "<" not in source else source
+        body = source.strip()
+        first, last = body.find(">"), body.rfind("</")
+        if body.startswith("<") and 0 <= first < last and body.endswith(">"):
+            whole = body[first + 1 : last]
+        else:
+            whole = "" if "<" not in body or body.startswith("<") and body.endswith("/>") and first == len(body) - 1 else source
         return re.sub(r"&(apos|quot);", lambda x: ENTITIES[x[1]], whole).strip()
 
     # tokens -----------------------------------------------------------------
@@ -174,14 +187,14 @@ class Document:
         bases, langs = [None], [None]
         pos, depth, skipping = 0, 0, 0
         atom = rdf = False
-        for m in _TOKEN.finditer(self.text):
-            if m[6] is not None or m[1] is not None or m[7] is not None:
+        for kind, start, end, name, source in tokens(self.text):
+            if kind <= STRAY:
                 if node is None or broken:
                     continue
                 try:
-                    if m[7] is not None:
+                    if kind == STRAY:
                         raise Broken("malformed markup")
-                    part = m[1] if m[1] is not None else self.resolved(m[6], strict=True)
+                    part = name if kind == CDATA else self.resolved(name, strict=True)
                 except Broken as e:
                     broken = str(e)
                     self.complain(f"XML error: {e}")
@@ -192,16 +205,14 @@ class Document:
                 if not node.sealed and node.path:
                     node.text.append(part)
                 continue
-            if m[3] is None:
-                continue
-            closing, name, empty = m[2] == "/", m[3], m[5] == "/"
+            closing, empty = kind == CLOSE, source.endswith("/")
             local = name.rpartition(":")[2]
             if not closing:
                 depth += 1
                 if depth > self.limits.nesting_depth and not broken:
                     self.complain(f"Maximum nesting depth {self.limits.nesting_depth} exceeded")
                     broken = "nesting depth"
-                attrs = self.attributes(m[4]) if m[4] else {}
+                attrs = self.attributes(source[:-1] if empty else source) if source else {}
                 if not path:
                     self.declare(attrs)
                     self.version = self.format_of(local, attrs)
@@ -253,7 +264,7 @@ class Document:
                 if entry is None and where == 1 and not rdf:
                     where = 0  # outside the channel
                 pos += 1
-                node = Element(self.canonical(name), attrs, base, lang, empty, m.start(), m.end())
+                node = Element(self.canonical(name), attrs, base, lang, empty, start, end)
                 if not empty:
                     continue
             elif node is not None:
@@ -284,7 +295,7 @@ class Document:
             done, node = node, None
             try:
                 if broken is None:
-                    self.add(entry if entry is not None else self.head, pos, done, self.inner_markup(done, m.start()) if not empty else None)
+                    self.add(entry if entry is not None else self.head, pos, done, self.inner_markup(done, start) if not empty else None)
             except Broken as e:
                 broken = str(e)
                 self.complain(str(e))
@@ -314,12 +325,16 @@ class Document:
 
 
 def json_version(text: str) -> str:
-    """The version that a JSON document names; of a long one the text tells."""
-    if len(text.encode()) > 1 << 20:
-        head = text.encode()[: 1 << 20].decode("utf-8", "replace")
-        return "json11" if "https://jsonfeed.org/version/1.1" in head else "json10" if "https://jsonfeed.org/version/1" in head else ""
-    m = re.search(r'"version"\s*:\s*"((?:[^"\\]|\\.)*)"', text)
-    return JSON_VERSIONS.get(m[1].replace("\\/", "/"), "") if m else ""
+    """The version that a JSON document names at its top; of a long one, or one that
+    is no JSON, its first megabyte tells."""
+    if len(text) <= 1 << 20:
+        try:
+            named = json.loads(text)
+            return JSON_VERSIONS.get(str(named.get("version")), "") if isinstance(named, dict) else ""
+        except (ValueError, RecursionError):
+            pass
+    head = text.encode()[: 1 << 20].decode("utf-8", "replace").replace("\\/", "/")
+    return "json11" if "https://jsonfeed.org/version/1.1" in head else "json10" if "https://jsonfeed.org/version/1" in head else ""
 
 
 def version_of(data: bytes) -> str:
@@ -329,13 +344,13 @@ def version_of(data: bytes) -> str:
     if body.startswith("{"):
         return json_version(body)
     document = Document(text, Options())
-    for m in _TOKEN.finditer(text):
-        if m[3] is not None and m[2] != "/":
-            return document.format_of(m[3].rpartition(":")[2], document.attributes(m[4]))
+    for kind, _, _, name, source in tokens(text):
+        if kind == OPEN:
+            return document.format_of(name.rpartition(":")[2], document.attributes(source.removesuffix("/")))
     return ""
 
 
-def lex(data: bytes | None, options: Options) -> dict:
+def lex(data: bytes | None, options: Options, names: Names = (None, None)) -> dict:
     """A document as a row of :data:`LEXED`."""
     out = {"version": "", "encoding": "utf-8", "bozo": False, "bozo_exception": None, "error": None, "namespaces": [], "head": None, "items": [], "json": None}
     if data is None or len(data) > options.limits.feed_size:
@@ -343,7 +358,7 @@ def lex(data: bytes | None, options: Options) -> dict:
     text, out["encoding"] = decode(data)
     if text.lstrip().startswith("{"):
         return out | {"version": json_version(text.lstrip()), "json": text}
-    document = Document(text, options)
+    document = Document(text, options, names)
     document.read()
     if not document.version:
         return out | {"bozo": True, "bozo_exception": "Feed format not recognized"}
@@ -357,8 +372,8 @@ def arrow_type(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def lexing(options: Options, keep: pa.Schema, column: str):
-    """A map over Arrow batches: the columns ``keep`` and :data:`LEXED`."""
+def lexing(options: Options, keep: pa.Schema, column: str, names: Names = (None, None)):
+    """A map over Arrow batches: the columns ``keep`` and :data:`LEXED`; of elements those in ``names``."""
 
     types = arrow_type(LEXED)
 
@@ -366,7 +381,7 @@ def lexing(options: Options, keep: pa.Schema, column: str):
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
-                rows = [lex(c, options) for c in part.column(column).to_pylist()]
+                rows = [lex(c, options, names) for c in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep.names), *(pa.array([r[f.name] for r in rows], f.type) for f in types)], names=[*keep.names, *types.names])
 
     return run

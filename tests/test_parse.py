@@ -1,10 +1,12 @@
 import json
+import time
 from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from feedweave.functions.html import sanitize
 from feedweave.options import Limits, Options
 from feedweave.plans import views
 from feedweave.plans.parse import parse, parse_entries, parse_feeds
@@ -169,3 +171,37 @@ def test_nested_and_flat(docs):
 def test_lexing_never_fails(parts):
     got = lex("".join(parts).encode(), Options())
     assert got["version"] in ("", "rss20", "atom10") and len(got["items"]) <= 40
+
+
+@pytest.mark.parametrize("unit", ["<!x", "<a b ", "<a '", "<a \"'", "<!x[", "<![CDATA[", "<!--", "<?x ", "<b>", "</b", "<script>", "&", " \t"])
+@pytest.mark.parametrize("tail", ["", ">", "'>'", "]>"])
+def test_hostile_text_takes_linear_time(unit, tail):
+    text = unit * (1_000_000 // len(unit)) + tail
+    for work in (lambda: lex(f"<rss><channel><item><title>{text}".encode(), Options(sanitize_html=False)), lambda: sanitize(text)):
+        began = time.process_time()
+        work()
+        assert time.process_time() - began < 8
+
+
+def test_json_is_sanitized_and_its_own_version_counts(spark):
+    hostile = "<p onclick='x'>h</p><script>bad()</script>"
+    feed = {"items": [{"id": "1", "version": "https://jsonfeed.org/version/9", "title": hostile, "summary": hostile, "content_html": hostile, "content_text": "<b>"}], "version": "https://jsonfeed.org/version/1.1", "title": hostile, "description": hostile}
+    docs = spark.createDataFrame([(bytearray(json.dumps(feed).encode()),)], "content binary")
+    f = parse_feeds(docs).first()
+    assert (f.version, f.bozo, f.feed.title, f.feed.subtitle) == ("json11", False, "<p>h</p>", "<p>h</p>")
+    e = parse_entries(docs).first()
+    assert (e.title, e.summary, [c.value for c in e.content]) == ("<p>h</p>", "<p>h</p>", ["<p>h</p>", "<b>"])
+    assert parse_entries(docs, options=Options(sanitize_html=False)).first().title == hostile
+
+
+def test_permalinks(spark):
+    body = rss('<item><guid isPermaLink="1">http://e.com/1</guid></item><item><guid isPermaLink="TRUE">http://e.com/2</guid><link>http://e.com/l</link></item><item><link>http://e.com/l</link><guid>http://e.com/3</guid></item>')
+    docs = spark.createDataFrame([(bytearray(body.encode()),)], "content binary")
+    got = [(r.guidislink, r.link, [x.href for x in r.links]) for r in parse_entries(docs, entry_fields=("guidislink", "link", "links")).orderBy("entry_idx").collect()]
+    assert got == [(False, None, []), (False, "http://e.com/l", ["http://e.com/2", "http://e.com/l"]), (False, "http://e.com/l", ["http://e.com/l"])]
+
+
+def test_elements_that_no_field_needs_are_not_lexed():
+    data = rss("<item><title>a</title><description>d</description></item>", "<title>t</title><link>http://e.com/</link>").encode()
+    got = lex(data, Options(), (frozenset(), frozenset({"title"})))
+    assert got["head"]["nodes"] == [] and [n for n, _ in got["items"][0]["nodes"]] == ["title"]
