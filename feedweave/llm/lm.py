@@ -79,9 +79,27 @@ class Vocabulary:
         return norm
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """At most ``most`` of the words, the most frequent ones, by falling count.
+
+    A histogram of counts tells from which count on they are few enough, and only
+    these words come to the driver. If too many have the one largest count, it is none.
+    """
+    level = F.floor(F.log2("n") * 64)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r["level"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["least"]
+    if least is None:
+        return []
+    return sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Of the counts the HEAD most frequent words, and a sum for each class."""
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    """Of the counts up to HEAD most frequent words, and a sum for each class."""
+    top = frequent(counts, HEAD)
     end = counts.where(F.col("word") == F.lit(END)).select("n").first()
     words = [(bytes(r["word"]), r["n"]) for r in top if r["word"] != END]
     singles = [w for w, _ in words[:SINGLES]]
