@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import bounded, slices
+from feedweave.llm.common import bounded, parts, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Languages that one model may have: it holds BUCKETS numbers for each.
 MOST_LANGUAGES = 2000
+#: Products that are made at a time.
+CELLS = 1 << 20
 _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -84,6 +86,28 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     return [r["lang"] for r in found], np.log(table / table.sum(1, keepdims=True)).astype(np.float32) if len(found) else table
 
 
+def posteriors(texts: list[np.ndarray], by_bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The language of each text (not empty) by its buckets, and how probable it is.
+
+    The texts' counts are a sparse matrix, a row for each, that is multiplied with
+    the log probabilities of all languages: its entries' products are added up by
+    row, CELLS of them at a time.
+    """
+    sizes = np.array([len(x) for x in texts])
+    places = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + np.concatenate(texts).astype(np.int64)
+    entries, counts = np.unique(places, return_counts=True)
+    row, bucket = entries // BUCKETS, entries % BUCKETS
+    fit = np.zeros((len(texts), by_bucket.shape[1]))
+    step = max(1, CELLS // by_bucket.shape[1])
+    for k in range(0, len(entries), step):
+        held = row[k : k + step]
+        starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        fit[held[starts]] += np.add.reduceat(counts[k : k + step, None] * by_bucket[bucket[k : k + step]].astype(np.float64), starts)
+    best = fit.argmax(1)
+    top = fit[np.arange(len(fit)), best]
+    return best, 1 / np.exp(np.minimum(fit - top[:, None], 0)).sum(1)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns but any of these names), ``lang_pred`` and ``score``.
 
@@ -98,20 +122,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     def run(batches):
         by_bucket = shared.value
         for batch in slices(batches, "_text"):
-            names, scores = [], []
             lettered = batch.column("_letter").to_pylist()
-            ids = [grams(t) if ok and languages else np.zeros(0, np.uint32) for ok, t in zip(lettered, (t.decode("utf-8", "replace") if t else "" for t in batch.column("_text").to_pylist()))]
-            for x in ids:
-                if not len(x):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                at, n = np.unique(x, return_counts=True)
-                fit = n.astype(np.float64) @ by_bucket[at]
-                best = int(fit.argmax())
-                names.append(languages[best])
-                scores.append(float(1 / np.exp(np.minimum(fit - fit[best], 0)).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+            for first, texts in parts(batch):
+                some = [k for k, t in enumerate(texts) if lettered[first + k] and languages]
+                if some:
+                    best, sure = posteriors([grams(texts[k].decode("utf-8", "replace")) for k in some], by_bucket)
+                    at = first + np.array(some)
+                    names[at], scores[at] = [languages[k] for k in best], sure
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
