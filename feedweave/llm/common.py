@@ -27,11 +27,13 @@ FILTER_BITS = 28
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``. Where that is unset, as in local tests, a
-    temporary folder is made and set for the session.
+    It is ``spark.checkpoint.dir``. Where that is unset, a local session, as in
+    tests, gets a temporary folder; a cluster has none that could serve, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='feedweave-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
