@@ -257,6 +257,8 @@ COMMON, COMMON_LEAST = 100_000, 32
 #: Leaders of a hash that its members are compared with in a round: one as long as a
 #: round settles half of the texts, then the next numbers, the last in all further rounds.
 LEADERS = (1, 32, 512)
+#: Keys that are broadcast to pick sets by; of more keys the sets are dealt out.
+KEYS = 1_000_000
 #: Words of a set's parities.
 PARITIES = 4
 
@@ -394,7 +396,7 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def followers(sets: DataFrame, similarity: float) -> DataFrame:
+def followers(sets: DataFrame, similarity: float, id_col: str = "doc_id") -> DataFrame:
     """The keys of ``sets`` that go: each is like one of a smaller ``owner`` that stays.
 
     In a round the members of a hash are compared with its first few, the
@@ -430,17 +432,22 @@ def followers(sets: DataFrame, similarity: float) -> DataFrame:
     def alike(left: DataFrame, leads: DataFrame) -> DataFrame:
         """Pairs of a leader ``a`` and a later text ``b`` that are alike."""
         first = leads.select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), F.col("size").alias("_s"), *[F.col(s).alias(f"_{s}") for s in signs])
-        pairs = left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct()
-        pairs = pairs.join(hashes.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b")
-        pairs = spread_join(pairs, hashes.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a", "inner", F.col("b"))
-        return cut(pairs.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
+        pairs = cut(left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct())
+        pairs_b = pairs.join(held(pairs, "b").withColumnRenamed("hashes", "_b"), "b")
+        both = spread_join(pairs_b, held(pairs, "a").withColumnRenamed("hashes", "_a"), "a", "inner", F.col("b"))
+        return cut(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
+
+    def held(pairs: DataFrame, side: str) -> DataFrame:
+        """The sets of one side of the pairs; the others are left out before they are dealt."""
+        keys, own = pairs.select(side).distinct(), hashes.withColumnRenamed("key", side)
+        return own.join(F.broadcast(keys) if keys.count() <= KEYS else keys, side, "left_semi")
 
     def leading(left: DataFrame, first: DataFrame) -> DataFrame:
         """The texts that are among the ``first`` in all their hashes."""
         led = first.groupBy("key").agg(F.count("*").alias("_led"))
         return cut(left.groupBy("key").agg(F.count("*").alias("_all")).join(led, "key").where("_led = _all").select("key"))
 
-    left = met(sets.select(F.explode("prefix").alias("h"), "key", "owner", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
+    left = met(sets.select(F.explode("prefix").alias("h"), "key", F.col("owner")[id_col].alias("owner"), "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
     gone, turn, n = [], 0, left.select("key").distinct().count()
     while n:
         if LEADERS[turn] == 1:
@@ -489,7 +496,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     owners = cut(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
     held = named.where(F.col("prefix").isNotNull())
     sets = cut(held.join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign", "hashes"))
-    judged = owners.join(followers(sets, similarity).withColumn("like", F.lit(True)), "key", "left")
+    judged = owners.join(followers(sets, similarity, id_col).withColumn("like", F.lit(True)), "key", "left")
     mine = F.struct(F.col(id_col), F.col("_th")) == F.col("owner")
     found = spread_join(named.select(id_col, "_th", "key"), judged, "key").groupBy(id_col, "_th").agg(F.max(F.coalesce("like", F.lit(False)) | ~mine).alias("goes"), F.count("*").alias("n"))
     found = cut(found)
