@@ -396,7 +396,7 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def followers(sets: DataFrame, similarity: float, id_col: str = "doc_id") -> DataFrame:
+def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str) -> DataFrame:
     """The keys of ``sets`` that go: each is like one of a smaller ``owner`` that stays.
 
     In a round the members of a hash are compared with its first few, the
@@ -409,7 +409,8 @@ def followers(sets: DataFrame, similarity: float, id_col: str = "doc_id") -> Dat
     share a hash and are not alike, rounds take more leaders.
 
     Sizes, and parities of the sets, rule out most pairs that are not alike before
-    whole sets are sent to where they are compared.
+    whole sets (``hashes`` by ``key``, which may repeat) are sent to where they are
+    compared.
     """
 
     def judge(batches):
@@ -418,49 +419,47 @@ def followers(sets: DataFrame, similarity: float, id_col: str = "doc_id") -> Dat
             yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
     bounded(sets.sparkSession)
-    hashes = sets.select("key", "hashes")
     signs = [f"s{k}" for k in range(PARITIES)]
+    facts = cut(sets.select("key", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
+    side = lambda key, mark: facts.select(F.col("key").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in ("size", *signs)])
     differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in signs])
-    may = (F.col("_s") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_s") * similarity - 1e-6) & (differ <= (F.col("size") + F.col("_s")) * (1 - similarity) / (1 + similarity) + 1e-6)
-    later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
-
-    def met(rows: DataFrame) -> DataFrame:
-        """Without the hashes that one text alone has."""
-        several = rows.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
-        return cut(rows.join(several, "h", "left_semi"))
-
-    def alike(left: DataFrame, leads: DataFrame) -> DataFrame:
-        """Pairs of a leader ``a`` and a later text ``b`` that are alike."""
-        first = leads.select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), F.col("size").alias("_s"), *[F.col(s).alias(f"_{s}") for s in signs])
-        pairs = cut(left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct())
-        pairs_b = pairs.join(held(pairs, "b").withColumnRenamed("hashes", "_b"), "b")
-        both = spread_join(pairs_b, held(pairs, "a").withColumnRenamed("hashes", "_a"), "a", "inner", F.col("b"))
-        return cut(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
+    may = (F.col("_size") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_size") * similarity - 1e-6) & (differ <= (F.col("size") + F.col("_size")) * (1 - similarity) / (1 + similarity) + 1e-6)
 
     def held(pairs: DataFrame, side: str) -> DataFrame:
         """The sets of one side of the pairs; the others are left out before they are dealt."""
         keys, own = pairs.select(side).distinct(), hashes.withColumnRenamed("key", side)
-        return own.join(F.broadcast(keys) if keys.count() <= KEYS else keys, side, "left_semi")
+        return own.join(F.broadcast(keys) if keys.count() <= KEYS else keys, side, "left_semi").dropDuplicates([side])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those pairs of a leader ``a`` and a later text ``b`` that are alike."""
+        pairs = cut(pairs)
+        pairs_b = pairs.join(held(pairs, "b").withColumnRenamed("hashes", "_b"), "b")
+        both = spread_join(pairs_b, held(pairs, "a").withColumnRenamed("hashes", "_a"), "a", "inner", F.col("b"))
+        return cut(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
 
-    def leading(left: DataFrame, first: DataFrame) -> DataFrame:
-        """The texts that are among the ``first`` in all their hashes."""
-        led = first.groupBy("key").agg(F.count("*").alias("_led"))
-        return cut(left.groupBy("key").agg(F.count("*").alias("_all")).join(led, "key").where("_led = _all").select("key"))
+    def in_order(left: DataFrame) -> DataFrame:
+        """Each member of a hash with the hash's first text, ``lead``; hashes of one text left out."""
+        first = left.groupBy("h").agg(F.min(F.struct("owner", "key")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
+        return cut(left.join(first.select("h", F.col("_f.key").alias("lead")), "h"))
 
-    left = met(sets.select(F.explode("prefix").alias("h"), "key", F.col("owner")[id_col].alias("owner"), "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
-    gone, turn, n = [], 0, left.select("key").distinct().count()
+    led = in_order(sets.select(F.explode("prefix").alias("h"), "key", F.col("owner")[id_col].alias("owner")))
+    gone, turn, n = [], 0, led.select("key").distinct().count()
     while n:
         if LEADERS[turn] == 1:
-            first = left.groupBy("h").agg(F.min(F.struct("owner", "key")).alias("_f")).select("h", F.col("_f.key").alias("key"))
-            sure = leading(left, first)
-            leads = left.join(first, ["h", "key"], "left_semi").join(sure, "key", "left_semi")
-            went = [cut(alike(left, leads).select(F.col("b").alias("key")).distinct())]
+            sure = cut(led.groupBy("key").agg(F.min(F.col("lead") == F.col("key")).alias("_sure")).where("_sure").select("key"))
+            pairs = led.where("lead <> key").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct().join(sure.select(F.col("key").alias("a")), "a", "left_semi")
+            may_be = pairs.join(side("b", ""), "b").join(side("a", "_"), "a").where(may).select("a", "b")
+            went = [cut(alike(may_be).select(F.col("b").alias("key")).distinct())]
             done = sure.unionByName(went[0])
         else:
+            left = led.select("h", "key", "owner").join(facts, "key")
             place = F.row_number().over(Window.partitionBy("h").orderBy("owner", "key"))
             leads = cut(left.withColumn("_n", place).where(F.col("_n") <= LEADERS[turn]).drop("_n"))
-            lead = leading(left, leads.select("h", "key"))
-            links, went = alike(left, leads), []
+            first = leads.select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), *[F.col(c).alias(f"_{c}") for c in ("size", *signs)])
+            later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
+            places = leads.groupBy("key").agg(F.count("*").alias("_led"))
+            lead = cut(led.groupBy("key").agg(F.count("*").alias("_all")).join(places, "key").where("_led = _all").select("key"))
+            links, went = alike(left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct()), []
             while True:
                 top = links.select("a").distinct().join(lead.select(F.col("key").alias("a")), "a", "left_semi").join(links.select(F.col("b").alias("a")), "a", "left_anti")
                 less = cut(links.join(top, "a", "left_semi").select(F.col("b").alias("key")).distinct())
@@ -471,8 +470,8 @@ def followers(sets: DataFrame, similarity: float, id_col: str = "doc_id") -> Dat
             kept = lead.join(links.select(F.col("b").alias("key")), "key", "left_anti")
             done = reduce(DataFrame.unionByName, [kept, *went])
         gone += went
-        left = met(left.join(done.distinct(), "key", "left_anti"))
-        before, n = n, left.select("key").distinct().count()
+        led = in_order(led.drop("lead").join(done.distinct(), "key", "left_anti"))
+        before, n = n, led.select("key").distinct().count()
         if 2 * n > before:
             turn = min(turn + 1, len(LEADERS) - 1)
     return reduce(DataFrame.unionByName, gone) if gone else sets.select("key").limit(0)
@@ -495,8 +494,8 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     named = marked.where(F.col(id_col).isNotNull())
     owners = cut(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
     held = named.where(F.col("prefix").isNotNull())
-    sets = cut(held.join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign", "hashes"))
-    judged = owners.join(followers(sets, similarity, id_col).withColumn("like", F.lit(True)), "key", "left")
+    sets = cut(held.drop("hashes").join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign"))
+    judged = owners.join(followers(sets, held.select("key", "hashes"), similarity, id_col).withColumn("like", F.lit(True)), "key", "left")
     mine = F.struct(F.col(id_col), F.col("_th")) == F.col("owner")
     found = spread_join(named.select(id_col, "_th", "key"), judged, "key").groupBy(id_col, "_th").agg(F.max(F.coalesce("like", F.lit(False)) | ~mine).alias("goes"), F.count("*").alias("n"))
     found = cut(found)
