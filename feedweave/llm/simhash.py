@@ -339,7 +339,7 @@ def prefixes(docs: DataFrame, text: str, width: int, id_col: str, similarity: fl
     no other text has cannot meet, so it is left out; where nothing is left, the
     text is near to no other, and ``prefix``, ``sign`` and ``hashes`` are null.
     """
-    shared = cut(shared_hashes(docs, text, width))
+    shared = table(shared_hashes(docs, text, width))
     least, more = COMMON_LEAST, 0
     for level, count in sorted(shared.where(F.col("n") >= least).groupBy(F.floor(F.log2("n"))).count().collect(), reverse=True):
         more += count
@@ -411,6 +411,10 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
     Sizes, and parities of the sets, rule out most pairs that are not alike before
     whole sets (``hashes`` by ``key``, which may repeat) are sent to where they are
     compared.
+
+    What a round leaves is written as tables, not checkpoints: the planner knows
+    their sizes, and reads many small files as one partition, so late rounds over few
+    texts are cheap however many partitions the first ones had.
     """
 
     def judge(batches):
@@ -420,7 +424,7 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
 
     bounded(sets.sparkSession)
     signs = [f"s{k}" for k in range(PARITIES)]
-    facts = cut(sets.select("key", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
+    facts = table(sets.select("key", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
     side = lambda key, mark: facts.select(F.col("key").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in ("size", *signs)])
     differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in signs])
     may = (F.col("_size") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_size") * similarity - 1e-6) & (differ <= (F.col("size") + F.col("_size")) * (1 - similarity) / (1 + similarity) + 1e-6)
@@ -432,41 +436,41 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those pairs of a leader ``a`` and a later text ``b`` that are alike."""
-        pairs = cut(pairs)
+        pairs = table(pairs)
         pairs_b = pairs.join(held(pairs, "b").withColumnRenamed("hashes", "_b"), "b")
         both = spread_join(pairs_b, held(pairs, "a").withColumnRenamed("hashes", "_a"), "a", "inner", F.col("b"))
-        return cut(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
+        return table(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
 
     def in_order(left: DataFrame) -> DataFrame:
         """Each member of a hash with the hash's first text, ``lead``; hashes of one text left out."""
         first = left.groupBy("h").agg(F.min(F.struct("owner", "key")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
-        return cut(left.join(first.select("h", F.col("_f.key").alias("lead")), "h"))
+        return table(left.join(first.select("h", F.col("_f.key").alias("lead")), "h"))
 
     led = in_order(sets.select(F.explode("prefix").alias("h"), "key", F.col("owner")[id_col].alias("owner")))
     gone, turn, n = [], 0, led.select("key").distinct().count()
     while n:
         if LEADERS[turn] == 1:
-            sure = cut(led.groupBy("key").agg(F.min(F.col("lead") == F.col("key")).alias("_sure")).where("_sure").select("key"))
+            sure = table(led.groupBy("key").agg(F.min(F.col("lead") == F.col("key")).alias("_sure")).where("_sure").select("key"))
             pairs = led.where("lead <> key").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct().join(sure.select(F.col("key").alias("a")), "a", "left_semi")
             may_be = pairs.join(side("b", ""), "b").join(side("a", "_"), "a").where(may).select("a", "b")
-            went = [cut(alike(may_be).select(F.col("b").alias("key")).distinct())]
+            went = [table(alike(may_be).select(F.col("b").alias("key")).distinct())]
             done = sure.unionByName(went[0])
         else:
             left = led.select("h", "key", "owner").join(facts, "key")
             place = F.row_number().over(Window.partitionBy("h").orderBy("owner", "key"))
-            leads = cut(left.withColumn("_n", place).where(F.col("_n") <= LEADERS[turn]).drop("_n"))
+            leads = table(left.withColumn("_n", place).where(F.col("_n") <= LEADERS[turn]).drop("_n"))
             first = leads.select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), *[F.col(c).alias(f"_{c}") for c in ("size", *signs)])
             later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
             places = leads.groupBy("key").agg(F.count("*").alias("_led"))
-            lead = cut(led.groupBy("key").agg(F.count("*").alias("_all")).join(places, "key").where("_led = _all").select("key"))
+            lead = table(led.groupBy("key").agg(F.count("*").alias("_all")).join(places, "key").where("_led = _all").select("key"))
             links, went = alike(left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct()), []
             while True:
                 top = links.select("a").distinct().join(lead.select(F.col("key").alias("a")), "a", "left_semi").join(links.select(F.col("b").alias("a")), "a", "left_anti")
-                less = cut(links.join(top, "a", "left_semi").select(F.col("b").alias("key")).distinct())
+                less = table(links.join(top, "a", "left_semi").select(F.col("b").alias("key")).distinct())
                 if less.isEmpty():
                     break
                 went.append(less)
-                links = cut(links.join(less.select(F.col("key").alias("b")), "b", "left_anti").join(less.select(F.col("key").alias("a")), "a", "left_anti"))
+                links = table(links.join(less.select(F.col("key").alias("b")), "b", "left_anti").join(less.select(F.col("key").alias("a")), "a", "left_anti"))
             kept = lead.join(links.select(F.col("b").alias("key")), "key", "left_anti")
             done = reduce(DataFrame.unionByName, [kept, *went])
         gone += went
@@ -490,15 +494,15 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     id stay and lead none. Texts without words are alike. An empty table gives an
     empty result.
     """
-    marked = cut(prefixes(docs, text, width, id_col, similarity))
+    marked = table(prefixes(docs, text, width, id_col, similarity))
     named = marked.where(F.col(id_col).isNotNull())
-    owners = cut(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
+    owners = table(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
     held = named.where(F.col("prefix").isNotNull())
-    sets = cut(held.drop("hashes").join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign"))
+    sets = table(held.drop("hashes").join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign"))
     judged = owners.join(followers(sets, held.select("key", "hashes"), similarity, id_col).withColumn("like", F.lit(True)), "key", "left")
     mine = F.struct(F.col(id_col), F.col("_th")) == F.col("owner")
     found = spread_join(named.select(id_col, "_th", "key"), judged, "key").groupBy(id_col, "_th").agg(F.max(F.coalesce("like", F.lit(False)) | ~mine).alias("goes"), F.count("*").alias("n"))
-    found = cut(found)
+    found = table(found)
     gone = table(found.where("goes").select(id_col, "_th"))
     rows = docs.withColumn("_th", text_hash(text))
     stay = rows.join(gone, [id_col, "_th"], "left_anti")
