@@ -152,11 +152,11 @@ def rdf_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def podcast_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Podcasts of suppliers, an episode for each customer of the same nation."""
+    """Podcasts of suppliers in pages, so that no feed grows with the table; an episode for each customer."""
     s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
-    pairs = c.select("c_custkey", "c_nationkey", "c_acctbal").withColumn("s_suppkey", F.col("c_custkey") % 10 + 1)
+    pairs = c.select("c_custkey", "c_nationkey", "c_acctbal").withColumns({"s_suppkey": F.col("c_custkey") % 10 + 1, "page": F.floor(F.col("c_custkey") / 1000)})
     item = R.wrapped("item", R.element("title", F.concat(F.lit("Episode "), F.col("c_custkey"))), R.element("guid", F.concat(F.lit("https://example.com/e/"), F.col("c_custkey"))), R.element("enclosure", url=F.concat(F.lit("https://example.com/e/"), F.col("c_custkey"), F.lit(".mp3")), length="1234", type="audio/mpeg"), R.element("itunes:duration", F.concat(F.col("c_custkey") % 60, F.lit(":00"))), R.element("itunes:episode", F.col("c_custkey")), R.element("itunes:explicit", F.when(F.col("c_custkey") % 2 == 0, "yes").otherwise("no")), R.element("podcast:transcript", url=F.concat(F.lit("https://example.com/t/"), F.col("c_custkey")), type="text/vtt"), R.element("podcast:soundbite", "Bite", startTime=F.col("c_custkey").cast("string"), duration="30.5"), R.element("media:thumbnail", url="https://example.com/t.png", width="10"), R.element("georss:point", F.concat(F.col("c_nationkey"), F.lit(" "), F.col("c_custkey") % 90)), R.element("slash:comments", F.col("c_custkey") % 5), R.wrapped("podcast:value", R.element("podcast:valueRecipient", name="a", type="node", address="b", split=(F.col("c_custkey") % 100).cast("string")), type="lightning", method="keysend"))
-    pages = R.gathered(pairs, ["s_suppkey"], item, "c_custkey")
+    pages = R.gathered(pairs, ["s_suppkey", "page"], item, "c_custkey")
     head = F.concat(R.element("title", F.concat(F.lit("Show "), F.col("s_suppkey"))), R.wrapped("itunes:owner", R.element("itunes:name", F.concat(F.lit("Owner "), F.col("s_suppkey"))), R.element("itunes:email", "o@example.com")), R.wrapped("itunes:category", R.element("itunes:category", text="Sub"), text="Top"), R.element("itunes:keywords", "a, b,,c"), R.element("podcast:guid", F.concat(F.lit("guid-"), F.col("s_suppkey"))), R.element("podcast:locked", "yes", owner="o@example.com"), R.element("podcast:funding", "Give", url="https://example.com/give"))
     return pages.select("s_suppkey", R.rss(head).alias("content"))
 
@@ -178,7 +178,7 @@ def podcast_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def podcast_feed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = parse_feeds(podcast_feeds(spark, sf_dir), feed_fields=("title", "itunes", "podcast", "author"))
     it = F.col("feed.itunes")
-    return got.select("s_suppkey", "feed.title", it["owner"]["name"].alias("owner"), it["categories"][0]["text"].alias("category"), it["categories"][0]["subcategory"].alias("subcategory"), F.array_join(it["keywords"], "|").alias("keywords"), "feed.podcast.guid", "feed.podcast.locked", F.col("feed.podcast.funding")[0]["url"].alias("funding"), "feed.author")
+    return got.select("s_suppkey", "feed.title", it["owner"]["name"].alias("owner"), it["categories"][0]["text"].alias("category"), it["categories"][0]["subcategory"].alias("subcategory"), F.array_join(it["keywords"], "|").alias("keywords"), "feed.podcast.guid", "feed.podcast.locked", F.col("feed.podcast.funding")[0]["url"].alias("funding"), "feed.author").distinct()
 
 
 def nation_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
