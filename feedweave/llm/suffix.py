@@ -130,33 +130,60 @@ def segment_kinds(docs: DataFrame, least: int, anchors: Filter) -> DataFrame:
     return rows.groupBy("key", "digest", "windows", "ahead").agg(F.sum("n").alias("n"), F.min(F.struct("first", "tag")).alias("x")).select("key", "digest", "windows", "ahead", "n", "x.first", "x.tag")
 
 
-def suffix_runs(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``least`` bytes, and where each run begins.
+def suffix_order(data: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the suffixes at ``starts``, and the longest common prefix
+    of each with the one before it (the first: 0), both to a depth of ``most`` bytes.
 
-    A run holds the neighbours in suffix order whose longest common prefix is
-    ``least`` or more.
+    Every suffix has ``most`` bytes or more. Suffixes with equal first ``most``
+    bytes keep the order of ``starts``.
     """
-    rows = np.lib.stride_tricks.sliding_window_view(data, least)[starts]
-    keys = np.ascontiguousarray(rows).view(f"S{least}").ravel()
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-
-
-def previous_factors(order: np.ndarray, begins: np.ndarray, position: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix: whether its string occurs again, and its earliest position.
-
-    An earlier match of a suffix is at a smaller position before or after it in
-    suffix order, with no shorter common prefix between; that is, in its run.
-    The smallest position of the run is where the longest previous factors of
-    all others in it point.
+    rows = np.lib.stride_tricks.sliding_window_view(data, most)[starts]
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{most}").ravel(), kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    for at in range(0, len(order) - 1, CHUNK):
+        ranked = rows[order[at : at + CHUNK + 1]]
+        differ = ranked[1:] != ranked[:-1]
+        lcp[at + 1 : at + len(ranked)] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    return order, lcp
+
+
+def smaller_before(position: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, in suffix order, the nearest one before it with a smaller
+    position (-1: none), and their longest common prefix.
+
+    Steps back by falling powers of two while no position stepped over is smaller;
+    ``low`` and ``common`` hold the minima of 2**k positions and prefixes up to each place.
     """
-    ranked = position[order]
-    earliest, again = np.empty_like(position), np.empty(len(position), bool)
-    sizes = np.diff(np.r_[begins, len(order)])
-    earliest[order] = np.repeat(np.minimum.reduceat(ranked, begins), sizes)
-    again[order] = np.repeat(np.add.reduceat(copies[order], begins), sizes) > 1
-    return again, earliest
+    n = len(position)
+    low, common = [position], [lcp]
+    while 2 ** len(low) <= n:
+        step = 2 ** (len(low) - 1)
+        low.append(np.r_[low[-1][:step], np.minimum(low[-1][step:], low[-1][:-step])])
+        common.append(np.r_[common[-1][:step], np.minimum(common[-1][step:], common[-1][:-step])])
+    # the place reached, and the common prefix of the suffix with it
+    at, shared = np.arange(n) - 1, lcp.copy()
+    for k in range(len(low) - 1, -1, -1):
+        go = np.flatnonzero(at >= 2**k - 1)
+        go = go[low[k][at[go]] > position[go]]
+        shared[go] = np.minimum(shared[go], common[k][at[go]])
+        at[go] -= 2**k
+    return at, np.where(at < 0, 0, shared)
+
+
+def previous_factors(position: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array in suffix order: for each suffix the length of
+    its longest match at a smaller position, and the place in suffix order of that
+    match (-1: none). It is the previous or the next smaller position in suffix
+    order; of two as long, the smaller one.
+    """
+    n = len(position)
+    before, left = smaller_before(position, lcp)
+    after, right = smaller_before(position[::-1], np.r_[0, lcp[:0:-1]])
+    after, right = np.where(after[::-1] < 0, -1, n - 1 - after[::-1]), right[::-1]
+    smaller = (after >= 0) & ((before < 0) | (position[after] < position[before]))
+    second = (right > left) | ((right == left) & smaller)
+    length = np.where(second, right, left)
+    return length, np.where(length > 0, np.where(second, after, before), -1)
 
 
 def _folded(batches, least: int) -> Iterator[list[list]]:
@@ -250,34 +277,33 @@ def pieces(windows: int, ahead: int, hot: bool) -> Iterator[tuple[int, int, int]
 
 def _compare(several: list[list], least: int) -> list[tuple]:
     """Intervals of the segments whose windows occur again, with the first place of each."""
+    several = sorted(several, key=lambda x: int(x[3], 16) + x[4])
+    first = [int(x[3], 16) + x[4] for x in several]
     data = np.frombuffer(b"".join(x[5] for x in several), np.uint8)
     sizes = np.array([len(x[5]) for x in several])
-    first = [int(x[3], 16) + x[4] for x in several]
     begin = np.cumsum(sizes) - sizes
     count = sizes - least + 1
     owner = np.repeat(np.arange(len(several)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    by_rank = np.array(sorted(range(len(several)), key=first.__getitem__))
-    rank = np.empty(len(several), np.int64)
-    rank[by_rank] = np.arange(len(several))
-    copies = np.array([x[2] for x in several])
-    order, begins = suffix_runs(data, begin[owner] + offset, least)
-    again, earliest = previous_factors(order, begins, rank[owner], copies[owner])
-    source = by_rank[earliest]
-    # equal windows are equally far from their anchor, but segments may begin
-    # at different distances: find the offset of the earliest window itself
-    place = np.empty(len(owner), np.int64)
-    place[order] = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(order)]))
-    lead = np.zeros(len(begins), np.int64)
-    own = source == owner
-    lead[place[own]] = offset[own]
-    drift = offset - lead[place]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (again[1:] != again[:-1]) | (source[1:] != source[:-1]) | (drift[1:] != drift[:-1])])
+    # segments are in order of their first places, so a window's number is its position
+    order, lcp = suffix_order(data, begin[owner] + offset, least)
+    length, match = previous_factors(order, lcp)
+    source = np.arange(len(owner))
+    later = length >= least
+    source[order[later]] = order[match[later]]
+    again = np.array([x[2] for x in several])[owner] > 1
+    again[order[later]] = again[source[order[later]]] = True
+    # an earlier match may have an earlier one itself: go on to the first of all
+    while (source != source[source]).any():
+        source = source[source]
+    origin = owner[source]
+    drift = offset - offset[source]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (again[1:] != again[:-1]) | (origin[1:] != origin[:-1]) | (drift[1:] != drift[:-1])])
     out = []
     for a, b in zip(new.tolist(), np.r_[new[1:], len(owner)].tolist()):
         if again[a]:
             x = several[int(owner[a])]
-            out.append((x[1], int(offset[a]) + x[4], int(offset[b - 1]) + least + x[4], first[int(source[a])] - int(drift[a]) - x[4]))
+            out.append((x[1], int(offset[a]) + x[4], int(offset[b - 1]) + least + x[4], first[int(origin[a])] - int(drift[a]) - x[4]))
     return out
 
 
