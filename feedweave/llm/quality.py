@@ -24,9 +24,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeated_words(tokens: Column) -> Column:
     """How many of the words are inside 3-word windows found twice or more.
 
-    Windows are compared by a hash: a window's hash, with its position in the
-    low bits, is one number; equal windows are neighbours once a text's numbers
-    are sorted.
+    A hash finds the windows that may repeat: a window's hash, with its position
+    in the low bits, is one number; equal windows are neighbours once a text's
+    numbers are sorted. These windows are then compared word by word.
     """
     shift = lambda name, x, bits: F.call_function(name, x, bits)
     one = F.lit(1).cast("long")
@@ -34,7 +34,7 @@ def repeated_words(tokens: Column) -> Column:
     def of(w: Column, bits: Column) -> Column:
         window = lambda x, i: shift("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long"))
         spans = F.sort_array(F.transform(F.slice(w, F.lit(1), F.size(w) - 2), window))
-        return let(spans, lambda s: let(F.sort_array(positions(s, bits)), covered))
+        return let(spans, lambda s: let(positions(s, bits), lambda p: let(F.sort_array(equal(w, p)), covered)))
 
     def positions(s: Column, bits: Column) -> Column:
         top = lambda x: shift("shiftright", x, bits)
@@ -43,6 +43,14 @@ def repeated_words(tokens: Column) -> Column:
         twice = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
         return F.transform(twice, low)
 
+    def equal(w: Column, p: Column) -> Column:
+        """The positions whose windows really are equal to another's; words hold no space."""
+        at = lambda i, k: F.get(w, i.cast("int") + k)
+        named = F.sort_array(F.transform(p, lambda i: F.struct(F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)).alias("t"), i.alias("i"))))
+        same = lambda x, y: F.coalesce(x["t"] == y["t"], F.lit(False))
+        twice = lambda n: F.filter(n, lambda x, i: same(x, F.get(n, i - 1)) | same(x, F.get(n, i + 1)))
+        return let(named, lambda n: F.transform(twice(n), lambda x: x["i"]))
+
     def covered(p: Column) -> Column:
         """Each position covers three words, less what the next one covers too."""
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")), F.lit(3).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
