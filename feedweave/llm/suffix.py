@@ -287,6 +287,9 @@ def _compare(several: list[list], least: int) -> list[tuple]:
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     # segments are in order of their first places, so a window's number is its position
     order, lcp = suffix_order(data, begin[owner] + offset, least)
+    # one that shares too little with both neighbours has no match of ``least`` bytes
+    some = (lcp >= least) | np.r_[lcp[1:] >= least, False]
+    order, lcp = order[some], lcp[some]
     length, match = previous_factors(order, lcp)
     source = np.arange(len(owner))
     later = length >= least
