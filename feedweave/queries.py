@@ -349,6 +349,122 @@ def entry_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_custkey", "n_entries", "bozo", F.col("n_entries").cast("bigint").alias("kept"))
 
 
+# Documents as people write them -------------------------------------------------------------
+
+
+def written(spark: SparkSession, sf_dir: str, document: str) -> DataFrame:
+    """A document per supplier, with its key for every KEY in the text."""
+    key = F.col("s_suppkey").cast("string")
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.lit(document), F.lit("KEY"), key).cast("binary").alias("content"))
+
+
+PODCAST = """<?xml version="1.0"?>
+<!-- a show --><rss version="2.0" xmlns:pod="https://podcastindex.org/namespace/1.0" xmlns:podcast="https://podcastindex.org/namespace/1.0" xmlns:cc="http://web.resource.org/cc/">
+<channel><title><![CDATA[Show <KEY>]]></title>
+<podcast:location geo="geo:48.2,16.3" osm="R109166">Town KEY</podcast:location>
+<podcast:txt purpose="verify">token-KEY</podcast:txt><podcast:txt/>
+<podcast:chat server="irc.example.org" protocol="irc" accountId="@KEY" space="#show"/><podcast:chat server="no.protocol.example"/>
+<podcast:podping usesPodping="TRUE"/>
+<podcast:updateFrequency complete="false" rrule="FREQ=WEEKLY">weekly</podcast:updateFrequency>
+<podcast:podroll><podcast:remoteItem feedGuid="guid-KEY" feedUrl="https://example.org/KEY.xml"/></podcast:podroll>
+<cc:license rdf:resource="https://creativecommons.org/licenses/by/4.0/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"/>
+<item><guid isPermaLink="false">e-KEY</guid>
+<podcast:location geo="geo:1,2">Studio KEY</podcast:location>
+<podcast:txt>note &amp; KEY</podcast:txt>
+<podcast:chat server="chat.example.org" protocol="xmpp"/>
+<podcast:socialInteract uri="https://social.example.org/@a/KEY" protocol="activitypub" accountId="@a" priority="1"/>
+<podcast:alternateEnclosure type="audio/opus" length="KEY" bitrate="64000" default="true"><podcast:source uri="https://cdn.example.org/KEY.opus" contentType="audio/opus"/></podcast:alternateEnclosure>
+</item></channel></rss>"""
+
+
+@query("""select s_suppkey, 'Town ' || s_suppkey as place, 'geo:48.2,16.3' as geo, 1 as n_txt, 'token-' || s_suppkey as txt, 1 as n_chat, '@' || s_suppkey as account, true as podping, 'FREQ=WEEKLY' as rrule, 'weekly' as often,
+          'guid-' || s_suppkey as roll, 'https://creativecommons.org/licenses/by/4.0/' as license from supplier""")
+def podcast_show_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_feeds(written(spark, sf_dir, PODCAST), feed_fields=("podcast", "license"))
+    p = F.col("feed.podcast")
+    often = p["update_frequency"]
+    return got.select("s_suppkey", p["location"]["name"].alias("place"), p["location"]["geo"].alias("geo"), F.size(p["txt"]).alias("n_txt"), p["txt"][0]["value"].alias("txt"), F.size(p["chat"]).alias("n_chat"), p["chat"][0]["account_id"].alias("account"), p["podping_uses_podping"].alias("podping"), often["rrule"].alias("rrule"), often["label"].alias("often"), p["podroll"][0]["feed_guid"].alias("roll"), F.col("feed.license").alias("license"))
+
+
+@query("""select s_suppkey, 'Studio ' || s_suppkey as place, 'note & ' || s_suppkey as txt, 'xmpp' as chat, 'https://social.example.org/@a/' || s_suppkey as social, cast(1 as bigint) as priority,
+          cast(s_suppkey as bigint) as length, true as is_default, 'https://cdn.example.org/' || s_suppkey || '.opus' as uri from supplier""")
+def podcast_episode_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_entries(written(spark, sf_dir, PODCAST), entry_fields=("podcast",))
+    p = F.col("podcast")
+    other = p["alternate_enclosures"][0]
+    return got.select("s_suppkey", p["location"]["name"].alias("place"), p["txt"][0]["value"].alias("txt"), p["chat"][0]["protocol"].alias("chat"), p["social_interact"][0]["uri"].alias("social"), p["social_interact"][0]["priority"].alias("priority"), other["length"].cast("bigint").alias("length"), other["is_default"].alias("is_default"), other["sources"][0]["uri"].alias("uri"))
+
+
+CHANNEL = """<rss version="2.0"><channel><title>A &#38; B KEY</title>
+<cloud domain="rpc.example.org" port="80" path="/KEY" registerProcedure="notify" protocol="soap"/>
+<textInput><title>Find</title><description>all</description><name>q</name><link>https://example.org/KEY</link></textInput>
+<skipHours><hour>3</hour><hour>3</hour><hour>25</hour><hour>7</hour></skipHours><skipDays><day>Sunday</day></skipDays>
+<!-- <item><title>not one</title></item> -->
+<item><guid>https://example.org/g/KEY</guid><title>x <![CDATA[<]]> y</title><link>https://example.org/l/KEY</link><source url="https://example.org/s/KEY">Source KEY</source></item>
+<item><guid isPermaLink="1">https://example.org/n/KEY</guid></item>
+<item><guid isPermaLink="TRUE">https://example.org/p/KEY</guid><title/></item>
+</channel></rss>"""
+
+
+@query("""select s_suppkey, 'A &amp; B ' || s_suppkey as title, '/' || s_suppkey as cloud_path, 'notify' as procedure, 'https://example.org/' || s_suppkey as input_link, '3,7' as hours, 'Sunday' as days, 3 as n_entries from supplier""")
+def channel_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles are HTML once made safe, so an ampersand in one is escaped."""
+    got = parse_feeds(written(spark, sf_dir, CHANNEL), feed_fields=("title", "cloud", "textinput", "skiphours", "skipdays"))
+    f = F.col("feed")
+    return got.select("s_suppkey", f["title"].alias("title"), f["cloud"]["path"].alias("cloud_path"), f["cloud"]["register_procedure"].alias("procedure"), f["textinput"]["link"].alias("input_link"), F.array_join(f["skiphours"].cast("array<string>"), ",").alias("hours"), F.array_join(f["skipdays"], ",").alias("days"), "n_entries")
+
+
+@query("""select s_suppkey, i as entry_idx, case i when 0 then 'https://example.org/l/' || s_suppkey when 2 then 'https://example.org/p/' || s_suppkey end as link,
+          case i when 0 then 'https://example.org/g/' || s_suppkey || ' https://example.org/l/' || s_suppkey when 2 then 'https://example.org/p/' || s_suppkey else '' end as links, i = 2 as guidislink,
+          case i when 0 then 'Source ' || s_suppkey end as source, case i when 0 then 'https://example.org/s/' || s_suppkey end as source_href
+          from supplier, (values (0), (1), (2)) v(i)""")
+def item_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_entries(written(spark, sf_dir, CHANNEL), entry_fields=("link", "links", "guidislink", "source"))
+    return got.select("s_suppkey", "entry_idx", "link", F.array_join("links.href", " ").alias("links"), "guidislink", F.col("source.title").alias("source"), F.col("source.href").alias("source_href"))
+
+
+ATOM_FEED = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:m="http://search.yahoo.com/mrss/" xmlns:pod="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:d="http://purl.org/dc/elements/1.1/" xmlns:georss="http://www.georss.org/georss" xmlns:g="http://www.georss.org/georss" xmlns:geo="http://www.w3.org/2003/01/geo/wgs84_pos#">
+<title>t</title><id>urn:KEY</id><d:creator>Head KEY</d:creator><d:rights>free</d:rights><pod:author>Voice KEY</pod:author><pod:explicit>yes</pod:explicit><m:thumbnail url="https://example.org/t/KEY.png" width="9"/>
+<entry><id>urn:e:KEY</id><d:creator>Writer KEY</d:creator><d:subject>sea</d:subject><m:content url="https://example.org/m/KEY.mp4" type="video/mp4" medium="video"/><m:title>Film KEY</m:title>
+<pod:duration>1:02</pod:duration><pod:episode>KEY</pod:episode><georss:point>45.5 -71.25</georss:point><g:point>1 1</g:point></entry>
+<entry><id>urn:f:KEY</id><geo:lat>1.5</geo:lat><geo:long>2.5</geo:long></entry></feed>"""
+
+
+@query("""select s_suppkey, 'Head ' || s_suppkey as creator, 'free' as rights, 'Voice ' || s_suppkey as voice, true as explicit, 'https://example.org/t/' || s_suppkey || '.png' as thumbnail from supplier""")
+def atom_feed_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_feeds(written(spark, sf_dir, ATOM_FEED), feed_fields=("dc_creator", "dc_rights", "itunes", "media_thumbnail"))
+    f = F.col("feed")
+    return got.select("s_suppkey", f["dc_creator"].alias("creator"), f["dc_rights"].alias("rights"), f["itunes"]["author"].alias("voice"), f["itunes"]["explicit"].alias("explicit"), f["media_thumbnail"][0]["url"].alias("thumbnail"))
+
+
+@query("""select s_suppkey, i as entry_idx, case i when 0 then 'Writer ' || s_suppkey end as creator, case i when 0 then 'sea' else '' end as subjects, case i when 0 then 'https://example.org/m/' || s_suppkey || '.mp4' end as media,
+          case i when 0 then '1:02' end as duration, case i when 0 then cast(s_suppkey as varchar) end as episode, case i when 0 then 45.5 else 1.5 end::double as lat, case i when 0 then -71.25 else 2.5 end::double as lon
+          from supplier, (values (0), (1)) v(i)""")
+def atom_entry_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media, iTunes and Dublin Core have any prefix that is bound to them, GeoRSS only its own."""
+    got = parse_entries(written(spark, sf_dir, ATOM_FEED), entry_fields=("dc_creator", "dc_subject", "media_content", "itunes", "where", "geo_lat", "geo_long"))
+    point = F.get("where.coordinates", F.lit(0))
+    return got.select("s_suppkey", "entry_idx", F.col("dc_creator").alias("creator"), F.array_join("dc_subject", " ").alias("subjects"), F.get("media_content", F.lit(0))["url"].alias("media"), F.col("itunes.duration").alias("duration"), F.col("itunes.episode").alias("episode"), F.coalesce("geo_lat", point["lat"]).alias("lat"), F.coalesce("geo_long", point["lon"]).alias("lon"))
+
+
+HOSTILE = """{"items": [{"id": "KEY", "version": "9", "title": "a<script>x()</script>KEY", "content_html": "<p onclick=\\"y()\\">KEY</p><script>z()</script>", "content_text": "1 < KEY"}],
+"version": "https://jsonfeed.org/version/1.1", "title": "<b>KEY</b><script>t()</script>"}"""
+
+
+@query("""select s_suppkey, 'json11' as version, false as bozo, 1 as n_entries, '<b>' || s_suppkey || '</b>' as title from supplier""")
+def hostile_json_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version inside an item comes first; the title holds a script."""
+    got = parse_feeds(written(spark, sf_dir, HOSTILE), feed_fields=("title",))
+    return got.select("s_suppkey", "version", "bozo", "n_entries", F.col("feed.title").alias("title"))
+
+
+@query("""select s_suppkey, 'a' || s_suppkey as title, '<p>' || s_suppkey || '</p>' as html, '1 < ' || s_suppkey as plain from supplier""")
+def hostile_json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup is made safe; plain text stays as it is."""
+    got = parse_entries(written(spark, sf_dir, HOSTILE), entry_fields=("title", "content"))
+    return got.select("s_suppkey", "title", F.col("content")[0]["value"].alias("html"), F.col("content")[1]["value"].alias("plain"))
+
+
 # Relational work over parsed tables ------------------------------------------------------------
 
 
