@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from feedweave.llm.common import fold
 from feedweave.llm.decontam import contaminated
+from feedweave.llm.exact import exact_dedup
 from feedweave.llm.langid import identify, train
 from feedweave.llm.lines import line_duplicates
 from feedweave.llm.lm import score
 from feedweave.llm.mixing import plan, realise
+from feedweave.llm.phrases import collocations
 from feedweave.llm.quality import quality
+from feedweave.llm.resample import resample
 from feedweave.llm.sharding import interleave
 from feedweave.llm.simhash import simhash
 from feedweave.llm.suffix import remove_repeats
@@ -74,6 +77,19 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_logbilinear_lm": op1_logbilinear_lm,
     "op2_naive_bayes_langid": op2_naive_bayes_langid,
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_line_edit_join": op9_line_edit_join,
     "op10_warc_segments": op10_warc_segments,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_collocations": op12_collocations,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +150,29 @@ ORACLE_SQL: dict[str, str] = {
                case when payload_bytes < 1000 or last is null or page_id = last then 'response' else 'revisit' end as record_type,
                case when payload_bytes < 1000 or last is null or page_id = last then null else last end as refers_to
         from q""",
+    "op12_collocations": r"""
+        with p as (select coalesce(lang, 'und') as lang, row_number() over () as piece, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as body from documents),
+        q as (select lang, row_number() over () as piece, regexp_extract_all(body, '[^\x20\x09]+') as w from p),
+        t as (select lang, piece, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from q),
+        n as (select lang, count(*) as n from t group by lang),
+        s as (select lang, piece, pos, word, lead(word, 1) over (partition by piece order by pos) as w2, lead(word, 2) over (partition by piece order by pos) as w3, lead(word, 3) over (partition by piece order by pos) as w4 from t),
+        g as (select lang, [word] as ids from s
+              union all select lang, [word, w2] from s where w2 is not null
+              union all select lang, [word, w2, w3] from s where w3 is not null
+              union all select lang, [word, w2, w3, w4] from s where w4 is not null),
+        f as (select lang, ids, count(*) as n from g group by lang, ids having count(*) >= 30),
+        c as (select lang, ids, n as a, unnest(range(1, len(ids))) as k from f where len(ids) > 1),
+        x as (select c.lang, c.ids, a, k, l.n as l, r.n as r, cast(2000000 * cast(a as hugeint) // (cast(l.n as hugeint) + r.n) as bigint) as score
+              from c join f l on l.lang = c.lang and l.ids = c.ids[1:k] join f r on r.lang = c.lang and r.ids = c.ids[k + 1:]),
+        b as (select lang, ids, a, l, r, score from x qualify row_number() over (partition by lang, ids order by score, k) = 1),
+        h as (select lang, unnest([ids[i:j] for i in range(1, len(ids) + 1) for j in range(i + 1, len(ids) + 1) if j - i + 1 < len(ids)]) as ids, a as most from b where len(ids) > 2),
+        m as (select lang, ids, max(most) as most from h group by lang, ids),
+        k as (select b.* from b left join m using (lang, ids) where most is null or 100 * most < 80 * a),
+        o as (select lang, array_to_string(ids, ' ') as phrase, a, l, r, score from k),
+        z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
+        select lang, rank, phrase, a, l, r, n, score from z join n using (lang) where rank <= 2000""",
+    "op13_exact_dedup": """
+        with d as (select doc_id, coalesce(text, '') as body from documents),
+        g as (select doc_id, body, max(doc_id) over (partition by body) as keep_id, count(*) over (partition by body) as group_size from d)
+        select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(body) as text_sha256 from g""",
 }
