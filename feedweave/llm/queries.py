@@ -150,6 +150,23 @@ ORACLE_SQL: dict[str, str] = {
                case when payload_bytes < 1000 or last is null or page_id = last then 'response' else 'revisit' end as record_type,
                case when payload_bytes < 1000 or last is null or page_id = last then null else last end as refers_to
         from q""",
+    "op11_importance_resampling": r"""
+        with tbl as (select list_transform(range(256), lambda i: list_reduce(list_prepend(cast(i as bigint), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end))) as t),
+        d as (select doc_id, false as aim, text from documents union all select null, true, text from benchmark),
+        w as (select doc_id, aim, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from d),
+        g as (select doc_id, aim, w, unnest(range(1, len(w) + 1)) as i from w),
+        f as (select doc_id, aim, w[i] as f from g union all select doc_id, aim, w[i] || ' ' || w[i + 1] from g where i < len(w)
+              union all select doc_id, aim, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from g where i + 1 < len(w)),
+        u as (select f, sum(case when aim then 0 else 1 end) as s, sum(case when aim then 1 else 0 end) as t from f group by f),
+        c as (select f, s, u.t, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: cast('0x' || h as bigint))),
+                        lambda x, b: xor(x >> 8, tbl.t[xor(x & 255, b) + 1])), 4294967295) % 10000 as bucket from u, tbl),
+        b as (select bucket, sum(s) as s, sum(t) as t from c group by bucket),
+        k as (select bucket, cast(floor(1000 * ln((t + 1)::double * ((select sum(s) from b) + 10000) / ((s + 1)::double * ((select sum(t) from b) + 10000)))) as bigint) as gain from b),
+        v as (select doc_id, count(*) as n_features, sum(gain) as weight from f join c using (f) join k using (bucket) where not aim group by doc_id),
+        x as (select w.doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, cast('0x' || substr(sha256('42:' || w.doc_id), 1, 8) as bigint) as h from w left join v on w.doc_id = v.doc_id where not aim),
+        y as (select *, weight + cast(floor(-1000.0 * ln(-ln((h + 0.5) / 4294967296.0))) as bigint) as score from x),
+        z as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as r, count(*) over (partition by n_words >= 20) as n from y)
+        select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score, case when n_words >= 20 and r <= 5 * n // 100 then r end as rank from z""",
     "op12_collocations": r"""
         with p as (select coalesce(lang, 'und') as lang, row_number() over () as piece, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as body from documents),
         q as (select lang, row_number() over () as piece, regexp_extract_all(body, '[^\x20\x09]+') as w from p),
@@ -165,7 +182,9 @@ ORACLE_SQL: dict[str, str] = {
         x as (select c.lang, c.ids, a, k, l.n as l, r.n as r, cast(2000000 * cast(a as hugeint) // (cast(l.n as hugeint) + r.n) as bigint) as score
               from c join f l on l.lang = c.lang and l.ids = c.ids[1:k] join f r on r.lang = c.lang and r.ids = c.ids[k + 1:]),
         b as (select lang, ids, a, l, r, score from x qualify row_number() over (partition by lang, ids order by score, k) = 1),
-        h as (select lang, unnest([ids[i:j] for i in range(1, len(ids) + 1) for j in range(i + 1, len(ids) + 1) if j - i + 1 < len(ids)]) as ids, a as most from b where len(ids) > 2),
+        i as (select lang, ids, a, unnest(range(1, len(ids))) as i from b where len(ids) > 2),
+        j as (select *, unnest(range(i + 1, len(ids) + 1)) as j from i),
+        h as (select lang, ids[i:j] as ids, a as most from j where j - i + 1 < len(ids)),
         m as (select lang, ids, max(most) as most from h group by lang, ids),
         k as (select b.* from b left join m using (lang, ids) where most is null or 100 * most < 80 * a),
         o as (select lang, array_to_string(ids, ' ') as phrase, a, l, r, score from k),
