@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pandas as pd
@@ -70,7 +71,10 @@ class _Cleaner:
     def __init__(self, most: int):
         self.out: list[str] = []
         self.open: list[str] = []
-        self.others: list[str] = []
+        self.others: Counter[str] = Counter()
+        #: Places of the open elements by tag, and of those that shield what is around them.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.barriers: list[int] = []
         self.most, self.depth, self.tags = most, 0, 0
 
     def read(self, text: str) -> None:
@@ -85,8 +89,7 @@ class _Cleaner:
         while self.open:
             self.out.append(f"</{self.open.pop()}>")
 
-    def enter(self, tag: str, where: list[str]) -> None:
-        where.append(tag)
+    def deeper(self, tag: str) -> None:
         self.depth += tag not in FORMATTING
         if self.depth > self.most:
             raise TooDeep
@@ -97,9 +100,11 @@ class _Cleaner:
             raise TooDeep
         if tag not in TAGS:
             if tag not in VOID and tag not in RAW and not source.endswith("/"):
-                self.enter(tag, self.others)
+                self.others[tag] += 1
+                self.deeper(tag)
             return
-        if tag in AUTO_CLOSE and tag in self.open and not BARRIERS & set(self.open[self.open.index(tag) + 1 :]):
+        places = self.places[tag]
+        if tag in AUTO_CLOSE and places and not (self.barriers and self.barriers[-1] > places[0]):
             self.close_to(tag)
         kept: dict[str, str] = {}
         own = ATTRIBUTES | frozenset(TAG_ATTRIBUTES.get(tag, ()))
@@ -111,18 +116,25 @@ class _Cleaner:
             kept["rel"] = REL
         self.out.append(f"<{tag}{''.join(f' {name}={chr(34)}{value}{chr(34)}' for name, value in kept.items())}>")
         if tag not in VOID:
-            self.enter(tag, self.open)
+            places.append(len(self.open))
+            if tag in BARRIERS:
+                self.barriers.append(len(self.open))
+            self.open.append(tag)
+            self.deeper(tag)
 
     def end(self, tag: str) -> None:
-        if tag in self.open:
+        if self.places.get(tag):
             self.close_to(tag)
-        elif tag in self.others:
-            self.others.remove(tag)
+        elif self.others[tag]:
+            self.others[tag] -= 1
             self.depth -= tag not in FORMATTING
 
-    def close_to(self, tag):
+    def close_to(self, tag: str) -> None:
         while self.open:
             last = self.open.pop()
+            self.places[last].pop()
+            if last in BARRIERS:
+                self.barriers.pop()
             self.depth -= last not in FORMATTING
             self.out.append(f"</{last}>")
             if last == tag:

@@ -15,7 +15,7 @@ from feedweave.functions.dates import parse_date
 from feedweave.functions.values import flat_person, parse_person, text_type
 from feedweave.options import Limits
 from feedweave.plans import schema as S
-from feedweave.sources.lexer import NODE
+from feedweave.sources.lexer import NODE, field_of
 
 Fields = dict[str, Column]
 
@@ -71,12 +71,11 @@ class Scope:
     def element(self, name: str) -> Column:
         """The nodes of a name, null if there are none."""
         self.asked.add(name)
-        return F.element_at(self.nodes, name)
+        return self.nodes[field_of(name)]
 
     def wanted(self, text: str) -> frozenset[str]:
         """Which of the names that were asked for are in the text of some columns."""
-        at = F.element_at(self.nodes, "").cast("string")._jc.toString().split("''")[0].removeprefix("CAST(")
-        return frozenset(n for n in self.asked if f"{at}'{n}'" in text)
+        return frozenset(n for n in self.asked if self.nodes[field_of(n)]._jc.toString() in text)
 
     def all(self, *names: str) -> Column:
         """All nodes of the names, in document order; an empty array if there are none."""

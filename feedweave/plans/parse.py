@@ -15,19 +15,19 @@ from feedweave.operators import atom, jsonfeed, rss
 from feedweave.operators.nodes import Fields, Scope
 from feedweave.options import Options
 from feedweave.plans.schema import ENTRY, FEED
-from feedweave.sources.lexer import LEXED, Names, lexing
+from feedweave.sources.lexer import Names, lexed_ddl, lexing, scope_ddl
 
 ATOM, RDF, JSON = ("atom03", "atom10"), ("rss10",), ("json10", "json11")
 STATUS = ("bozo", "bozo_exception", "encoding", "version", "namespaces", "error")
 
 
 def lex(docs: DataFrame, content: str = "content", options: Options = Options(), names: Names = (None, None)) -> DataFrame:
-    """``docs`` without the content, with the columns of :data:`LEXED`: one pass, no shuffle.
+    """``docs`` without the content, with the columns of :func:`lexed_ddl`: one pass, no shuffle.
 
     ``names`` are the elements wanted of the feed and of entries (default: all).
     """
     keep = StructType([f for f in docs.schema.fields if f.name != content])
-    out = StructType([*keep.fields, *StructType.fromDDL(LEXED).fields])
+    out = StructType([*keep.fields, *StructType.fromDDL(lexed_ddl(names)).fields])
     return docs.mapInArrow(lexing(options, to_arrow_schema(keep), content, names), out)
 
 
@@ -135,21 +135,14 @@ def parse_entries(docs: DataFrame, content: str = "content", options: Options =
     fields = _pick(ENTRY, entry_fields, rules.by_format, F.col("version"))
     staged, names = rules.used(fields)
     lexed = _with_json(lex(docs, content, options, names))
-    scopes = F.coalesce(F.transform("items", lambda x: F.struct(x.alias("item"), F.lit(None).cast("variant").alias("element"))), F.array().cast(f"array<{item_type(lexed)}>"))
-    elements = F.transform(_limited(F.col("_v"), options), lambda x: F.struct(F.lit(None).cast(scope_type(lexed)).alias("item"), x.alias("element")))
+    scope = scope_ddl(names[1])
+    scopes = F.coalesce(F.transform("items", lambda x: F.struct(x.alias("item"), F.lit(None).cast("variant").alias("element"))), F.array().cast(f"array<struct<item:{scope},element:variant>>"))
+    elements = F.transform(_limited(F.col("_v"), options), lambda x: F.struct(F.lit(None).cast(scope).alias("item"), x.alias("element")))
     both = F.when(F.col("json").isNotNull() & (F.col("version") != ""), elements).otherwise(scopes)
     rows = lexed.select(*keep, "version", "head", "_v", F.posexplode(both).alias("entry_idx", "_e"))
     return rows.withColumns(staged).select(*keep, "version", "entry_idx", *fields)
 
 
-def scope_type(lexed: DataFrame) -> str:
-    return lexed.schema["items"].dataType.elementType.simpleString()
-
-
-def item_type(lexed: DataFrame) -> str:
-    return f"struct<item:{scope_type(lexed)},element:variant>"
-
-
 def parse(docs: DataFrame, key: str, content: str = "content", options: Options = Options()) -> DataFrame:
     """One row per document with its entries nested, as :func:`parse_feeds` and ``entries``.
 

@@ -3,29 +3,55 @@
 It knows nothing of what elements mean. It finds the document's format, cuts it
 into the feed and its entries, and gives the elements of each by canonical name;
 rules over columns (``feedweave.operators``) make fields of them.
+
+Elements that hold nothing but text are most of any feed, and are taken at once; only
+the others go tag by tag. Elements that no wanted field refers to are checked, since a broken one
+breaks its entry, but no node is made of them.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from feedweave.functions.html import sanitize
-from feedweave.functions.markup import CDATA, CLOSE, OPEN, STRAY, tokens
+from feedweave.functions.markup import CDATA, CLOSE, OPEN, STRAY, Tokens, tokens
 from feedweave.functions.urls import join, join_safe
 from feedweave.options import Options
 from feedweave.sources.encoding import decode
 
 KID = "struct<up:int,name:string,attrs:map<string,string>,text:string>"
 NODE = f"struct<pos:int,name:string,attrs:map<string,string>,text:string,clean:string,safe:string,xml:string,base:string,lang:string,empty:boolean,kids:array<{KID}>>"
-SCOPE = f"struct<attrs:map<string,string>,base:string,lang:string,nodes:map<string,array<{NODE}>>>"
-LEXED = f"version string, encoding string, bozo boolean, bozo_exception string, error string, namespaces map<string,string>, head {SCOPE}, items array<{SCOPE}>, json string"
+
+#: Names of the elements that are wanted of the feed and of its entries (null: all).
+Names = tuple[frozenset[str] | None, frozenset[str] | None]
+
+
+def scope_ddl(names: frozenset[str] | None) -> str:
+    """The type of a scope: a field for each wanted name, or a map of all."""
+    nodes = f"map<string,array<{NODE}>>" if names is None else f"struct<{','.join(f'`{field_of(n)}`:array<{NODE}>' for n in columns_of(names))}>"
+    return f"struct<attrs:map<string,string>,base:string,lang:string,nodes:{nodes}>"
+
+
+def columns_of(names: frozenset[str]) -> list[str]:
+    return sorted(names) or ["title"]
+
+
+def field_of(name: str) -> str:
+    """A name as that of a field; Spark's do not differ by case, so capitals are marked."""
+    return re.sub("[A-Z]", lambda m: f"^{m[0].lower()}", name)
+
+
+def lexed_ddl(names: Names = (None, None)) -> str:
+    """The columns that lexing gives."""
+    return f"version string, encoding string, bozo boolean, bozo_exception string, error string, namespaces map<string,string>, head {scope_ddl(names[0])}, items array<{scope_ddl(names[1])}>, json string"
 
 #: Namespaces whose own prefixes are recognised, and the formats' names.
 ALIASES = {"http://purl.org/dc/elements/1.1/": "dc", "http://search.yahoo.com/mrss/": "media", "http://search.yahoo.com/mrss": "media", "http://www.itunes.com/dtds/podcast-1.0.dtd": "itunes"}
@@ -40,11 +66,10 @@ URL_ATTRIBUTES = ("href", "url", "src", "uri")
 URL_TEXTS = frozenset(("link", "url", "icon", "logo", "guid", "comments", "docs", "id"))
 
 _ATTRIBUTE = re.compile(r"\s*([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')|\s*([^\s]+)")
+_WELL_FORMED = re.compile(r"(?:\s*+[^\s=/>]++\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'))*+\s*+")
 _REFERENCE = re.compile(r"&(?:#[xX]([0-9A-Fa-f]+);|#([0-9]+);|([^;&<\s]+);|)")
-
-
-#: Names of the elements that are wanted of the feed and of its entries (null: all).
-Names = tuple[frozenset[str] | None, frozenset[str] | None]
+#: An element that holds text or one CDATA section only.
+_LEAF = re.compile(r"[^<]*+<([^\s/>=<!?][^\s/>=<]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)(?<!/)>(?:([^<]*+)|\s*+<!\[CDATA\[((?:[^\]]++|\](?!\]>))*+)\]\]>\s*+)</\1>")
 
 
 class Broken(Exception):
@@ -64,21 +89,30 @@ class Element:
     sealed: bool = False
     kids: list[tuple[int, str, dict, list[str], list[bool]]] = field(default_factory=list)
     path: list[int] = field(default_factory=list)
-    raw_end: int = 0
+
+
+@dataclass
+class Part:
+    """The feed or an entry: its nodes by canonical name, as tuples in the order of :data:`NODE`."""
+
+    attrs: dict[str, str]
+    base: str | None
+    lang: str | None
+    nodes: dict[str, list[tuple]] = field(default_factory=dict)
 
 
 class Document:
-    """One document's nodes; ``feed`` reads the tokens of it."""
+    """One document's nodes; ``read`` finds them."""
 
     def __init__(self, text: str, options: Options, names: Names = (None, None)):
         self.text, self.options, self.limits = text, options, options.limits
         self.names = names
         self.version, self.bozo, self.error = "", None, None
         self.namespaces: dict[str, str] = {}
-        self.head, self.items = self.scope({}, None, None), []
-
-    def scope(self, attrs: dict, base: str | None, lang: str | None) -> dict:
-        return {"attrs": attrs, "base": base, "lang": lang, "nodes": {}}
+        self.known: dict[str, str] = {}
+        self.head, self.items = Part({}, None, None), []
+        #: Whether reading ended between two entries, and found something of the feed behind the first.
+        self.between, self.late = False, False
 
     def complain(self, reason: str) -> None:
         self.bozo = self.bozo or reason
@@ -86,8 +120,11 @@ class Document:
     # names and values -------------------------------------------------------
 
     def canonical(self, name: str) -> str:
-        prefix, _, local = name.rpartition(":")
-        return f"{ALIASES.get(self.namespaces.get(prefix, ''), prefix)}:{local}" if prefix else local
+        found = self.known.get(name)
+        if found is None:
+            prefix, _, local = name.rpartition(":")
+            found = self.known[name] = f"{ALIASES.get(self.namespaces.get(prefix, ''), prefix)}:{local}" if prefix else local
+        return found
 
     def resolved(self, text: str, strict: bool) -> str:
         """Character references replaced; unknown names stay, a bare ampersand breaks."""
@@ -130,46 +167,52 @@ class Document:
                     self.complain("Namespace limit exceeded")
                     return
                 self.namespaces[name[6:]] = uri
+        self.known.clear()
 
     # nodes ------------------------------------------------------------------
 
-    def add(self, scope: dict, pos: int, e: Element, inner: str | None) -> None:
-        text = "".join(e.text).strip().replace("\0", "")
+    def checked(self, text: str) -> str:
+        """Text without the space around it, unless it is too long."""
+        text = text.strip().replace("\0", "")
         if 4 * len(text) > self.limits.text_length and len(text.encode()) > self.limits.text_length:
             raise Broken("text is too long")
-        names = self.names[scope is not self.head]
+        return text
+
+    def with_urls(self, attrs: dict[str, str], base: str | None) -> list[tuple[str, str]]:
+        """Attributes, and those that are URLs once more, made absolute where that is safe."""
+        found = list(attrs.items())
+        if attrs:
+            for key in URL_ATTRIBUTES:
+                if key in attrs:
+                    found.append((f"@{key}", join_safe(attrs[key].strip(), base, self.options.resolve_relative_uris)))
+        return found
+
+    def add(self, part: Part, pos: int, e: Element, inner: str | None) -> None:
+        text = self.checked("".join(e.text))
+        names = self.names[part is not self.head]
         if names is not None and e.name not in names:
             return
-        attrs, resolve = dict(e.attrs), self.options.resolve_relative_uris
-        for key in URL_ATTRIBUTES:
-            if key in attrs:
-                attrs[f"@{key}"] = join_safe(attrs[key].strip(), e.base, resolve)
-        local = e.name.rpartition(":")[2]
-        node = {"pos": pos, "name": e.name, "attrs": list(attrs.items()), "text": text, "clean": None, "safe": None, "xml": None, "base": e.base, "lang": e.lang, "empty": e.empty}
-        if local in URL_TEXTS:
-            node["safe"] = join_safe(text, e.base, resolve)
-        if inner is not None:
-            node["xml"] = inner
+        kids = [(up, name, self.with_urls(own, e.base), "".join(parts).strip().replace("\0", "")) for up, name, own, parts, _ in e.kids]
+        self.put(part, pos, e.name, e.attrs, text, e.base, e.lang, e.empty, inner, kids)
+
+    def put(self, part: Part, pos: int, name: str, attrs: dict[str, str], text: str, base: str | None, lang: str | None, empty: bool, inner: str | None, kids: list[tuple]) -> None:
+        clean = safe = None
+        if name.rpartition(":")[2] in URL_TEXTS:
+            safe = join_safe(text, base, self.options.resolve_relative_uris)
         if self.options.sanitize_html:
             depth = self.limits.html_nesting_depth
-            node["clean"] = None if (c := sanitize(text, depth)) == text else c
+            clean = sanitize(text, depth)
+            if clean == text:
+                clean = None
             if inner is not None:
-                node["xml"] = sanitize(inner, depth)
-        kids = []
-        for up, name, own, parts, _ in e.kids:
-            own = dict(own)
-            for key in URL_ATTRIBUTES:
-                if key in own:
-                    own[f"@{key}"] = join_safe(own[key].strip(), e.base, resolve)
-            kids.append({"up": up, "name": name, "attrs": list(own.items()), "text": "".join(parts).strip().replace("\0", "")})
-        node["kids"] = kids
-        scope["nodes"].setdefault(e.name, []).append(node)
+                inner = sanitize(inner, depth)
+        part.nodes.setdefault(name, []).append((pos, name, self.with_urls(attrs, base), text, clean, safe, inner, base, lang, empty, kids))
 
-    def inner_markup(self, e: Element, end: int) -> str | None:
+    def inner_markup(self, attrs: dict[str, str], start: int, end: int) -> str | None:
         """The children's markup of an XHTML construct, without the element around them."""
-        if (e.attrs.get("type") or "").lower() not in ("xhtml", "application/xhtml+xml"):
+        if not attrs or (attrs.get("type") or "").lower() not in ("xhtml", "application/xhtml+xml"):
             return None
-        source = self.text[e.inner : end]
+        source = self.text[start:end]
         body = source.strip()
         first, last = body.find(">"), body.rfind("</")
         if body.startswith("<") and 0 <= first < last and body.endswith(">"):
@@ -180,14 +223,66 @@ class Document:
 
     # tokens -----------------------------------------------------------------
 
-    def read(self) -> None:
-        """One pass over the tokens. The path holds the open elements' roles."""
+    def read(self, whole: bool = True) -> None:
+        """One pass over the text. The path holds the open elements' roles.
+
+        ``whole`` is false for a piece that other entries follow: that it ends is no fault of it.
+        """
         path: list[str] = []  # root, channel or feed
-        scope, entry, node, broken = self.head, None, None, None
+        entry, node, broken = None, None, None
         bases, langs = [None], [None]
         pos, depth, skipping = 0, 0, 0
         atom = rdf = False
-        for kind, start, end, name, source in tokens(self.text):
+        start_level = None
+        found, at, leaf, text = Tokens(self.text), 0, _LEAF.match, self.text
+        deepest = self.limits.nesting_depth
+        while True:
+            # an element of the feed or of an entry that holds only text
+            if node is None and path and depth < deepest and (broken is None or entry is not None) and (m := leaf(text, at)) is not None and not (m[1] == "entry" if atom else m[1].rpartition(":")[2] in ("item", "channel")):
+                name, source, at = m[1], m[2], m.end()
+                pos += 1
+                if skipping:
+                    continue
+                if entry is None:
+                    self.late |= start_level is not None
+                part = self.head if entry is None else entry
+                name = self.canonical(name)
+                names = self.names[entry is not None]
+                wanted = names is None or name in names
+                attrs: dict[str, str] = {}
+                if source and (wanted or not _WELL_FORMED.fullmatch(source)):
+                    attrs = self.attributes(source)
+                if broken is not None:
+                    continue
+                value = ""
+                try:
+                    value = m[4] if m[3] is None else self.resolved(m[3], strict=True)
+                except Broken as e:
+                    broken = str(e)
+                    self.complain(f"XML error: {e}")
+                if broken is None:
+                    try:
+                        value = self.checked(value)
+                        if wanted:
+                            base, lang = bases[-1], langs[-1]
+                            if attrs:
+                                base = join(b, base) if (b := attrs.get("xml:base")) is not None else base
+                                lang = attrs["xml:lang"] or None if "xml:lang" in attrs else lang
+                            inner = self.inner_markup(attrs, m.end(2) + 1, at - len(m[1]) - 3)
+                            self.put(part, pos, name, attrs, value, base, lang, False, inner, [])
+                    except Broken as e:
+                        broken = str(e)
+                        self.complain(str(e))
+                if entry is None:
+                    broken = None
+                    if name == "link" and not atom and self.head.base is None and value:
+                        # later relative references resolve against the channel's link
+                        self.head.base = bases[-1] = value.strip() or None
+                continue
+            token = found.take(at)
+            if token is None:
+                break
+            kind, start, at, name, source = token
             if kind <= STRAY:
                 if node is None or broken:
                     continue
@@ -209,8 +304,8 @@ class Document:
             local = name.rpartition(":")[2]
             if not closing:
                 depth += 1
-                if depth > self.limits.nesting_depth and not broken:
-                    self.complain(f"Maximum nesting depth {self.limits.nesting_depth} exceeded")
+                if depth > deepest and not broken:
+                    self.complain(f"Maximum nesting depth {deepest} exceeded")
                     broken = "nesting depth"
                 attrs = self.attributes(source[:-1] if empty else source) if source else {}
                 if not path:
@@ -223,7 +318,7 @@ class Document:
                     langs.append(attrs.get("xml:lang") or attrs.get("lang"))
                     path.append("root")
                     if atom:
-                        scope["attrs"], scope["base"], scope["lang"] = attrs, bases[-1], langs[-1]
+                        self.head.attrs, self.head.base, self.head.lang = attrs, bases[-1], langs[-1]
                     if empty:
                         path.pop()
                     continue
@@ -237,9 +332,10 @@ class Document:
                         depth -= 1
                     continue
                 if entry is None and local == "channel" and len(path) == 1 and not atom:
+                    self.late |= start_level is not None
                     if not rdf:
                         self.declare(attrs)
-                    scope["attrs"], scope["base"], scope["lang"] = attrs, base, lang
+                    self.head.attrs, self.head.base, self.head.lang = attrs, base, lang
                     if not empty:
                         path.append("channel")
                         bases.append(base)
@@ -247,10 +343,11 @@ class Document:
                     continue
                 where = len(path) if not atom else 2
                 if entry is None and (name == "entry" if atom else local == "item" and where == (1 if rdf else 2)):
+                    start_level = start_level or (len(path), depth - 1, len(bases))
                     if len(self.items) >= self.limits.entries:
                         self.complain(f"Entry limit exceeded: {self.limits.entries}")
                         skipping = depth
-                    entry = self.scope(attrs, base, lang)
+                    entry = Part(attrs, base, lang)
                     broken = None
                     if empty:
                         depth -= 1
@@ -261,10 +358,10 @@ class Document:
                         bases.append(base)
                         langs.append(lang)
                     continue
-                if entry is None and where == 1 and not rdf:
-                    where = 0  # outside the channel
                 pos += 1
-                node = Element(self.canonical(name), attrs, base, lang, empty, start, end)
+                if entry is None:
+                    self.late |= start_level is not None
+                node = Element(self.canonical(name), attrs, base, lang, empty, start, at)
                 if not empty:
                     continue
             elif node is not None:
@@ -294,17 +391,20 @@ class Document:
                 depth -= 1
             done, node = node, None
             try:
-                if broken is None:
-                    self.add(entry if entry is not None else self.head, pos, done, self.inner_markup(done, start) if not empty else None)
+                if broken is None and not skipping:
+                    self.add(entry if entry is not None else self.head, pos, done, self.inner_markup(done.attrs, done.inner, start) if not empty else None)
             except Broken as e:
                 broken = str(e)
                 self.complain(str(e))
             if entry is None:
                 broken = None
-                if done.name == "link" and not atom and self.head["base"] is None and done.text:
+                if done.name == "link" and not atom and self.head.base is None and done.text:
                     # later relative references resolve against the channel's link
-                    self.head["base"] = "".join(done.text).strip() or None
-                    bases[-1] = self.head["base"]
+                    self.head.base = "".join(done.text).strip() or None
+                    bases[-1] = self.head.base
+        self.between = entry is None and node is None and not found.unfinished and start_level == (len(path), depth, len(bases))
+        if not whole:
+            return
         if path or node is not None or entry is not None:
             self.complain(TRUNCATED)
             if node is not None and broken is None:
@@ -350,21 +450,40 @@ def version_of(data: bytes) -> str:
     return ""
 
 
-def lex(data: bytes | None, options: Options, names: Names = (None, None)) -> dict:
-    """A document as a row of :data:`LEXED`."""
-    out = {"version": "", "encoding": "utf-8", "bozo": False, "bozo_exception": None, "error": None, "namespaces": [], "head": None, "items": [], "json": None}
+@dataclass
+class Lexed:
+    """A document's row, in the order of :func:`lexed_ddl`."""
+
+    version: str = ""
+    encoding: str = "utf-8"
+    bozo: bool = False
+    bozo_exception: str | None = None
+    error: str | None = None
+    namespaces: dict[str, str] = field(default_factory=dict)
+    head: Part | None = None
+    items: list[Part] = field(default_factory=list)
+    json: str | None = None
+
+
+def lex(data: bytes | None, options: Options, names: Names = (None, None)) -> Lexed:
+    """A document's version, nodes and faults."""
     if data is None or len(data) > options.limits.feed_size:
-        return out | {"error": "No document" if data is None else f"Feed size exceeds maximum of {options.limits.feed_size}", "bozo": True}
-    text, out["encoding"] = decode(data)
+        return Lexed(bozo=True, error="No document" if data is None else f"Feed size exceeds maximum of {options.limits.feed_size}")
+    text, encoding = decode(data)
     if text.lstrip().startswith("{"):
-        return out | {"version": json_version(text.lstrip()), "json": text}
+        return Lexed(json_version(text.lstrip()), encoding, json=text)
     document = Document(text, options, names)
     document.read()
+    return taken(document, encoding)
+
+
+def taken(document: Document, encoding: str) -> Lexed:
     if not document.version:
-        return out | {"bozo": True, "bozo_exception": "Feed format not recognized"}
-    for scope in (document.head, *document.items):
-        scope["attrs"], scope["nodes"] = list(scope["attrs"].items()), list(scope["nodes"].items())
-    return out | {"version": document.version, "bozo": document.bozo is not None, "bozo_exception": document.bozo, "namespaces": list(document.namespaces.items()), "head": document.head, "items": document.items}
+        return Lexed(encoding=encoding, bozo=True, bozo_exception="Feed format not recognized")
+    return Lexed(document.version, encoding, document.bozo is not None, document.bozo, None, document.namespaces, document.head, document.items)
+
+
+# Arrow: nodes of all documents of a batch, column by column ---------------------
 
 
 def arrow_type(ddl: str) -> pa.Schema:
@@ -372,16 +491,81 @@ def arrow_type(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def lexing(options: Options, keep: pa.Schema, column: str, names: Names = (None, None)):
-    """A map over Arrow batches: the columns ``keep`` and :data:`LEXED`; of elements those in ``names``."""
+def _ends(sizes: Iterable[int], n: int) -> np.ndarray:
+    found = np.zeros(n + 1, np.int32)
+    np.cumsum(np.fromiter(sizes, np.int32, n), out=found[1:])
+    return found
 
-    types = arrow_type(LEXED)
+
+def _maps(rows: list[list[tuple[str, str]]]) -> pa.MapArray:
+    flat = [x for r in rows for x in r]
+    return pa.MapArray.from_arrays(pa.array(_ends(map(len, rows), len(rows))), pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string()))
+
+
+def _lists(sizes: list[int], values: pa.Array, gaps: bool = False) -> pa.ListArray:
+    """Lists of the given sizes; with ``gaps`` empty ones are null."""
+    mask = pa.array(np.array(sizes) == 0) if gaps and len(sizes) else None
+    return pa.ListArray.from_arrays(pa.array(_ends(sizes, len(sizes))), values, mask=mask)
+
+
+def _nodes(nodes: list[tuple]) -> pa.StructArray:
+    pos, name, attrs, text, clean, safe, xml, base, lang, empty, kids = zip(*nodes) if nodes else ((),) * 11
+    flat = [k for own in kids for k in own]
+    up, kid, kid_attrs, kid_text = zip(*flat) if flat else ((),) * 4
+    string = lambda x: pa.array(x, pa.string())
+    inside = pa.StructArray.from_arrays([pa.array(up, pa.int32()), string(kid), _maps(list(kid_attrs)), string(kid_text)], names=["up", "name", "attrs", "text"])
+    return pa.StructArray.from_arrays(
+        [pa.array(pos, pa.int32()), string(name), _maps(list(attrs)), string(text), string(clean), string(safe), string(xml), string(base), string(lang), pa.array(empty, pa.bool_()), _lists(list(map(len, kids)), inside)],
+        names=["pos", "name", "attrs", "text", "clean", "safe", "xml", "base", "lang", "empty", "kids"],
+    )
+
+
+def _parts(parts: list[Part | None], names: frozenset[str] | None) -> pa.StructArray:
+    """Feeds or entries as an array of the type of :func:`scope_ddl`."""
+    held = [p or Part({}, None, None) for p in parts]
+    if names is None:
+        lists = [x for p in held for x in p.nodes.items()]
+        inside = _lists([len(v) for _, v in lists], _nodes([n for _, v in lists for n in v]))
+        nodes = pa.MapArray.from_arrays(pa.array(_ends((len(p.nodes) for p in held), len(held))), pa.array([k for k, _ in lists], pa.string()), inside)
+    else:
+        wanted, none = columns_of(names), []
+        by_name = [[p.nodes.get(n, none) for p in held] for n in wanted]
+        nodes = pa.StructArray.from_arrays([_lists([len(x) for x in lists], _nodes([n for x in lists for n in x]), gaps=True) for lists in by_name], names=[field_of(n) for n in wanted])
+    fields = [_maps([list(p.attrs.items()) for p in held]), pa.array([p.base for p in held], pa.string()), pa.array([p.lang for p in held], pa.string()), nodes]
+    return pa.StructArray.from_arrays(fields, names=["attrs", "base", "lang", "nodes"], mask=pa.array([p is None for p in parts], pa.bool_()))
+
+
+def columns(rows: list[Lexed], names: Names) -> list[pa.Array]:
+    """The columns of :func:`lexed_ddl`."""
+    string = lambda of: pa.array([of(r) for r in rows], pa.string())
+    return [
+        string(lambda r: r.version), string(lambda r: r.encoding), pa.array([r.bozo for r in rows], pa.bool_()), string(lambda r: r.bozo_exception), string(lambda r: r.error),
+        _maps([list(r.namespaces.items()) for r in rows]), _parts([r.head for r in rows], names[0]),
+        _lists([len(r.items) for r in rows], _parts([p for r in rows for p in r.items], names[1])), string(lambda r: r.json),
+    ]
+
+
+#: Documents are lexed until their rows come from about this many bytes, then sent.
+BATCH_BYTES = 1 << 20
+
+
+def lexing(options: Options, keep: pa.Schema, column: str, names: Names = (None, None)):
+    """A map over Arrow batches: the columns ``keep`` and :func:`lexed_ddl`; of elements those in ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
-                rows = [lex(c, options, names) for c in part.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep.names), *(pa.array([r[f.name] for r in rows], f.type) for f in types)], names=[*keep.names, *types.names])
+            first, size, rows = 0, 0, []
+            for i in range(batch.num_rows):
+                data = batch.column(column)[i].as_py()
+                rows.append(lex(data, options, names))
+                size += len(data or b"")
+                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(first, len(rows))
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep.names), *columns(rows, names)], names=[*keep.names, *arrow_names()])
+                    first, size, rows = i + 1, 0, []
 
     return run
+
+
+def arrow_names() -> list[str]:
+    return ["version", "encoding", "bozo", "bozo_exception", "error", "namespaces", "head", "items", "json"]
