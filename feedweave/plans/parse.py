@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from feedweave.operators import atom, jsonfeed, rss
 from feedweave.operators.nodes import Fields, Scope
 from feedweave.options import Options
+from feedweave.plans.large import lex_large
 from feedweave.plans.schema import ENTRY, FEED
 from feedweave.sources.lexer import Names, lexed_ddl, lexing, scope_ddl
 
@@ -124,22 +125,26 @@ def parse_feeds(docs: DataFrame, content: str = "content", options: Options = Op
     return _checked(out, options)
 
 
-def parse_entries(docs: DataFrame, content: str = "content", options: Options = Options(), entry_fields: Iterable[str] | None = None) -> DataFrame:
+def parse_entries(docs: DataFrame, content: str = "content", options: Options = Options(), entry_fields: Iterable[str] | None = None, piece: int | None = None) -> DataFrame:
     """One row per entry: the document's columns, ``version``, ``entry_idx`` and the fields.
 
     Documents without entries give no rows. Entries are exploded before rules
-    are applied, so that each is a row of plain columns.
+    are applied, so that each is a row of plain columns. Documents of more than ``piece``
+    bytes are dealt out and lexed in pieces of about that size (default: each by one task, without a shuffle).
     """
     keep = [c for c in docs.columns if c != content]
     rules = _rules(options, docs.sparkSession, True)
     fields = _pick(ENTRY, entry_fields, rules.by_format, F.col("version"))
     staged, names = rules.used(fields)
-    lexed = _with_json(lex(docs, content, options, names))
+    lexed = _with_json(lex(docs, content, options, names).withColumn("_first", F.lit(0)) if piece is None else lex_large(docs, content, options, names, piece))
     scope = scope_ddl(names[1])
     scopes = F.coalesce(F.transform("items", lambda x: F.struct(x.alias("item"), F.lit(None).cast("variant").alias("element"))), F.array().cast(f"array<struct<item:{scope},element:variant>>"))
     elements = F.transform(_limited(F.col("_v"), options), lambda x: F.struct(F.lit(None).cast(scope).alias("item"), x.alias("element")))
     both = F.when(F.col("json").isNotNull() & (F.col("version") != ""), elements).otherwise(scopes)
-    rows = lexed.select(*keep, "version", "head", "_v", F.posexplode(both).alias("entry_idx", "_e"))
+    rows = lexed.select(*keep, "version", "head", "_v", "_first", F.posexplode(both).alias("entry_idx", "_e"))
+    rows = rows.withColumn("entry_idx", (F.col("entry_idx") + F.col("_first")).cast("int"))
+    if piece is not None:
+        rows = rows.where(F.col("entry_idx") < options.limits.entries)
     return rows.withColumns(staged).select(*keep, "version", "entry_idx", *fields)
 
 

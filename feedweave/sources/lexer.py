@@ -111,8 +111,11 @@ class Document:
         self.namespaces: dict[str, str] = {}
         self.known: dict[str, str] = {}
         self.head, self.items = Part({}, None, None), []
-        #: Whether reading ended between two entries, and found something of the feed behind the first.
-        self.between, self.late = False, False
+        #: How deep reading ended (null: inside something), how deep the first entry is, and
+        #: whether something of the feed stands behind it.
+        self.level: tuple | None = None
+        self.entry_level: tuple | None = None
+        self.late = False
 
     def complain(self, reason: str) -> None:
         self.bozo = self.bozo or reason
@@ -233,7 +236,6 @@ class Document:
         bases, langs = [None], [None]
         pos, depth, skipping = 0, 0, 0
         atom = rdf = False
-        start_level = None
         found, at, leaf, text = Tokens(self.text), 0, _LEAF.match, self.text
         deepest = self.limits.nesting_depth
         while True:
@@ -244,7 +246,7 @@ class Document:
                 if skipping:
                     continue
                 if entry is None:
-                    self.late |= start_level is not None
+                    self.late |= self.entry_level is not None
                 part = self.head if entry is None else entry
                 name = self.canonical(name)
                 names = self.names[entry is not None]
@@ -332,7 +334,7 @@ class Document:
                         depth -= 1
                     continue
                 if entry is None and local == "channel" and len(path) == 1 and not atom:
-                    self.late |= start_level is not None
+                    self.late |= self.entry_level is not None
                     if not rdf:
                         self.declare(attrs)
                     self.head.attrs, self.head.base, self.head.lang = attrs, base, lang
@@ -343,7 +345,7 @@ class Document:
                     continue
                 where = len(path) if not atom else 2
                 if entry is None and (name == "entry" if atom else local == "item" and where == (1 if rdf else 2)):
-                    start_level = start_level or (len(path), depth - 1, len(bases))
+                    self.entry_level = self.entry_level or (len(path), depth - 1, len(bases))
                     if len(self.items) >= self.limits.entries:
                         self.complain(f"Entry limit exceeded: {self.limits.entries}")
                         skipping = depth
@@ -360,7 +362,7 @@ class Document:
                     continue
                 pos += 1
                 if entry is None:
-                    self.late |= start_level is not None
+                    self.late |= self.entry_level is not None
                 node = Element(self.canonical(name), attrs, base, lang, empty, start, at)
                 if not empty:
                     continue
@@ -402,7 +404,8 @@ class Document:
                     # later relative references resolve against the channel's link
                     self.head.base = "".join(done.text).strip() or None
                     bases[-1] = self.head.base
-        self.between = entry is None and node is None and not found.unfinished and start_level == (len(path), depth, len(bases))
+        if entry is None and node is None and not found.unfinished:
+            self.level = (len(path), depth, len(bases))
         if not whole:
             return
         if path or node is not None or entry is not None:
