@@ -104,7 +104,7 @@ def namespace_uri(prefix: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair]), prefix)
 
 
-def truncate(text: Column, most: int) -> Column:
+def truncate(text: Column, most: int | Column) -> Column:
     """Text of over ``most`` bytes cut to as many characters."""
     return F.when(F.octet_length(text) <= most, text).otherwise(F.left(text, F.lit(most)))
 

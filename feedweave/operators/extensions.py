@@ -312,7 +312,7 @@ def _value(s: Scope) -> Column:
 
     def split(x: Column) -> Column:
         k = x["k"]
-        real = lambda name: let(number(at(k, name), "double"), lambda d: F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d))
+        real = lambda name: let(number(at(k, name), "double"), lambda d: F.when(~F.isnan(d) & (F.abs(d) < F.lit("Infinity").cast("double")), d))
         share = F.least(F.greatest(F.coalesce(real("remotePercentage"), F.lit(100.0)), F.lit(0.0)), F.lit(100.0))
         first = F.get(under(x["i"], "podcast:remoteItem"), F.lit(0))
         return build(S.TIME_SPLIT, start_time=real("startTime"), duration=real("duration"), remote_start_time=real("remoteStartTime"), remote_percentage=share, recipients=capped(F.transform(under(x["i"], "podcast:valueRecipient"), recipient), most), remote_item=F.when(first.isNotNull(), remote_item(first)))

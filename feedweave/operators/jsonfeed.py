@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.functions.dates import parse_date
@@ -50,12 +50,23 @@ def _detail(value: Column, language: Column, kind: str = "text") -> Column:
     return F.when(value.isNotNull(), build(S.TEXT, value=value, content_type=F.lit(kind), language=language))
 
 
+def prepare(session: SparkSession, options: Options) -> None:
+    """Make what the rules call known to a session."""
+    if options.sanitize_html:
+        depth = options.limits.html_nesting_depth
+        session.udf.register(_clean_name(depth), sanitizing(depth))
+
+
+def _clean_name(depth: int) -> str:
+    return f"feedweave_sanitized_{depth}"
+
+
 def cleaner(options: Options) -> Callable[[Column], Column]:
     """What makes a text safe to show, if that is wanted; only texts with markup go through it."""
     if not options.sanitize_html:
         return lambda value: value
-    clean = sanitizing(options.limits.html_nesting_depth)
-    return lambda value: F.when(value.rlike("[<>&\\xa0]"), clean(value)).otherwise(value)
+    name = _clean_name(options.limits.html_nesting_depth)
+    return lambda value: F.when(value.rlike("[<>&\\xa0]"), F.call_function(name, value)).otherwise(value)
 
 
 def _one(value: Column, made: Column, kind: str = _LINKS) -> Column:

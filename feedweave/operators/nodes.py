@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedweave.functions.columns import let
 from feedweave.functions.dates import parse_date
 from feedweave.functions.values import flat_person, parse_person, text_type
 from feedweave.options import Limits
@@ -24,11 +25,6 @@ def null(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def build(kind: str, **values: Column) -> Column:
     """A struct of a type in DDL; fields without a value are null."""
     return F.struct(*[values.get(n, F.lit(None)).alias(n) for n in _names(kind)]).cast(kind)

@@ -79,6 +79,7 @@ class Rules:
 def _rules(options: Options, session: SparkSession, entries: bool) -> Rules:
     """The rules as columns; they name columns only, so one making serves all documents."""
     head = Scope(F.col("head"), options.limits, "_f_")
+    jsonfeed.prepare(session, options)
     if entries:
         own = Scope(F.col("_e.item"), options.limits, "_e_")
         full = rss.entry(own, head)
@@ -125,6 +126,26 @@ def parse_feeds(docs: DataFrame, content: str = "content", options: Options = Op
     return _checked(out, options)
 
 
+@dataclass
+class EntryRules:
+    """What makes rows of lexed documents: entries as ``_e``, staged columns, fields, and the elements they refer to."""
+
+    entries: Column
+    staged: dict[str, Column]
+    fields: list[Column]
+    names: Names
+
+
+def entry_rules(session: SparkSession, options: Options, wanted: Iterable[str] | None) -> EntryRules:
+    rules = _rules(options, session, True)
+    fields = _pick(ENTRY, wanted, rules.by_format, F.col("version"))
+    staged, names = rules.used(fields)
+    scope = scope_ddl(names[1])
+    scopes = F.coalesce(F.transform("items", lambda x: F.struct(x.alias("item"), F.lit(None).cast("variant").alias("element"))), F.array().cast(f"array<struct<item:{scope},element:variant>>"))
+    elements = F.transform(_limited(F.col("_v"), options), lambda x: F.struct(F.lit(None).cast(scope).alias("item"), x.alias("element")))
+    return EntryRules(F.when(F.col("json").isNotNull() & (F.col("version") != ""), elements).otherwise(scopes), staged, fields, names)
+
+
 def parse_entries(docs: DataFrame, content: str = "content", options: Options = Options(), entry_fields: Iterable[str] | None = None, piece: int | None = None) -> DataFrame:
     """One row per entry: the document's columns, ``version``, ``entry_idx`` and the fields.
 
@@ -133,19 +154,13 @@ def parse_entries(docs: DataFrame, content: str = "content", options: Options =
     bytes are dealt out and lexed in pieces of about that size (default: each by one task, without a shuffle).
     """
     keep = [c for c in docs.columns if c != content]
-    rules = _rules(options, docs.sparkSession, True)
-    fields = _pick(ENTRY, entry_fields, rules.by_format, F.col("version"))
-    staged, names = rules.used(fields)
-    lexed = _with_json(lex(docs, content, options, names).withColumn("_first", F.lit(0)) if piece is None else lex_large(docs, content, options, names, piece))
-    scope = scope_ddl(names[1])
-    scopes = F.coalesce(F.transform("items", lambda x: F.struct(x.alias("item"), F.lit(None).cast("variant").alias("element"))), F.array().cast(f"array<struct<item:{scope},element:variant>>"))
-    elements = F.transform(_limited(F.col("_v"), options), lambda x: F.struct(F.lit(None).cast(scope).alias("item"), x.alias("element")))
-    both = F.when(F.col("json").isNotNull() & (F.col("version") != ""), elements).otherwise(scopes)
-    rows = lexed.select(*keep, "version", "head", "_v", "_first", F.posexplode(both).alias("entry_idx", "_e"))
+    rules = entry_rules(docs.sparkSession, options, entry_fields)
+    lexed = _with_json(lex(docs, content, options, rules.names).withColumn("_first", F.lit(0)) if piece is None else lex_large(docs, content, options, rules.names, piece))
+    rows = lexed.select(*keep, "version", "head", "_v", "_first", F.posexplode(rules.entries).alias("entry_idx", "_e"))
     rows = rows.withColumn("entry_idx", (F.col("entry_idx") + F.col("_first")).cast("int"))
     if piece is not None:
         rows = rows.where(F.col("entry_idx") < options.limits.entries)
-    return rows.withColumns(staged).select(*keep, "version", "entry_idx", *fields)
+    return rows.withColumns(rules.staged).select(*keep, "version", "entry_idx", *rules.fields)
 
 
 def parse(docs: DataFrame, key: str, content: str = "content", options: Options = Options()) -> DataFrame:

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedweave.functions import dates, html, urls, values
+from feedweave.functions.register import register
 from feedweave.options import Limits, Options
 from feedweave.plans import render as R
 from feedweave.plans import views
 from feedweave.plans.parse import parse_entries, parse_feeds
 from feedweave.plans.remote import parse_urls
+from feedweave.plans.tables import create_entry_function
 from feedweave.sources.encoding import detect_encoding, to_utf8
 from feedweave.sources.fetch import Response
 from feedweave.sources.formats import detect_format
@@ -305,7 +307,7 @@ def small_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     bare = F.regexp_replace(F.split_part("url", F.lit("#"), F.lit(1)), "[?].*$", "")
-    return p.select("page_id", "url", urls.is_safe_url("url").alias("safe"), urls.is_safe_url(F.concat(F.lit("http://10.0.0."), F.col("page_id") % 256, F.lit("/"))).alias("internal"), detect_format(F.col("html").cast("binary")).alias("version"), urls.resolve_safe(F.lit("#top"), bare).alias("anchored"), urls.resolve_safe(F.lit("javascript:alert(1)"), F.col("url")).alias("kept"), detect_encoding(F.col("html").cast("binary")).alias("encoding"))
+    return p.select("page_id", "url", urls.is_safe_url(F.col("url")).alias("safe"), urls.is_safe_url(F.concat(F.lit("http://10.0.0."), F.col("page_id") % 256, F.lit("/"))).alias("internal"), detect_format(F.col("html").cast("binary")).alias("version"), urls.resolve_safe(F.lit("#top"), bare).alias("anchored"), urls.resolve_safe(F.lit("javascript:alert(1)"), F.col("url")).alias("kept"), detect_encoding(F.col("html").cast("binary")).alias("encoding"))
 
 
 @query("select page_id, 0 as scripts, 0 as handlers, 0 as styles from pages")
@@ -518,3 +520,71 @@ def entries_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = parse_entries(order_feeds(spark, sf_dir), entry_fields=("id", "updated", "published"))
     return views.with_aliases(got, views.ENTRY_ALIASES).select("o_custkey", "guid", "modified", "date")
+
+
+# One large document, and SQL ---------------------------------------------------------
+
+
+def lineitem_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a quarter of a million orders as one RSS feed each."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("block", F.floor(F.col("l_orderkey") / 250_000))
+    item = R.wrapped("item", R.element("title", F.concat(F.lit("Order <"), F.col("l_orderkey"), F.lit(">"))), R.element("guid", F.concat_ws(":", F.lit("urn:line"), "l_orderkey", "l_linenumber"), isPermaLink="false"), R.element("link", F.concat(F.lit("line?order="), F.col("l_orderkey"), F.lit("&no="), F.col("l_linenumber"))), F.lit("<description><![CDATA[<item>no entry</item> & <b>bold</b>]]></description><!-- <item> -->"), R.element("category", F.col("l_returnflag"), domain="flag"), R.element("pubDate", rfc822(F.col("l_shipdate"))))
+    feeds = R.gathered(lines.withColumn("place", F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")), ["block"], item, "place")
+    return feeds.select("block", R.rss(F.concat(R.element("title", "Lines"), R.element("link", "https://example.com/shop/"))).alias("content"))
+
+
+@query("""select l_orderkey // 250000 as block, cast(row_number() over (partition by l_orderkey // 250000 order by l_orderkey, l_linenumber, l_shipdate, l_returnflag) - 1 as int) as entry_idx,
+                 'urn:line:' || l_orderkey || ':' || l_linenumber as id, 'Order <' || l_orderkey || '>' as title,
+                 'https://example.com/shop/line?order=' || l_orderkey || '&no=' || l_linenumber as link, l_returnflag as term,
+                 date_trunc('second', l_shipdate::timestamp) as published, '<item>no entry</item> & <b>bold</b>' as summary
+          from lineitem""")
+def large_feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of tens of megabytes, lexed in pieces of one."""
+    wide = Options(sanitize_html=False, limits=Limits(entries=10**8, feed_size=2**31 - 1))
+    got = parse_entries(lineitem_feed(spark, sf_dir), options=wide, entry_fields=("id", "title", "link", "tags", "published", "summary"), piece=1 << 20)
+    return got.select(F.col("block"), "entry_idx", "id", "title", "link", F.col("tags")[0]["term"].alias("term"), "published", "summary")
+
+
+@query("""select o_custkey, 'urn:order:' || o_orderkey as id, 'Order <' || o_orderkey || '> & more' as title, 'https://example.com/shop/orders/' || o_orderkey as link,
+                 date_trunc('second', o_orderdate) as updated, o_orderpriority as term
+          from orders""")
+def sql_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by a table function, in SQL text only."""
+    order_feeds(spark, sf_dir).createOrReplaceTempView("order_feeds")
+    create_entry_function(spark, "parse_order_entries", entry_fields=("id", "title", "link", "updated", "tags"))
+    return spark.sql("select f.o_custkey, e.id, e.title, e.link, e.updated, e.tags[0].term as term from order_feeds f, lateral parse_order_entries(f.content) e")
+
+
+@query("""select o_orderkey, date_trunc('second', o_orderdate) as at, 'Clerk ' || o_custkey as name, 'c' || o_custkey || '@example.com' as email, o_custkey // 3600 || ':' || lpad((o_custkey % 3600 // 60)::varchar, 2, '0') || ':' || lpad((o_custkey % 60)::varchar, 2, '0') as duration,
+                 case when o_orderkey % 2 = 0 then true end as explicit, 'https://example.com/a/' || o_orderkey || '/c?x=' || o_custkey as href,
+                 not (o_orderkey % 256 in (0, 10, 100, 127) or o_orderkey % 256 >= 224) as safe, left(o_orderpriority, 3) as short, 'utf-8' as charset
+          from orders""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as functions of SQL: the plan has no Python."""
+    register(spark)
+    read(spark, sf_dir, "orders").createOrReplaceTempView("sql_orders")
+    return spark.sql(r"""
+        with o as (select *, parse_person(concat('c', o_custkey, '@example.com (Clerk ', o_custkey, ')')) as person from sql_orders)
+        select o_orderkey, parse_date(date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss'Z'")) as at, person.name as name, person.email as email, format_duration(o_custkey) as duration,
+               parse_explicit(if(o_orderkey % 2 = 0, ' Yes ', 'no')) as explicit, resolve_url(concat('../', o_orderkey, '/./b/../c?x=', o_custkey), 'https://example.com/a/b/c#d') as href,
+               is_safe_url(concat('http://', o_orderkey % 256, '.77.1/')) as safe, truncate_text(o_orderpriority, 3) as short, content_type_charset('text/xml; charset="utf-8"') as charset
+        from o""")
+
+
+@query("""with p as (select page_id, url, page_id % 250 as k from pages)
+          select page_id, 'https://example.com/a/b/x' || k || '?q=1#f' as relative, 'https://example.com/y' || k as above, 'https://example.com/' || k || '/' as rooted,
+                 'https://other' || k || '.example/' as host, 'https://example.com/a/b/c?only=' || k as query, 'mailto:a@b.c' as mail,
+                 k not in (0, 10, 100, 127) and k < 224 as dotted, not (k in (0, 10, 100, 127) or k >= 224) as one_number, false as mapped, k >= 32 as v6, true as named, regexp_replace(url, '#.*$', '') || '#top' as anchored
+          from p""")
+def url_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References joined and hosts checked by columns alone."""
+    p = read(spark, sf_dir, "pages").withColumn("k", F.col("page_id") % 250)
+    base = F.lit("https://example.com/a/b/c?d#e")
+    to = lambda *parts: urls.resolve_url(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]), base)
+    safe = lambda *parts: urls.is_safe_url(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    k = F.col("k")
+    return p.select(
+        "page_id", to("./x", k, "?q=1#f").alias("relative"), to("../../z/../y", k).alias("above"), to("/./q/../", k, "/z/..").alias("rooted"), to("//other", k, ".example").alias("host"), to("?only=", k).alias("query"), urls.resolve_url(F.lit("mailto:a@b.c"), base).alias("mail"),
+        safe("http://", k, ".77.2.3:80/x").alias("dotted"), safe("https://u:p@", k * 16777216 + 5046275, "/").alias("one_number"), safe("http://[::ffff:10.0.", k, ".1]/").alias("mapped"), safe("http://[2001:", F.lower(F.hex(k * 16)), "::1]:8080/").alias("v6"), safe("http://a", k, ".example.com./").alias("named"),
+        urls.resolve_safe(F.lit("#top"), F.regexp_replace("url", "#.*$", "")).alias("anchored"),
+    )
