@@ -1,7 +1,7 @@
 """Collocations: phrases of two to four words that occur together, for each language.
 
 Words that occur often enough in their language are dictionary-encoded as 64-bit
-ids; all others break the text, as no frequent phrase holds one. Runs of ids are
+ids; all others break the text, as no frequent phrase holds one. The encoded text is written once. Runs of ids are
 packed into fixed-width binary keys, sorted by radix and run-length counted in every
 task, sent to range partitions of the keys, sorted there and run-length counted again.
 Longer phrases are only counted where both of their parts of one word less are frequent.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from feedweave.llm.common import Filter, bounded, slices, spread_join, table
 
 LONGEST = 4
-#: Upper case becomes lower case, what ends a piece a line feed, the tab a space.
-_PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
+#: Upper case becomes lower case, what ends a piece a full stop, the tab a space.
+_PIECES = bytes(c + 32 if 65 <= c <= 90 else 46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Words, or keys, that a task holds before it sends what it has counted.
 MOST_WORDS, MOST_KEYS = 1 << 20, 1 << 21
 #: Odd multipliers that mix the words behind the first into a key's leading number.
@@ -30,9 +30,9 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 UND = "und"
 
 
-def pieces(text: bytes) -> list[list[bytes]]:
-    """The words of each piece of a text, lower-cased."""
-    return [p.split() for p in text.translate(_PIECES).split(b"\n")]
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, lower-cased, and a full stop between pieces, which is no word."""
+    return text.translate(_PIECES).replace(b".", b" . ").split()
 
 
 def word_id(word: bytes, lang: int) -> int:
@@ -70,8 +70,7 @@ def dictionary(docs: DataFrame, least: int, text: str = "text", lang: str = "lan
 
         for batch in slices(batches, "_text"):
             for name, body in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
-                for words in pieces(body):
-                    counted[name].update(words)
+                counted[name].update(body.translate(_PIECES).replace(b".", b" ").split())
             if sum(map(len, counted.values())) > MOST_WORDS:
                 yield from flush()
         yield from flush()
@@ -101,19 +100,19 @@ def leading(runs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def radix_order(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by columns of 64-bit numbers: a radix sort, 16 bits a pass, from the last."""
-    order = np.arange(len(columns[0]))
-    for column in reversed(columns):
-        for shift in range(0, 64, 16):
-            digit = (column >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint16)
-            order = order[np.argsort(digit[order], kind="stable")]
-    return order
+def radix_order(column: np.ndarray) -> np.ndarray:
+    """An order of rows by the upper half of 64-bit numbers: a radix sort, 16 bits a pass."""
+    order = np.argsort((column >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16), kind="stable")
+    return order[np.argsort((column >> np.uint64(48)).astype(np.uint16)[order], kind="stable")]
 
 
 def runs(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows and how often each occurs (``n``: occurrences of the given rows)."""
-    order = radix_order(columns)
+    """Rows, and how often each occurs (``n``: occurrences of the given rows).
+
+    Rows are sorted by the upper half of their leading number. Two that differ and share it may part a run, which
+    is then two rows; the last count, which sorts whole keys, makes that good.
+    """
+    order = radix_order(columns[0])
     columns = [c[order] for c in columns]
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -132,20 +131,48 @@ def packed(columns: list[np.ndarray]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(body)])
 
 
-def phrases(docs: DataFrame, size: int, least: int, seed: int, words: Filter, parts: Filter | None, text: str = "text", lang: str = "lang") -> DataFrame:
+def encoded(docs: DataFrame, words: Filter, seed: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Blocks of text as ``ids``, eight bytes a word; 0 stands between pieces and for words that are not frequent.
+
+    ``words`` may hold more than the frequent ones, which costs time and is made good by the counts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[bytes, int]] = {}
+        for batch in slices(batches, "_text"):
+            found: list[int] = []
+            for name, body in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
+                ids = known.setdefault(name, {b".": 0})
+                tokens = words_of(body)
+                new = set(tokens).difference(ids)
+                if new:
+                    start = language_seed(name, seed)
+                    ids.update((w, word_id(w, start)) for w in new)
+                found.extend(map(ids.__getitem__, tokens))
+                found.append(0)
+            if sum(map(len, known.values())) > MOST_WORDS:
+                known.clear()
+            ids = np.array(found, np.uint64)
+            kept = np.zeros(len(ids), np.uint64)
+            at = shared.value.hits(ids)
+            kept[at] = ids[at]
+            # one break is as good as many
+            kept = kept[(kept != 0) | np.r_[True, kept[:-1] != 0]]
+            yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary())], names=["ids"])
+
+    return _rows(docs, text, lang).mapInArrow(run, "ids binary")
+
+
+def phrases(blocks: DataFrame, size: int, least: int, parts: Filter | None) -> DataFrame:
     """Phrases of ``size`` words that occur at least ``least`` times: ``ids``, ``head`` and ``n``.
 
-    ``words`` and ``parts`` hold ids of frequent words and heads of frequent phrases of
-    a word less; both may hold more, which costs time and is made good by the count.
+    ``parts`` holds the heads of frequent phrases of a word less, and maybe more.
     """
-    rows = _rows(docs, text, lang)
-    no = rows.sparkSession.sparkContext.broadcast((words, parts))
+    shared = blocks.sparkSession.sparkContext.broadcast(parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, shorter = no.value
-        known: dict[tuple[str, bytes], int] = {}
-        seeds: dict[str, int] = {}
-        held, room = [], 0
+        shorter, held, room = shared.value, [], 0
 
         def flush():
             keys, n = runs([np.concatenate(c) for c in zip(*(k for k, _ in held))], np.concatenate([n for _, n in held]))
@@ -154,38 +181,27 @@ def phrases(docs: DataFrame, size: int, least: int, seed: int, words: Filter, pa
                 part = [k[at : at + (1 << 16)] for k in keys]
                 yield pa.RecordBatch.from_arrays([packed(part), pa.array(n[at : at + (1 << 16)])], names=["key", "n"])
 
-        for batch in slices(batches, "_text"):
-            found: list[int] = []
-            for name, body in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
-                if name not in seeds:
-                    seeds[name] = language_seed(name, seed)
-                for piece in pieces(body):
-                    for w in piece:
-                        i = known.get((name, w))
-                        if i is None:
-                            i = known[name, w] = word_id(w, seeds[name])
-                        found.append(i)
-                    found.append(0)
-            if len(known) > MOST_WORDS:
-                known.clear()
-            ids = np.array(found, np.uint64)
-            kept = np.zeros(len(ids), np.uint64)
-            at = frequent.hits(ids)
-            kept[at] = ids[at]
-            windows = np.lib.stride_tricks.sliding_window_view(kept, size) if len(kept) >= size else np.zeros((0, size), np.uint64)
-            windows = windows[(windows != 0).all(1)]
-            columns = [np.ascontiguousarray(windows[:, k]) for k in range(size)]
-            if shorter is not None and len(windows):
-                ok = np.zeros((2, len(windows)), bool)
-                ok[0, shorter.hits(leading(columns[:-1]))] = True
-                ok[1, shorter.hits(leading(columns[1:]))] = True
-                columns = [c[ok.all(0)] for c in columns]
-            if len(columns[0]):
-                held.append(runs([leading(columns), *columns[1:]]))
-                room += len(held[-1][1])
-            if room > MOST_KEYS:
-                yield from flush()
-                room = 0
+        for batch in batches:
+            for body in batch.column("ids").to_pylist():
+                ids = np.frombuffer(body, np.uint64)
+                there = ids != 0
+                # where a phrase may begin: frequent words only, then frequent parts only
+                fits = there[: max(0, len(ids) - size + 1)].copy()
+                for k in range(1, size):
+                    fits &= there[k : k + len(fits)]
+                at = np.flatnonzero(fits)
+                if shorter is not None and len(at):
+                    part = np.zeros(len(ids), bool)
+                    begins = np.union1d(at, at + 1)
+                    part[begins[shorter.hits(leading([ids[begins + k] for k in range(size - 1)]))]] = True
+                    at = at[part[at] & part[at + 1]]
+                if len(at):
+                    columns = [ids[at + k] for k in range(size)]
+                    held.append(runs([leading(columns), *columns[1:]]))
+                    room += len(held[-1][1])
+                if room > MOST_KEYS:
+                    yield from flush()
+                    room = 0
         if held:
             yield from flush()
 
@@ -219,8 +235,8 @@ def phrases(docs: DataFrame, size: int, least: int, seed: int, words: Filter, pa
         flat = pa.array(ids.view(np.int64).ravel())
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, size, dtype=np.int32)), flat), pa.array(keys[:, 0].copy().view(np.int64)), pa.array(n.astype(np.int64))], names=["ids", "head", "n"])
 
-    sent = rows.mapInArrow(count, "key binary, n bigint")
-    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = blocks.mapInArrow(count, "key binary, n bigint")
+    ranges = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
     dealt = sent.repartitionById(ranges, F.shiftright(place * ranges, 32).cast("int")).sortWithinPartitions("key")
     return dealt.mapInArrow(merge, "ids array<bigint>, head bigint, n bigint")
@@ -229,10 +245,10 @@ def phrases(docs: DataFrame, size: int, least: int, seed: int, words: Filter, pa
 def counted(docs: DataFrame, least: int, text: str = "text", lang: str = "lang", seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All frequent phrases ``(ids, n)`` of one to :data:`LONGEST` words, the dictionary, and the languages' totals."""
     words, totals, seed = dictionary(docs, least, text, lang, seed)
-    frequent, shorter = Filter(words, "id"), None
+    blocks, shorter = table(encoded(docs, Filter(words, "id"), seed, text, lang)), None
     found = words.select(F.array("id").alias("ids"), "n")
     for size in range(2, LONGEST + 1):
-        level = table(phrases(docs, size, least, seed, frequent, shorter, text, lang))
+        level = table(phrases(blocks, size, least, shorter))
         shorter = Filter(level, "head")
         found = found.unionByName(level.select("ids", "n"))
     return found, words, totals

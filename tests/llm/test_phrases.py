@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from feedweave.llm import phrases
-from feedweave.llm.phrases import collocations, leading, pieces, radix_order, runs
+from feedweave.llm.phrases import collocations, leading, radix_order, runs, words_of
 
 SCHEMA = "doc_id long, text string, lang string, ids string, n int, word int"
 
@@ -81,16 +81,23 @@ def test_ids_that_clash_are_made_anew(spark):
 @pytest.mark.parametrize("size", [1, 2, 3, 4])
 def test_radix_order_and_runs(size):
     rng = np.random.default_rng(size)
-    columns = [rng.integers(0, 1 << 63, 5000).astype(np.uint64) if k else rng.integers(0, 40, 5000).astype(np.uint64) << np.uint64(58) for k in range(size)]
+    columns = [rng.integers(0, 1 << 63, 5000).astype(np.uint64) if k else rng.integers(0, 40, 5000).astype(np.uint64) << np.uint64(57) for k in range(size)]
     columns = [np.r_[c, c[:2000]] for c in columns]
-    order = radix_order(columns)
+    order = radix_order(columns[0])
+    assert sorted(order.tolist()) == list(range(7000)) and (np.diff((columns[0] >> np.uint64(32))[order].astype(np.int64)) >= 0).all()
     rows = list(zip(*(c.tolist() for c in columns)))
-    assert [rows[i] for i in order] == sorted(rows)
-    keys, n = runs(columns)
-    assert dict(zip(zip(*(c.tolist() for c in keys)), n.tolist())) == Counter(rows)
+    for given in (None, np.arange(7000)):
+        keys, n = runs(columns, given)
+        summed = Counter()
+        for key, k in zip(zip(*(c.tolist() for c in keys)), n.tolist()):
+            summed[key] += k
+        want = Counter()
+        for i, r in enumerate(rows):
+            want[r] += 1 if given is None else i
+        assert summed == want
     assert (leading(columns) - leading([np.zeros(7000, np.uint64), *columns[1:]]) == columns[0]).all()
 
 
-def test_pieces_and_empty_tables(spark):
-    assert pieces("A b\tC.d;\x0be f\r\n É".encode()) == [[b"a", b"b", b"c"], [b"d"], [], [b"e", b"f"], [], ["É".encode()]]
+def test_words_and_empty_tables(spark):
+    assert words_of("A b\tC.d;\x0be f\r\n É".encode()) == [b"a", b"b", b"c", b".", b"d", b".", b".", b"e", b"f", b".", b".", "É".encode()]
     assert found(spark, []) == []
