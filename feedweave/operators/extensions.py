@@ -213,11 +213,15 @@ def media_entry(s: Scope) -> Fields:
 # Places ------------------------------------------------------------------------
 
 
+def _numbers(text: Column) -> Column:
+    """The numbers of a coordinate list, as texts."""
+    return F.filter(F.split(F.trim(F.regexp_replace(text, ",", " ")), r"\s+"), lambda x: x != "")
+
+
 def coordinates(text: Column, dimensions: Column | int = 2, swapped: Column | None = None) -> Column:
     """Number pairs of a text as latitudes and longitudes; null if any is out of range."""
     d = F.lit(dimensions) if isinstance(dimensions, int) else dimensions
-    parts = F.filter(F.split(F.trim(F.regexp_replace(text, ",", " ")), r"\s+"), lambda x: x != "")
-    numbers = F.transform(parts, lambda x: x.try_cast("double"))
+    numbers = F.transform(_numbers(text), lambda x: x.try_cast("double"))
 
     def pairs(n: Column) -> Column:
         count = F.floor(F.size(n) / d).cast("int")
@@ -238,8 +242,22 @@ def lon_first(srs: Column) -> Column:
     return F.coalesce(name.contains("CRS84") | (code.isNotNull() & ~geographic), F.lit(False))
 
 
+def bad_gml(s: Scope) -> Column:
+    """Whether a geometry's numbers do not fill its dimensions."""
+    return F.coalesce(F.exists(s.element("georss:where"), lambda node: _gml_of(node, lambda x: F.coalesce(F.size(_numbers(x["text"])) % x["size"] != 0, F.lit(False)))), F.lit(False))
+
+
 def _gml(s: Scope) -> Column:
     """The last GML geometry of a georss:where."""
+    def made(x: Column) -> Column:
+        points = F.when(x["swap"], coordinates(x["text"], x["size"], F.lit(True))).otherwise(coordinates(x["text"], x["size"]))
+        return let(points, lambda p: F.when(p.isNotNull(), build(S.GEO, geo_type=x["kind"], coordinates=p, srs_name=x["srs"])))
+
+    return let(s.last("georss:where"), lambda node: _gml_of(node, made))
+
+
+def _gml_of(node: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a geometry: kind, srs, swap, size and text."""
     inner = lambda node, *names: F.try_element_at(kids(node, *names), F.lit(-1))
     kinds = F.create_map(*[F.lit(x) for x in ("gml:Point", "point", "gml:LineString", "line", "gml:Polygon", "polygon", "gml:Envelope", "box")])
 
@@ -253,11 +271,7 @@ def _gml(s: Scope) -> Column:
         srs = at(x["shape"], "srsName")
         return F.struct(kind.alias("kind"), srs.alias("srs"), lon_first(srs).alias("swap"), F.when(size.isin(2, 3), size).otherwise(2).alias("size"), F.when(kind == "box", x["corner"]).otherwise(x["held"]["text"]).alias("text"))
 
-    def made(x: Column) -> Column:
-        points = F.when(x["swap"], coordinates(x["text"], x["size"], F.lit(True))).otherwise(coordinates(x["text"], x["size"]))
-        return let(points, lambda p: F.when(p.isNotNull(), build(S.GEO, geo_type=x["kind"], coordinates=p, srs_name=x["srs"])))
-
-    return let(s.last("georss:where"), lambda node: let(found(node), lambda x: let(told(x), made)))
+    return let(found(node), lambda x: let(told(x), made))
 
 
 @staged

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions.dates import parse_date
 from feedweave.functions.html import sanitizing
+from feedweave.functions.values import truncate
 from feedweave.operators.nodes import Fields, blank, build, capped, link, null, some
 from feedweave.options import Limits, Options
 from feedweave.plans import schema as S
@@ -46,8 +47,14 @@ def extensions(v: Column, limits: Limits) -> Column:
     return F.map_from_entries(F.slice(F.array_sort(F.map_entries(written)), 1, limits.json_extensions))
 
 
-def _detail(value: Column, language: Column, kind: str = "text") -> Column:
-    return F.when(value.isNotNull(), build(S.TEXT, value=value, content_type=F.lit(kind), language=language))
+def _detail(value: Column, language: Column) -> Column:
+    """A text with its details. Texts are shown as markup by many readers, so they count as such."""
+    return F.when(value.isNotNull(), build(S.TEXT, value=value, content_type=F.lit("html"), language=language))
+
+
+def _short(value: Column, limits: Limits) -> Column:
+    """An address, null if it is too long."""
+    return F.when(F.octet_length(value) <= limits.text_length, value)
 
 
 def prepare(session: SparkSession, options: Options) -> None:
@@ -76,21 +83,22 @@ def _one(value: Column, made: Column, kind: str = _LINKS) -> Column:
 def feed(v: Column, options: Options) -> Fields:
     """Fields of a JSON Feed."""
     limits, clean = options.limits, cleaner(options)
-    title, subtitle = clean(text(v, "title")), clean(text(v, "description"))
+    shown = lambda name: clean(truncate(text(v, name), limits.text_length))
+    title, subtitle = shown("title"), shown("description")
     language = text(v, "language")
-    home, own = text(v, "home_page_url"), text(v, "feed_url")
+    home, own = _short(text(v, "home_page_url"), limits), text(v, "feed_url")
     people = capped(authors(v), limits.authors)
     hubs = F.transform(items(v, "hubs"), lambda h: link(text(h, "url"), "hub", link_type=text(h, "type")))
     links = F.concat(_one(home, link(home, "alternate")), _one(own, link(own, "self", link_type=F.lit("application/feed+json"))), some(hubs, lambda h: h["href"].isNotNull()))
     return {
         "title": title,
-        "title_detail": _detail(title, language),
+        "title_detail": _detail(title, null()),
         "link": home,
         "links": capped(links, limits.links_per_feed),
         "subtitle": subtitle,
-        "subtitle_detail": _detail(subtitle, language),
-        "icon": text(v, "icon"),
-        "logo": text(v, "favicon"),
+        "subtitle_detail": _detail(subtitle, null()),
+        "icon": _short(text(v, "icon"), limits),
+        "logo": _short(text(v, "favicon"), limits),
         "author": F.get(people, F.lit(0))["name"],
         "author_detail": F.get(people, F.lit(0)),
         "authors": people,
@@ -104,10 +112,11 @@ def feed(v: Column, options: Options) -> Fields:
 def entry(e: Column, v: Column, options: Options) -> Fields:
     """Fields of a JSON item ``e`` in the feed ``v``."""
     limits, clean = options.limits, cleaner(options)
-    title = clean(text(e, "title"))
+    cut = lambda name: truncate(text(e, name), limits.text_length)
+    title = clean(cut("title"))
     language = F.coalesce(text(e, "language"), text(v, "language"))
     url, other, image, banner = text(e, "url"), text(e, "external_url"), text(e, "image"), text(e, "banner_image")
-    html, plain, summary = clean(text(e, "content_html")), text(e, "content_text"), clean(text(e, "summary"))
+    html, plain, summary = clean(cut("content_html")), cut("content_text"), clean(cut("summary"))
     kind = f"array<{S.CONTENT}>"
     content = F.concat(
         _one(html, build(S.CONTENT, value=html, content_type=F.lit("text/html"), language=language), kind),

@@ -49,6 +49,11 @@ def bad_dates(s: Scope) -> Column:
     return F.when(bad("pubDate"), "Invalid pubDate format").when(bad("lastBuildDate"), "Invalid lastBuildDate format")
 
 
+def bad_image(s: Scope) -> Column:
+    """Why an image of the channel is none, or null."""
+    return F.when(F.exists(s.all("image"), lambda n: ~n["empty"] & kid(n, "url").isNull()), "Invalid feed format: Image missing url")
+
+
 def feed(s: Scope) -> Fields:
     """Fields of an RSS channel."""
     limits = s.limits

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from feedweave.operators import atom, jsonfeed, rss
+from feedweave.operators.extensions import bad_gml
 from feedweave.operators.nodes import Fields, Scope
 from feedweave.options import Options
 from feedweave.plans.large import lex_large
@@ -19,6 +20,7 @@ from feedweave.plans.schema import ENTRY, FEED
 from feedweave.sources.lexer import Names, lexed_ddl, lexing, scope_ddl
 
 ATOM, RDF, JSON = ("atom03", "atom10"), ("rss10",), ("json10", "json11")
+GML_MISMATCH = "GML coordinate list length is not a multiple of resolved srsDimension"
 STATUS = ("bozo", "bozo_exception", "encoding", "version", "namespaces", "error")
 
 
@@ -72,7 +74,7 @@ class Rules:
         text = " ".join(c._jc.toString() for c in columns)
         staged = {n: c for n, c in self.staged.items() if n in text}
         text = " ".join([text, *(c._jc.toString() for c in staged.values())])
-        return staged, (self.head.wanted(text), self.own.wanted(text) if self.own else frozenset())
+        return staged, (self.head.wanted(text), self.own.wanted(text) if self.own else frozenset(("georss:where",)))
 
 
 @lru_cache(maxsize=32)
@@ -97,9 +99,11 @@ def _status(head: Scope, options: Options) -> dict[str, Column]:
     bad_json = is_json & F.col("_v").isNull()
     missing = is_json & F.col("_v").isNotNull() & jsonfeed.get(F.col("_v"), "version", "variant").isNull()
     unknown = is_json & ~missing & ~bad_json & (F.col("version") == "")
-    dates = F.when(F.col("version").startswith("rss") & ~F.col("version").isin(*RDF), rss.bad_dates(head))
+    dates = F.when(F.col("version").startswith("rss") & ~F.col("version").isin(*RDF), F.coalesce(rss.bad_dates(head), rss.bad_image(head)))
+    # nodes of entries, too, for what only their values tell
+    shapes = F.when(bad_gml(head) | F.coalesce(F.exists("items", lambda x: bad_gml(Scope(x, options.limits))), F.lit(False)), GML_MISMATCH)
     many = is_json & (F.size(jsonfeed.items(F.col("_v"), "items")) > options.limits.entries)
-    reason = F.coalesce(F.col("bozo_exception"), F.when(bad_json, "JSON parse error").when(unknown, "Unknown JSON Feed version").when(many, f"Entry limit exceeded: {options.limits.entries}"), dates)
+    reason = F.coalesce(F.col("bozo_exception"), F.when(bad_json, "JSON parse error").when(unknown, "Unknown JSON Feed version").when(many, f"Entry limit exceeded: {options.limits.entries}"), dates, shapes)
     return {"bozo": F.col("bozo") | reason.isNotNull() | missing, "bozo_exception": reason, "error": F.coalesce(F.col("error"), F.when(missing, "Missing version field"))}
 
 

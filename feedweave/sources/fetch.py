@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 import http.client
 import socket
 import ssl
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -45,6 +45,7 @@ def addresses(host: str, port: int) -> list[str]:
 
 def over_network(url: str, headers: dict[str, str], timeout: float, most: int) -> Response:
     """One GET to an address that was checked, so that a name cannot change meanwhile."""
+    until = time.monotonic() + timeout
     parts = urlsplit(url)
     port = parts.port or (443 if parts.scheme == "https" else 80)
     sock = socket.create_connection((addresses(parts.hostname, port)[0], port), timeout)
@@ -53,29 +54,68 @@ def over_network(url: str, headers: dict[str, str], timeout: float, most: int) -
     connection = http.client.HTTPConnection(parts.hostname, port, timeout=timeout)
     connection.sock = sock
     try:
+        sock.settimeout(left(until))
         connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers=headers)
         answer = connection.getresponse()
-        return Response(answer.status, dict(answer.getheaders()), answer.read(most + 1))
+        return Response(answer.status, dict(answer.getheaders()), received(answer.read1, sock.settimeout, until, most))
     finally:
         connection.close()
 
 
+def left(until: float) -> float:
+    """The seconds until a moment; an error if it has passed."""
+    now = until - time.monotonic()
+    if now <= 0:
+        raise TimeoutError("the exchange took too long")
+    return now
+
+
+def received(read: Callable[[int], bytes], wait: Callable[[float], None], until: float, most: int) -> bytes:
+    """A body in the pieces that arrive, until its end, ``most`` bytes and one more, or a moment."""
+    body = bytearray()
+    while len(body) <= most:
+        wait(left(until))
+        part = read(min(1 << 16, most + 1 - len(body)))
+        if not part:
+            break
+        body += part
+    return bytes(body)
+
+
+def inflated(body: bytes, kind: int, most: int) -> bytes:
+    """One or more compressed streams; an error as soon as there are more than ``most`` bytes."""
+    out = bytearray()
+    while body:
+        stream = zlib.decompressobj(kind)
+        out += stream.decompress(body, most + 1 - len(out))
+        if len(out) > most:
+            raise ValueError(f"body exceeds {most} bytes")
+        if not stream.eof:
+            raise EOFError("the compressed body ends early")
+        body = stream.unused_data.lstrip(b"\0")
+    return bytes(out)
+
+
 def unpacked(body: bytes, coding: str, most: int) -> bytes:
-    """A body without its content coding, of at most ``most`` bytes."""
+    """A body without its content coding, of at most ``most`` bytes; no more is ever held."""
     if coding in ("gzip", "x-gzip"):
-        body = gzip.decompress(body)
-    elif coding == "deflate":
+        return inflated(body, 31, most)
+    if coding == "deflate":
         try:
-            body = zlib.decompress(body)
+            return inflated(body, 15, most)
         except zlib.error:
-            body = zlib.decompress(body, -15)
+            return inflated(body, -15, most)
     if len(body) > most:
         raise ValueError(f"body exceeds {most} bytes")
     return body
 
 
 def fetch(url: str, etag: str | None, modified: str | None, transport: Transport, agent: str, timeout: float, most: int, extra: dict[str, str]) -> dict:
-    """One document, as a row of :data:`RESPONSE`. Every hop's address is checked."""
+    """One document, as a row of :data:`RESPONSE`. Every hop's address is checked.
+
+    ``timeout`` is for all hops together.
+    """
+    until = time.monotonic() + timeout
     row = {n.split()[0]: None for n in RESPONSE.split(", ")}
     headers = {"User-Agent": agent[:MOST_AGENT], "Accept": ACCEPT, "Accept-Encoding": "gzip, deflate", **extra}
     if etag and len(etag) <= MOST_ETAG:
@@ -86,7 +126,7 @@ def fetch(url: str, etag: str | None, modified: str | None, transport: Transport
         for _ in range(MOST_REDIRECTS + 1):
             if not is_safe(url):
                 raise ValueError(f"address not allowed: {url}")
-            answer = transport(url, headers | {"Host": urlsplit(url).netloc}, timeout, most)
+            answer = transport(url, headers | {"Host": urlsplit(url).netloc}, left(until), most)
             low = {k.lower(): v for k, v in answer.headers.items()}
             if answer.status in (301, 302, 303, 307, 308) and "location" in low:
                 url = urljoin(url, low["location"])
@@ -114,7 +154,7 @@ def causes(error: BaseException | None) -> str:
 def fetch_feeds(urls: DataFrame, url: str = "url", etag: str | None = None, modified: str | None = None, transport: Transport = over_network, agent: str = "feedweave/0.1", timeout: float = 30.0, most: int = 100 << 20, extra: dict[str, str] | None = None, partitions: int = 64) -> DataFrame:
     """``urls`` with the answer to a GET of each: see :data:`RESPONSE`.
 
-    Requests of one host go through one task, one after another. ``etag`` and
+    Requests of one host go through at most four tasks, in each one after another. ``etag`` and
     ``modified`` name columns of the last answer's validators: an unchanged
     document has status 304, no body and these again. A failed request has a
     ``fetch_error``; nothing ends the job.

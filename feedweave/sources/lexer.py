@@ -160,12 +160,16 @@ class Document:
                 continue
             value = self.resolved(m[2] if m[2] is not None else m[3], strict=False)
             if m[1] not in found:
-                found[m[1]] = value[: self.limits.attribute_length]
+                # a namespace keeps a character more, which tells that it is too long
+                found[m[1]] = value[: self.limits.attribute_length + m[1].startswith("xmlns")]
         return found
 
     def declare(self, attrs: dict[str, str]) -> None:
         for name, uri in attrs.items():
             if name == "xmlns" or name.startswith("xmlns:"):
+                if len(uri.encode()) > self.limits.attribute_length:
+                    self.complain(f"Namespace URI exceeds maximum attribute length of {self.limits.attribute_length} bytes")
+                    continue
                 if len(self.namespaces) >= self.limits.namespaces:
                     self.complain("Namespace limit exceeded")
                     return

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.options import Options
@@ -35,3 +37,26 @@ def counts(entries: DataFrame, time: str, feed: str, width: str = "1 hour", dela
     """Entries by feed and window of time; windows close ``delay`` after their end."""
     rows = entries.withWatermark(time, delay) if entries.isStreaming else entries
     return rows.groupBy(F.window(time, width).alias("window"), feed).agg(F.count("*").alias("n"))
+
+
+def part_late(spark: SparkSession, folder: str, time: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` takes to write a stream's rows to ``folder/on_time`` and ``folder/late``.
+
+    A row is late if its time lies more than ``delay`` before the latest time of the batches before:
+    what a watermark of that delay lets windows drop. A batch that is repeated overwrites what it wrote,
+    and judges by the same batches as before.
+    """
+    marks = f"{folder}/latest"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        session = rows.sparkSession
+        seen = session.createDataFrame([], f"batch bigint, latest {rows.schema[time].dataType.simpleString()}")
+        if batch:
+            seen = session.read.schema(seen.schema).parquet(marks).where(F.col("batch") < batch)
+        latest = seen.agg(F.max("latest").alias("_latest"))
+        judged = rows.crossJoin(F.broadcast(latest)).withColumn("_late", F.coalesce(F.col(time) < F.col("_latest") - F.expr(f"interval {delay}"), F.lit(False)))
+        for name, wanted in (("on_time", "not _late"), ("late", "_late")):
+            judged.where(wanted).drop("_late", "_latest").write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+        rows.agg(F.max(time).alias("latest")).select(F.lit(batch).cast("long").alias("batch"), "latest").write.mode("overwrite").parquet(f"{marks}/at={batch}")
+
+    return write

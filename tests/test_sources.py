@@ -1,3 +1,4 @@
+import pytest
 import gzip
 import sys
 
@@ -83,3 +84,47 @@ def test_functions_in_sql(spark):
     assert "sanitize_html" in register(spark)
     row = spark.sql("select sanitize_html('<b>x</b><script>1</script>') a, is_safe_url('http://localhost/') b, resolve_url('y', 'http://e.com/x') c, detect_format(cast('<rss/>' as binary)) d").first()
     assert tuple(row) == ("<b>x</b>", False, "http://e.com/y", "rss20")
+
+
+def test_bodies_are_bounded_while_they_are_inflated():
+    import gzip
+    import time
+    import tracemalloc
+    import zlib
+
+    from feedweave.sources import fetch
+
+    small = gzip.compress(b"a") + gzip.compress(b"b")
+    assert fetch.unpacked(small, "gzip", 2) == b"ab" and fetch.unpacked(zlib.compress(b"xy"), "deflate", 2) == b"xy"
+    raw = zlib.compressobj(wbits=-15)
+    assert fetch.unpacked(raw.compress(b"xy") + raw.flush(), "deflate", 2) == b"xy" and fetch.unpacked(b"xy", "", 2) == b"xy"
+    bomb, zeros = zlib.compressobj(9, wbits=31), bytes(1 << 20)
+    packed = b"".join(bomb.compress(zeros) for _ in range(1024)) + bomb.flush()
+    assert len(packed) < 2 << 20
+    tracemalloc.start()
+    for body, coding in ((packed, "gzip"), (packed[:-9], "gzip"), (small, "gzip"), (b"abc", "")):
+        with pytest.raises(ValueError):
+            fetch.unpacked(body, coding, 4 << 20 if body[:100] == packed[:100] else 1)
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+    with pytest.raises(EOFError):
+        fetch.unpacked(small[:-3], "gzip", 100)
+    # a server that sends a byte at a time does not hold a task longer than the whole request may take
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        fetch.received(lambda n: time.sleep(0.02) or b"x", lambda s: None, began + 0.2, 1 << 20)
+    assert time.monotonic() - began < 1
+    assert fetch.received(lambda n: b"x" * n, lambda s: None, began + 9, 100) == b"x" * 101
+
+
+def test_the_deadline_is_for_all_hops():
+    import time
+
+    from feedweave.sources.fetch import Response, fetch
+
+    def slow(url, headers, timeout, most):
+        time.sleep(0.1)
+        return Response(302, {"Location": url + "x"})
+
+    row = fetch("http://example.com/", None, None, slow, "a", 0.25, 100, {})
+    assert "too long" in row["fetch_error"]
