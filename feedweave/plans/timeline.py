@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket(time: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(time) / (seconds * 1_000_000))
+def _micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def _bucket(time: str, seconds: int) -> Column:
+    return F.floor(_micros(time) / (seconds * 1_000_000))
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], bucket: int = 86_400) -> DataFrame:
@@ -21,9 +25,9 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, righ
     key = [F.col(c).alias(f"_k{i}") for i, c in enumerate(on)]
     keys = [f"_k{i}" for i in range(len(on))]
     held = F.struct(F.col(right_time).alias("time"), F.struct(*values).alias("values"))
-    lefts = left.select(*key, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_held"))
-    rights = right.dropna(subset=[*on, right_time]).select(*key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), held.alias("_held"))
-    both = lefts.unionByName(rights).withColumn("_b", _bucket(F.col("_t"), bucket))
+    lefts = left.select(*key, F.col(left_time).cast("timestamp").alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_held"))
+    rights = right.dropna(subset=[*on, right_time]).select(*key, F.col(right_time).cast("timestamp").alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), held.alias("_held"))
+    both = lefts.unionByName(rights).withColumn("_b", _bucket("_t", bucket))
     inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", "_held").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("_now", F.last("_held", ignorenulls=True).over(inside)).where("_side = 1")
     # a row per key and bucket; partial sums come before the shuffle
@@ -41,10 +45,10 @@ def near(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
     interval touches, which are two if it lies across a border, since a bucket is as wide as the interval.
     """
     width = max(1, before + after)
-    edge = lambda shift: F.floor((F.unix_micros(left_time) + shift * 1_000_000) / (width * 1_000_000))
+    edge = lambda shift: F.floor((_micros(left_time) + shift * 1_000_000) / (width * 1_000_000))
     lefts = left.where(F.col(left_time).isNotNull()).withColumn("_b", F.explode(F.array_distinct(F.array(edge(-before), edge(after)))))
-    rights = right.where(F.col(right_time).isNotNull()).withColumn("_b", _bucket(F.col(right_time), width))
-    apart = F.unix_micros(right_time) - F.unix_micros(left_time)
+    rights = right.where(F.col(right_time).isNotNull()).withColumn("_b", _bucket(right_time, width))
+    apart = _micros(right_time) - _micros(left_time)
     return lefts.join(rights, [*on, "_b"]).where(apart.between(-before * 1_000_000, after * 1_000_000)).drop("_b")
 
 

@@ -16,7 +16,7 @@ from feedweave.functions import dates, html, urls, values
 from feedweave.functions.register import register
 from feedweave.options import Limits, Options
 from feedweave.plans import render as R
-from feedweave.plans import views
+from feedweave.plans import sketches, timeline, views
 from feedweave.plans.parse import parse_entries, parse_feeds
 from feedweave.plans.remote import parse_urls
 from feedweave.plans.tables import create_entry_function
@@ -588,3 +588,120 @@ def url_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         safe("http://", k, ".77.2.3:80/x").alias("dotted"), safe("https://u:p@", k * 16777216 + 5046275, "/").alias("one_number"), safe("http://[::ffff:10.0.", k, ".1]/").alias("mapped"), safe("http://[2001:", F.lower(F.hex(k * 16)), "::1]:8080/").alias("v6"), safe("http://a", k, ".example.com./").alias("named"),
         urls.resolve_safe(F.lit("#top"), F.regexp_replace("url", "#.*$", "")).alias("anchored"),
     )
+
+
+# Entries in time -----------------------------------------------------------------------
+
+
+def timed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS feeds of the orders of a user, at times of the events."""
+    orders = read(spark, sf_dir, "orders").withColumn("user_id", F.col("o_custkey") % 150)
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("o_orderkey") * 977 % 2592000)
+    item = R.wrapped("item", R.element("guid", F.concat(F.lit("urn:order:"), F.col("o_orderkey")), isPermaLink="false"), R.element("pubDate", rfc822(at)), R.element("category", F.col("o_orderpriority")))
+    return R.gathered(orders, ["user_id"], item, "o_orderkey").select("user_id", R.rss(R.element("title", F.concat(F.lit("User "), F.col("user_id")))).alias("content"))
+
+
+_TIMED = "e as (select o_custkey % 150 as user_id, 'urn:order:' || o_orderkey as id, timestamp '2024-01-01' + to_seconds(o_orderkey * 977 % 2592000) as published, o_orderpriority as term from orders)"
+
+
+def timed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_entries(timed_feeds(spark, sf_dir), options=RAW, entry_fields=("id", "published", "tags"))
+    return got.select("user_id", "id", "published", F.col("tags")[0]["term"].alias("term"))
+
+
+@query(f"""with {_TIMED} select e.user_id, id, published, v.event_id, v.event_type, v.ts from e asof left join events v on e.user_id = v.user_id and e.published >= v.ts""")
+def entries_as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entry with its user's last event at that time."""
+    entries = timed_entries(spark, sf_dir).drop("term")
+    return timeline.as_of(entries, read(spark, sf_dir, "events"), ["user_id"], "published", "ts", ["event_id", "event_type"])
+
+
+@query(f"""with {_TIMED} select e.user_id, id, event_id from e join events v on e.user_id = v.user_id and v.ts between published - interval 600 second and published + interval 60 second""")
+def entries_near_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with the events of ten minutes before and one after."""
+    return timeline.near(timed_entries(spark, sf_dir), read(spark, sf_dir, "events"), ["user_id"], "published", "ts", 600, 60).select("user_id", "id", "event_id")
+
+
+@query(f"""with {_TIMED},
+          g as (select *, case when published - lag(published) over w < interval 6 hour then 0 else 1 end as new from e window w as (partition by user_id order by published)),
+          r as (select *, sum(new) over (partition by user_id order by published rows between unbounded preceding and current row) as run from g)
+          select user_id, min(published) as start, max(published) + interval 6 hour as "end", count(*) as n from r group by user_id, run""")
+def entry_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.sessions(timed_entries(spark, sf_dir), "published", ["user_id"], "6 hours")
+
+
+@query(f"""with {_TIMED} select cast(published as date) as day, term, count(distinct user_id) as "distinct", count(*) as seen,
+          cast(grouping(cast(published as date)) as int) as day_all, cast(grouping(term) as int) as term_all from e group by cube(cast(published as date), term)""")
+def distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by day and priority, from sketches that are merged."""
+    kept = sketches.stored(timed_entries(spark, sf_dir).withColumn("day", F.to_date("published")), "user_id", ["day", "term"])
+    got = sketches.cubed(kept, ["day", "term"])
+    return got.withColumns({c: F.col(c).cast("int") for c in ("day_all", "term_all")})
+
+
+# Details and faults ------------------------------------------------------------------------
+
+LONG_JSON = """{"version": "https://jsonfeed.org/version/1.1", "language": "en", "title": "TitleKEYééé", "description": "<i>KEY</i>", "icon": "https://example.com/a-long-address/KEY", "home_page_url": "h",
+"items": [{"id": "1", "title": "ItemKEY-and-more", "summary": "SumKEY", "content_text": "0123456789KEY", "content_html": "<b>0123456789</b>"}]}"""
+
+
+@query("""select s_suppkey, left('Title' || s_suppkey || 'ééé', 10) as title, 'html' as title_kind, 'html' as subtitle_kind, null as icon, 'h' as link from supplier""")
+def json_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of JSON Feeds count as markup; those over a limit are cut, addresses left out."""
+    got = parse_feeds(written(spark, sf_dir, LONG_JSON), options=Options(sanitize_html=False, limits=Limits(text_length=10)), feed_fields=("title", "title_detail", "subtitle_detail", "icon", "link"))
+    return got.select("s_suppkey", "feed.title", F.col("feed.title_detail.content_type").alias("title_kind"), F.col("feed.subtitle_detail.content_type").alias("subtitle_kind"), "feed.icon", "feed.link")
+
+
+@query("""select s_suppkey, left('Item' || s_suppkey || '-and-more', 10) as title, 'html' as title_kind, 'en' as title_language, 'html' as summary_kind, '<b>0123456' as html, '0123456789' as plain from supplier""")
+def json_item_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = parse_entries(written(spark, sf_dir, LONG_JSON), options=Options(sanitize_html=False, limits=Limits(text_length=10)), entry_fields=("title", "title_detail", "summary_detail", "content"))
+    return got.select("s_suppkey", "title", F.col("title_detail.content_type").alias("title_kind"), F.col("title_detail.language").alias("title_language"), F.col("summary_detail.content_type").alias("summary_kind"), F.col("content")[0]["value"].alias("html"), F.col("content")[1]["value"].alias("plain"))
+
+
+FAULTS = {
+    "image": ("<rss><channel><title>KEY</title><image><title>t</title></image></channel></rss>", "Invalid feed format: Image missing url"),
+    "gml": ('<rss xmlns:georss="http://www.georss.org/georss" xmlns:gml="http://www.opengis.net/gml"><channel><item><title>KEY</title><georss:where><gml:LineString srsDimension="3"><gml:posList>1 2 3 4</gml:posList></gml:LineString></georss:where></item></channel></rss>', "GML coordinate list length is not a multiple of resolved srsDimension"),
+    "namespace": ('<rss xmlns:big="urn:' + "x" * 300 + '"><channel><title>KEY</title></channel></rss>', "Namespace URI exceeds maximum attribute length of 256 bytes"),
+    "text": ("<rss><channel><title>KEY</title><item><title>" + "y" * 2000 + "</title></item></channel></rss>", "text is too long"),
+    "fine": ('<rss xmlns:georss="http://www.georss.org/georss"><channel><image><url>u</url></image><georss:where><gml:Point><gml:pos>1 2</gml:pos></gml:Point></georss:where></channel></rss>', None),
+}
+
+
+@query(f"""select s_suppkey, kind, kind <> 'fine' as bozo, reason, cast(case kind when 'gml' then 1 else 0 end as int) as n_entries
+           from supplier, (values {', '.join(f"('{k}', {'null' if r is None else repr(r)})" for k, (_, r) in FAULTS.items())}) v(kind, reason)""")
+def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are read in spite of a fault, and what is said of it."""
+    docs = None
+    for kind, (document, _) in FAULTS.items():
+        one = written(spark, sf_dir, document).withColumn("kind", F.lit(kind))
+        docs = one if docs is None else docs.unionByName(one)
+    got = parse_feeds(docs, options=Options(limits=Limits(attribute_length=256, text_length=1000)), feed_fields=("title",))
+    return got.select("s_suppkey", "kind", "bozo", F.col("bozo_exception").alias("reason"), "n_entries")
+
+
+FRAGMENTS = {
+    "script": ("<p>a KEY<script>x()</script></p>", "<p>a KEY</p>"),
+    "handler": ('<p onclick="x()" class="c">KEY</p>', '<p class="c">KEY</p>'),
+    "link": ('<a href="http://e.com/KEY" target="_blank">x</a>', '<a href="http://e.com/KEY" rel="nofollow noopener noreferrer">x</a>'),
+    "scheme": ('<a href="javascript:x(KEY)">x</a>', '<a rel="nofollow noopener noreferrer">x</a>'),
+    "image": ('<img src="http://e.com/KEY.png" onerror="x()" alt="a">', '<img src="http://e.com/KEY.png" alt="a">'),
+    "unclosed": ("<ul><li>KEY<li>b</ul><b>c", "<ul><li>KEY</li><li>b</li></ul><b>c</b>"),
+    "unknown": ("<custom><em>KEY</em></custom>", "<em>KEY</em>"),
+    "style": ("<style>p{}</style><p style='x'>KEY</p>", "<p>KEY</p>"),
+    "comment": ("a<!-- KEY -->b", "ab"),
+    "lone": ("1 < KEY & 2 > 1", "1 &lt; KEY &amp; 2 &gt; 1"),
+    "entity": ("&lt;KEY&gt; &eacute;", "&lt;KEY&gt; é"),
+    "table": ("<table><tr><td>KEY<td>b</table>", "<table><tr><td>KEY</td><td>b</td></tr></table>"),
+}
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"""select p_partkey, kind, replace(want, 'KEY', p_partkey::varchar) as clean from part, (values {', '.join(f'({_literal(k)}, {_literal(w)})' for k, (_, w) in FRAGMENTS.items())}) v(kind, want)""")
+def sanitized_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments with a part's key, and the markup that is left of each."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(text).alias("text")) for k, (text, _) in FRAGMENTS.items()]))
+    rows = read(spark, sf_dir, "part").select("p_partkey", kinds.alias("f"))
+    return rows.select("p_partkey", "f.kind", html.sanitize_html(F.replace(F.col("f.text"), F.lit("KEY"), F.col("p_partkey").cast("string"))).alias("clean"))
