@@ -1,10 +1,16 @@
-"""Benchmark decontamination by latent semantic retrieval."""
+"""Benchmark decontamination by latent semantic retrieval.
+
+Windows of the texts that are near an item's in latent space are candidates. A space of
+bounded rank holds the less of each item the more items there are, so runs of three words that
+hardly occur by chance make candidates too, exactly, however many items and however short.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +28,8 @@ STRETCH = 192
 ITEMS = 20_000
 #: Share of a passage's latent weight that a window must hold, and their cosine.
 LEAST_SHARE, LEAST_COSINE = 0.45, 0.55
+#: A run of GRAM words is rare if chance would put its words into under e**RARE of all blocks.
+GRAM, RARE = 3, 5.0
 #: Share of an item's words, in order, that make a copy; or, with the answer, a paraphrase.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 
@@ -59,8 +67,8 @@ def blocks(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out.reshape(-1, BLOCK), begin
 
 
-def term_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse document frequency of each hashed term over all blocks of all texts."""
+def term_weights(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """Inverse document frequency of each hashed term over all blocks of all texts, and the number of blocks."""
 
     def run(batches):
         counts, n = np.zeros(TERMS, np.int64), 0
@@ -82,7 +90,7 @@ def term_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
             n = r["n"]
         else:
             counts[r["term"]] = r["n"]
-    return np.log((n + 1) / (counts + 1))
+    return np.log((n + 1) / (counts + 1)), n
 
 
 def item_passages(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
@@ -184,20 +192,51 @@ class Index:
     vectors: np.ndarray
     passage: np.ndarray
     queries: np.ndarray
+    #: Rare runs of words, sorted, the passage of each, and which leading bits they have.
+    grams: np.ndarray
+    holder: np.ndarray
+    leading: np.ndarray
+
+
+#: Leading bits of a run's hash that are looked up before the run itself.
+LEADING = 22
+
+
+def grams(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of GRAM words."""
+    n, h = max(0, len(words) - GRAM + 1), np.uint64(0)
+    for k in range(GRAM):
+        h = (h + words[k : k + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def index(passages: DataFrame, weights: np.ndarray) -> Index:
+def rare_grams(words: np.ndarray, weights: np.ndarray, blocks: int) -> np.ndarray:
+    """The runs that hardly occur by chance, by the frequencies of their words."""
+    w = weights[terms_of(words)]
+    n = max(0, len(words) - GRAM + 1)
+    together = sum(w[k : k + n] for k in range(GRAM))
+    return np.unique(grams(words)[together >= np.log(blocks + 1) - RARE]) if n else np.zeros(0, np.uint64)
+
+
+def index(passages: DataFrame, weights: np.ndarray, blocks: int) -> Index:
     terms, space = latent_space(passages, weights)
     rows = passages.orderBy("item_id", "words").collect()
     vectors = np.vstack([np.zeros((1, space.shape[1]), np.float32), space * weights[terms][:, None].astype(np.float32)]).astype(np.float32)
     place = np.zeros(TERMS, np.int32)
     place[terms] = np.arange(1, len(terms) + 1)
-    passage, queries = [], []
+    passage, queries, runs = [], [], []
     for k, r in enumerate(rows):
+        runs.append(rare_grams(np.array(r["words"], np.int64), weights, blocks))
         for w in windows(np.array(r["words"], np.int64)):
             passage.append(k)
             queries.append(vectors[place[terms_of(w)]].sum(0))
-    return Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["ends"] for r in rows], place, vectors, np.array(passage), np.array(queries, np.float32).reshape(len(passage), vectors.shape[1]))
+    held = np.concatenate([*runs, np.zeros(0, np.uint64)])
+    order = np.argsort(held, kind="stable")
+    leading = np.zeros(1 << LEADING, bool)
+    leading[(held >> np.uint64(64 - LEADING)).astype(np.int64)] = True
+    holder = np.repeat(np.arange(len(runs)), [len(x) for x in runs])[order]
+    return Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["ends"] for r in rows], place, vectors, np.array(passage), np.array(queries, np.float32).reshape(len(passage), vectors.shape[1]), held[order], holder, leading)
 
 
 def candidates(hashes: np.ndarray, edges: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, float]]:
@@ -223,6 +262,21 @@ def candidates(hashes: np.ndarray, edges: np.ndarray, ix: Index) -> Iterator[tup
         yield from zip(texts.tolist(), ix.passage[q].tolist(), (k + b - begin[texts]).tolist(), (dots[b, q] / length[k + b]).tolist())
 
 
+def sharing(hashes: np.ndarray, edges: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, float]]:
+    """(text, passage, block, 0) wherever a text has a rare run of words of a passage."""
+    g = grams(hashes.view(np.int64))
+    if not len(g):
+        return
+    at = np.flatnonzero(ix.leading[(g >> np.uint64(64 - LEADING)).astype(np.int64)])
+    text = np.searchsorted(edges, at, side="right") - 1
+    inside = at + GRAM <= edges[text + 1]
+    at, text = at[inside], text[inside]
+    first, last = (np.searchsorted(ix.grams, g[at], side=side) for side in ("left", "right"))
+    for k in np.flatnonzero(last > first):
+        for p in ix.holder[first[k] : last[k]].tolist():
+            yield int(text[k]), p, int(at[k] - edges[text[k]]) // BLOCK, 0.0
+
+
 def verified(words: list[int], ends: bool, text: list[int]) -> tuple[float, bool]:
     """The largest share of a passage's words found in order in a span of 1.5 times
     its length, and whether the answer, its last fifth (3 words at least), is there too."""
@@ -245,7 +299,7 @@ def matches(texts: list[bytes], ix: Index) -> list[tuple[int, tuple[int, float,
     """(text, (item, cosine, share, kind)) of each item that a text holds."""
     hashes, edges = word_hashes(texts)
     near: dict[tuple[int, int], tuple[float, set[int]]] = {}
-    for t, p, b, cosine in candidates(hashes, edges, ix):
+    for t, p, b, cosine in chain(candidates(hashes, edges, ix), sharing(hashes, edges, ix)):
         top, at = near.setdefault((t, p), (0.0, set()))
         at.add(b)
         near[t, p] = max(top, cosine), at
@@ -264,7 +318,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     """Documents that hold a benchmark item: ``keep`` (default: the id; not one of these
     names) and what was found.
 
-    Adds ``item_id``, ``cosine``, ``share`` (of the item's words, in order) and ``kind``:
+    Adds ``item_id``, ``cosine`` (0 where only a rare run of words led to it), ``share`` (of the item's words, in order) and ``kind``:
     ``copy`` if the share is at least COPY, or ``paraphrase`` if it is at least
     PARAPHRASE and the item's answer, its last words, is there as well. A row per
     document row and item. Windows of every whole text are compared with all
@@ -278,8 +332,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     keep = keep or [id_col]
     passages = table(item_passages(items.where(F.col(item_col).isNotNull()), item_col, item_text))
     n = passages.select("item_id").distinct().count()
-    weights = term_weights(docs, text) if n else np.zeros(TERMS)
-    found = [_search(docs, index(part, weights), text, keep) for part in _passes(passages, n) or [passages]]
+    weights = term_weights(docs, text) if n else (np.zeros(TERMS), 0)
+    found = [_search(docs, index(part, *weights), text, keep) for part in _passes(passages, n) or [passages]]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -321,9 +375,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     """
     passages = table(item_passages(items.where(F.col("item_id").isNotNull())))
     n = passages.select("item_id").distinct().count()
-    weights = term_weights(docs, text) if n else np.zeros(TERMS)
+    weights = term_weights(docs, text) if n else (np.zeros(TERMS), 0)
     for part in _passes(passages, n):
-        docs = _mark(docs, index(part, weights), text)
+        docs = _mark(docs, index(part, *weights), text)
     return docs
 
 

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from feedweave.llm.decontam import common_length, contaminated, decontaminate, latent_space, term_weights, word_hashes
+from feedweave.llm.decontam import common_length, contaminated, decontaminate, grams, latent_space, rare_grams, term_weights, word_hashes
 
 DOCS = "doc_id long, text string, item_id string, share int"
 
@@ -65,6 +66,43 @@ def test_planted_copies_and_paraphrases_are_found_and_nothing_else(spark):
     assert {r.doc_id for r in left.collect()} == {d[0] for d in docs} - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("n", [40, 2000])
+def test_recall_does_not_fall_with_the_number_of_items(spark, n):
+    """Truth by construction: every planted item meets the rule of copies, or of paraphrases."""
+    rng = random.Random(n)
+    common = ["the", "of", "and", "to", "in", "that", "it"]
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(4000)]
+    say = lambda k: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocab) for _ in range(k)]
+    items = [(k, " ".join(say(rng.randrange(15, 61)))) for k in range(n)]
+    docs, planted = [], {}
+    for i in range(500):
+        body, k = say(rng.randrange(30, 300)), rng.randrange(n)
+        words = items[k][1].split()
+        kept, paraphrase = list(words), i % 2 == 1
+        if paraphrase:
+            cut = len(words) - max(3, len(words) // 5)
+            go = set(rng.sample(range(cut), int(0.3 * len(words))))
+            kept = [w for j, w in enumerate(words) if j not in go]
+        at = rng.randrange(len(body))
+        body[at:at] = kept
+        docs.append((i, " ".join(body), "", 0))
+        planted[i] = k, paraphrase, len(words) < 25
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r[1]) for r in contaminated(spark.createDataFrame(docs, DOCS).repartition(4), bench, keep=["doc_id"]).collect()}
+    for paraphrase, short, least in ((False, False, 0.98), (False, True, 0.98), (True, False, 0.95), (True, True, 0.95)):
+        some = [(i, k) for i, (k, p, s) in planted.items() if (p, s) == (paraphrase, short)]
+        assert len(some) > 30 and sum(x in found for x in some) >= least * len(some), (paraphrase, short, sum(x in found for x in some), len(some))
+
+
+def test_rare_runs_of_words(spark):
+    h, edges = word_hashes([b"a b c d", b"b c", b"x b c d a b c"])
+    g = grams(h.view(np.int64))
+    assert g[0] == g[10] and g[1] == g[7] and len(set(g.tolist())) == 9
+    weights = np.zeros(1 << 17)
+    assert len(rare_grams(h[:4].view(np.int64), weights, 10**6)) == 0
+    assert len(rare_grams(h[:4].view(np.int64), weights + 3, 10**6)) == 2 and len(rare_grams(h[:2].view(np.int64), weights + 9, 10)) == 0
+
+
 def test_singular_vectors_equal_numpy(spark):
     rng = np.random.default_rng(0)
     words = rng.integers(-(2**62), 2**62, 60)
@@ -86,7 +124,7 @@ def test_singular_vectors_equal_numpy(spark):
 def test_weights_count_blocks(spark):
     docs = spark.createDataFrame([(1, "a " * 16 + "b", "", 0), (2, None, "", 0)], DOCS)
     h, _ = word_hashes([b"a", b"b", b"c"])
-    w = term_weights(docs)[(h >> np.uint64(47)).astype(int)]
+    w = term_weights(docs)[0][(h >> np.uint64(47)).astype(int)]
     assert np.allclose(w, np.log(3 / np.array([2, 2, 1])))
 
 
