@@ -705,3 +705,28 @@ def sanitized_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(text).alias("text")) for k, (text, _) in FRAGMENTS.items()]))
     rows = read(spark, sf_dir, "part").select("p_partkey", kinds.alias("f"))
     return rows.select("p_partkey", "f.kind", html.sanitize_html(F.replace(F.col("f.text"), F.lit("KEY"), F.col("p_partkey").cast("string"))).alias("clean"))
+
+
+BARE = """<rss xmlns:podcast="https://podcastindex.org/namespace/1.0"><channel><title>KEY</title>
+<podcast:follow url="https://example.com/f/KEY"/><podcast:follow>https://example.com/t</podcast:follow>
+<item><title>t</title><duration>1:KEY</duration><episode>KEY</episode><season>2</season><explicit>yes</explicit></item></channel></rss>"""
+ATOM_PODCAST = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:podcast="https://podcastindex.org/namespace/1.0"><title>KEY</title><podcast:guid>g</podcast:guid>
+<entry><id>KEY</id><podcast:season>3</podcast:season><podcast:transcript url="u" type="text/plain"/></entry></feed>"""
+
+
+@query("""select s_suppkey, '1:' || s_suppkey as duration, s_suppkey::varchar as episode, '2' as season, true as explicit, 'https://example.com/f/' || s_suppkey as first, 'https://example.com/t' as second from supplier""")
+def bare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """iTunes elements without a prefix, and where to follow a show."""
+    docs = written(spark, sf_dir, BARE)
+    items = parse_entries(docs, entry_fields=("itunes",))
+    shows = parse_feeds(docs, feed_fields=("podcast",)).select("s_suppkey", F.transform("feed.podcast.follow", lambda f: f["url"]).alias("follow"))
+    both = items.join(shows, "s_suppkey")
+    return both.select("s_suppkey", "itunes.duration", "itunes.episode", "itunes.season", "itunes.explicit", F.col("follow")[0].alias("first"), F.col("follow")[1].alias("second"))
+
+
+@query("select s_suppkey, s_suppkey::varchar as id, true as no_feed, true as no_entry from supplier")
+def atom_without_podcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atom feeds and entries have no podcast fields."""
+    docs = written(spark, sf_dir, ATOM_PODCAST)
+    feeds_of = parse_feeds(docs, feed_fields=("podcast",)).select("s_suppkey", F.col("feed.podcast").isNull().alias("no_feed"))
+    return parse_entries(docs, entry_fields=("id", "podcast")).join(feeds_of, "s_suppkey").select("s_suppkey", "id", "no_feed", F.col("podcast").isNull().alias("no_entry"))
