@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -60,10 +61,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, but as Parquet, whose size the planner then knows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return Scratch(df.sparkSession).table(df)
+
+
+class Scratch:
+    """Tables in the shared folder that go together, once all that reads them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/feedweave-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def clear(self) -> None:
+        """Remove the tables, and have Spark remove the shuffles that only they needed."""
+        context = self.spark.sparkContext
+        for path in self.paths:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
+        gc.collect()
+        context._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedweave.llm.common import FILTER_BITS, Filter, bounded, connected_components, cut, slices, spread_join, table
+from feedweave.llm.common import FILTER_BITS, Filter, Scratch, bounded, connected_components, cut, slices, spread_join, table
 
 SEED = 42
 #: Lane tables: bit k of a byte becomes 1 in byte k of a 64-bit word.
@@ -330,7 +330,7 @@ def shared_hashes(docs: DataFrame, text: str, width: int) -> DataFrame:
     return packed.groupBy("way").applyInPandas(count, "h bigint, n bigint")
 
 
-def prefixes(docs: DataFrame, text: str, width: int, id_col: str, similarity: float) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, width: int, id_col: str, similarity: float, work: Scratch) -> DataFrame:
     """``id_col``, the text's hash ``_th``, the ``key`` of its shingle set, its ``size``, ``prefix``, ``sign`` (parities) and ``hashes``.
 
     All hashes have one order: those of one text only, the shared ones, the common
@@ -339,7 +339,7 @@ def prefixes(docs: DataFrame, text: str, width: int, id_col: str, similarity: fl
     no other text has cannot meet, so it is left out; where nothing is left, the
     text is near to no other, and ``prefix``, ``sign`` and ``hashes`` are null.
     """
-    shared = table(shared_hashes(docs, text, width))
+    shared = work.table(shared_hashes(docs, text, width))
     least, more = COMMON_LEAST, 0
     for level, count in sorted(shared.where(F.col("n") >= least).groupBy(F.floor(F.log2("n"))).count().collect(), reverse=True):
         more += count
@@ -396,7 +396,7 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str) -> DataFrame:
+def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str, work: Scratch) -> DataFrame:
     """The keys of ``sets`` that go: each is like one of a smaller ``owner`` that stays.
 
     In a round the members of a hash are compared with its first few, the
@@ -424,7 +424,7 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
 
     bounded(sets.sparkSession)
     signs = [f"s{k}" for k in range(PARITIES)]
-    facts = table(sets.select("key", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
+    facts = work.table(sets.select("key", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
     side = lambda key, mark: facts.select(F.col("key").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in ("size", *signs)])
     differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in signs])
     may = (F.col("_size") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_size") * similarity - 1e-6) & (differ <= (F.col("size") + F.col("_size")) * (1 - similarity) / (1 + similarity) + 1e-6)
@@ -434,50 +434,56 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
         keys, own = pairs.select(side).distinct(), hashes.withColumnRenamed("key", side)
         return own.join(F.broadcast(keys) if keys.count() <= KEYS else keys, side, "left_semi").dropDuplicates([side])
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    spark = sets.sparkSession
+
+    def alike(pairs: DataFrame, scratch: Scratch) -> DataFrame:
         """Those pairs of a leader ``a`` and a later text ``b`` that are alike."""
-        pairs = table(pairs)
+        pairs = scratch.table(pairs)
         pairs_b = pairs.join(held(pairs, "b").withColumnRenamed("hashes", "_b"), "b")
         both = spread_join(pairs_b, held(pairs, "a").withColumnRenamed("hashes", "_a"), "a", "inner", F.col("b"))
-        return table(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
+        return scratch.table(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
 
-    def in_order(left: DataFrame) -> DataFrame:
+    def in_order(left: DataFrame, scratch: Scratch) -> DataFrame:
         """Each member of a hash with the hash's first text, ``lead``; hashes of one text left out."""
         first = left.groupBy("h").agg(F.min(F.struct("owner", "key")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
-        return table(left.join(first.select("h", F.col("_f.key").alias("lead")), "h"))
+        return scratch.table(left.join(first.select("h", F.col("_f.key").alias("lead")), "h"))
 
-    led = in_order(sets.select(F.explode("prefix").alias("h"), "key", F.col("owner")[id_col].alias("owner")))
+    scratch = Scratch(spark)
+    led = in_order(sets.select(F.explode("prefix").alias("h"), "key", F.col("owner")[id_col].alias("owner")), scratch)
     gone, turn, n = [], 0, led.select("key").distinct().count()
     while n:
         if LEADERS[turn] == 1:
-            sure = table(led.groupBy("key").agg(F.min(F.col("lead") == F.col("key")).alias("_sure")).where("_sure").select("key"))
+            sure = scratch.table(led.groupBy("key").agg(F.min(F.col("lead") == F.col("key")).alias("_sure")).where("_sure").select("key"))
             pairs = led.where("lead <> key").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct().join(sure.select(F.col("key").alias("a")), "a", "left_semi")
             may_be = pairs.join(side("b", ""), "b").join(side("a", "_"), "a").where(may).select("a", "b")
-            went = [table(alike(may_be).select(F.col("b").alias("key")).distinct())]
+            went = [work.table(alike(may_be, scratch).select(F.col("b").alias("key")).distinct())]
             done = sure.unionByName(went[0])
         else:
             left = led.select("h", "key", "owner").join(facts, "key")
             place = F.row_number().over(Window.partitionBy("h").orderBy("owner", "key"))
-            leads = table(left.withColumn("_n", place).where(F.col("_n") <= LEADERS[turn]).drop("_n"))
+            leads = scratch.table(left.withColumn("_n", place).where(F.col("_n") <= LEADERS[turn]).drop("_n"))
             first = leads.select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), *[F.col(c).alias(f"_{c}") for c in ("size", *signs)])
             later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
             places = leads.groupBy("key").agg(F.count("*").alias("_led"))
-            lead = table(led.groupBy("key").agg(F.count("*").alias("_all")).join(places, "key").where("_led = _all").select("key"))
-            links, went = alike(left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct()), []
+            lead = scratch.table(led.groupBy("key").agg(F.count("*").alias("_all")).join(places, "key").where("_led = _all").select("key"))
+            links, went = alike(left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct(), scratch), []
             while True:
                 top = links.select("a").distinct().join(lead.select(F.col("key").alias("a")), "a", "left_semi").join(links.select(F.col("b").alias("a")), "a", "left_anti")
-                less = table(links.join(top, "a", "left_semi").select(F.col("b").alias("key")).distinct())
+                less = work.table(links.join(top, "a", "left_semi").select(F.col("b").alias("key")).distinct())
                 if less.isEmpty():
                     break
                 went.append(less)
-                links = table(links.join(less.select(F.col("key").alias("b")), "b", "left_anti").join(less.select(F.col("key").alias("a")), "a", "left_anti"))
+                links = scratch.table(links.join(less.select(F.col("key").alias("b")), "b", "left_anti").join(less.select(F.col("key").alias("a")), "a", "left_anti"))
             kept = lead.join(links.select(F.col("b").alias("key")), "key", "left_anti")
             done = reduce(DataFrame.unionByName, [kept, *went])
         gone += went
-        led = in_order(led.drop("lead").join(done.distinct(), "key", "left_anti"))
-        before, n = n, led.select("key").distinct().count()
+        before, round, scratch = n, scratch, Scratch(spark)
+        led = in_order(led.drop("lead").join(done.distinct(), "key", "left_anti"), scratch)
+        n = led.select("key").distinct().count()
+        round.clear()
         if 2 * n > before:
             turn = min(turn + 1, len(LEADERS) - 1)
+    scratch.clear()
     return reduce(DataFrame.unionByName, gone) if gone else sets.select("key").limit(0)
 
 
@@ -494,19 +500,21 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     id stay and lead none. Texts without words are alike. An empty table gives an
     empty result.
     """
-    marked = table(prefixes(docs, text, width, id_col, similarity))
+    work = Scratch(docs.sparkSession)
+    marked = work.table(prefixes(docs, text, width, id_col, similarity, work))
     named = marked.where(F.col(id_col).isNotNull())
-    owners = table(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
+    owners = work.table(named.groupBy("key").agg(F.min(F.struct(id_col, "_th")).alias("owner")))
     held = named.where(F.col("prefix").isNotNull())
-    sets = table(held.drop("hashes").join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign"))
-    judged = owners.join(followers(sets, held.select("key", "hashes"), similarity, id_col).withColumn("like", F.lit(True)), "key", "left")
+    sets = work.table(held.drop("hashes").join(owners, "key").where(F.struct(id_col, "_th") == F.col("owner")).dropDuplicates(["key"]).select("key", "owner", "size", "prefix", "sign"))
+    judged = owners.join(followers(sets, held.select("key", "hashes"), similarity, id_col, work).withColumn("like", F.lit(True)), "key", "left")
     mine = F.struct(F.col(id_col), F.col("_th")) == F.col("owner")
     found = spread_join(named.select(id_col, "_th", "key"), judged, "key").groupBy(id_col, "_th").agg(F.max(F.coalesce("like", F.lit(False)) | ~mine).alias("goes"), F.count("*").alias("n"))
-    found = table(found)
+    found = work.table(found)
     gone = table(found.where("goes").select(id_col, "_th"))
+    twice = table(found.where("not goes and n > 1").select(id_col, "_th"))
+    work.clear()
     rows = docs.withColumn("_th", text_hash(text))
     stay = rows.join(gone, [id_col, "_th"], "left_anti")
-    twice = table(found.where("not goes and n > 1").select(id_col, "_th"))
     if twice.isEmpty():
         return stay.select(docs.columns)
     once = stay.join(twice, [id_col, "_th"], "left_anti").select(docs.columns)
