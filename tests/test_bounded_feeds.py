@@ -1,5 +1,6 @@
 """Queries whose feeds must not grow with their table, nor lose entries where they do."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from feedweave import queries as Q
@@ -16,3 +17,12 @@ def test_feeds_of_many_orders_keep_all_entries(spark, tmp_path):
 def test_feeds_of_many_parts_keep_all_entries(spark, tmp_path):
     spark.range(10_050).select(F.col("id").alias("p_partkey"), F.lit("a").alias("p_name"), F.lit("Brand").alias("p_brand"), F.lit("b").alias("p_type"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
     assert Q.rdf_entries(spark, str(tmp_path)).count() == 10_050
+
+
+def test_lines_of_a_block_are_dealt_over_feeds(spark, tmp_path):
+    lines = spark.range(600).select((F.col("id") * 997 % 260_000).alias("l_orderkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"), F.lit("R").alias("l_returnflag"), F.timestamp_seconds(F.col("id")).alias("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert Q.lineitem_feed(spark, str(tmp_path)).where("block = 0").count() == 100
+    got = Q.large_feed_entries(spark, str(tmp_path)).select("block", "entry_idx", "id").collect()
+    want = duckdb.sql(f"select block, entry_idx, id from ({Q.ORACLE_SQL['large_feed_entries'].replace('from lineitem', f"from '{tmp_path}/lineitem.parquet/*.parquet'")})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
