@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
@@ -68,13 +68,33 @@ def create_entry_function(spark: SparkSession, name: str = "parse_feed_entries",
     In SQL: ``SELECT d.path, e.title FROM docs d, LATERAL parse_feed_entries(d.content) e``. Only
     lexing is Python; the rules are the same columns as in :func:`parse_entries`, and those of fields
     that a query leaves out are not computed. ``entry_fields`` (default: all) says what is lexed.
+
+    Spark calls it for each different document and joins the rows back by the whole content, by a
+    broadcast if it takes them to be few. For many documents, :func:`create_entry_view` has no join.
     """
+    kinds = [(n, ENTRY[n]) for n in ENTRY if entry_fields is None or n in entry_fields]
+    body = _entries(spark, name, options, entry_fields, [], lambda call: f"FROM {call}")
+    create_table_function(spark, name, "content BINARY", [("version", "STRING"), ("entry_idx", "INT"), *kinds], body)
+
+
+def create_entry_view(spark: SparkSession, name: str, docs: str, content: str = "content", options: Options = Options(), entry_fields: Iterable[str] | None = None) -> None:
+    """A temporary view of a table of documents: its columns but the content, and those of the table function, a row per entry.
+
+    Each document is lexed where it is and its rows keep its columns: there is no shuffle and no join.
+    """
+    kept = [c for c in spark.table(docs).columns if c != content]
+    body = _entries(spark, name, options, entry_fields, kept, lambda call: f"FROM {docs}, LATERAL {call}", content)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS {body}")
+
+
+def _entries(spark: SparkSession, name: str, options: Options, entry_fields: Iterable[str] | None, kept: list[str], source: Callable[[str], str], content: str = "content") -> str:
+    """The query that lexes and applies the rules; ``kept`` are columns of the source's table."""
     spark.udtf.register(f"{name}_lex", udtf(lexer(options)).asDeterministic())
     rules = entry_rules(spark, options, entry_fields)
     feed_names, entry_names = (" ".join(sorted(x)) for x in rules.names)
-    kinds = [(n, ENTRY[n]) for n in ENTRY if entry_fields is None or n in entry_fields]
-    lexed = f"SELECT *, try_parse_json(json) AS _v FROM {name}_lex(content, '{feed_names}', '{entry_names}')"
-    rows = f"SELECT version, head, _v, entry_idx, _e FROM ({lexed}) LATERAL VIEW posexplode({sql_of(rules.entries)}) _t AS entry_idx, _e"
+    own = f"struct({', '.join(f'`{c}`' for c in kept)})" if kept else "null"
+    lexed = f"SELECT {own} AS _own, _l.*, try_parse_json(_l.json) AS _v {source(f"{name}_lex(`{content}`, '{feed_names}', '{entry_names}')")} _l"
+    rows = f"SELECT _own, version, head, _v, entry_idx, _e FROM ({lexed}) LATERAL VIEW posexplode({sql_of(rules.entries)}) _t AS entry_idx, _e"
     staged = "".join(f", {sql_of(c)} AS `{n}`" for n, c in rules.staged.items())
-    fields = ", ".join(sql_of(c) for c in rules.fields)
-    create_table_function(spark, name, "content BINARY", [("version", "STRING"), ("entry_idx", "INT"), *kinds], f"SELECT version, entry_idx, {fields} FROM (SELECT *{staged} FROM ({rows}))")
+    fields = ", ".join([*(f"_own.`{c}`" for c in kept), "version", "entry_idx", *(sql_of(c) for c in rules.fields)])
+    return f"SELECT {fields} FROM (SELECT *{staged} FROM ({rows}))"

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from feedweave import queries as Q
+from feedweave.plans.tables import create_entry_view
 
 
 def test_feeds_of_many_orders_keep_all_entries(spark, tmp_path):
@@ -26,3 +27,13 @@ def test_lines_of_a_block_are_dealt_over_feeds(spark, tmp_path):
     got = Q.large_feed_entries(spark, str(tmp_path)).select("block", "entry_idx", "id").collect()
     want = duckdb.sql(f"select block, entry_idx, id from ({Q.ORACLE_SQL['large_feed_entries'].replace('from lineitem', f"from '{tmp_path}/lineitem.parquet/*.parquet'")})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_view_of_entries_has_no_join(spark):
+    docs = [(k, f"<rss><channel><item><title>{k}</title></item><item><title>b</title></item></channel></rss>".encode()) for k in (1, 2, 2)]
+    spark.createDataFrame(docs, "k int, content binary").createOrReplaceTempView("some_docs")
+    create_entry_view(spark, "some_entries", "some_docs", entry_fields=("title",))
+    got = spark.sql("select k, entry_idx, title from some_entries")
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, t) for k in (1, 2, 2) for i, t in enumerate((str(k), "b")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
