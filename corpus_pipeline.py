@@ -14,7 +14,7 @@ from feedweave.llm.decontam import decontaminate
 from feedweave.llm.mixing import mix
 from feedweave.llm.quality import accepted
 from feedweave.llm.sharding import interleave
-from feedweave.llm.simhash import near_dedup
+from feedweave.llm.simhash import near_dedup, simhash_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup(docs)
+    """One document of each SimHash component, and of those none that whole shingle sets show to be alike."""
+    return near_dedup(simhash_dedup(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

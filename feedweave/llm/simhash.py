@@ -249,6 +249,16 @@ def simhash(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     return components(marked, id_col, most)
 
 
+def simhash_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, most: int = 4) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their component, as :func:`simhash` finds it; all columns.
+
+    Rows are judged by id and text. Those with a null id stay.
+    """
+    marked = cut(fingerprints(docs.select(id_col, text, text_hash(text).alias("_th")), text, width, [id_col, "_th"]))
+    gone = table(components(marked, id_col, most).where(F.col(id_col) != F.col("component_id")).select(id_col, "_th").distinct())
+    return docs.withColumn("_th", text_hash(text)).join(gone, [id_col, "_th"], "left_anti").select(docs.columns)
+
+
 #: Of the hashes that end so (mod 8) it is counted which several texts have; as
 #: these are 3 in 8 and a prefix about 1 in 5, the others are seldom looked at.
 COUNTED = 3

@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
 
-from feedweave.llm.simhash import Forest, Trie, majority, near_dedup, shingle_hashes, simhash, trie_join
+import corpus_pipeline
+from feedweave.llm.simhash import Forest, Trie, majority, near_dedup, shingle_hashes, simhash, simhash_dedup, trie_join
 
 SCHEMA = "doc_id long, text string, fp string, root int"
 
@@ -168,3 +171,17 @@ def test_near_dedup_judges_rows_of_one_id_apart(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words are here now"), (3, "p q r s t u"), (3, "v w x y z a"), (3, "v w x y z a")]
     got = near_dedup(spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, rows[0][1]), (2, rows[2][1]), (3, rows[3][1]), (3, rows[4][1])]
+
+
+def test_pipeline_drops_what_simhash_links(spark):
+    """Repeats change no set of shingles and no exact text; only the fingerprint tells that two texts are near."""
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    loop, tail = own(7), [own(9), own(9)]
+    near = [f"{' '.join([loop] * 60)} {t}" for t in tail]  # an odd number of shingles, repeated, decides every bit
+    rows = [(1, own(80)), (2, near[0]), (3, near[1]), (3, own(80)), (None, near[1]), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert kept(simhash_dedup(docs)) == sorted([r for r in rows if r != rows[2]], key=str)
+    assert kept(near_dedup(docs)) == sorted(rows, key=str)
+    assert kept(corpus_pipeline.simhash_near_dedup(spark, docs, "")) == sorted([r for r in rows if r != rows[2]], key=str)
