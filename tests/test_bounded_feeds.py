@@ -37,3 +37,9 @@ def test_view_of_entries_has_no_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted((k, i, t) for k in (1, 2, 2) for i, t in enumerate((str(k), "b")))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_fragments_of_few_input_tasks_are_dealt_out(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = Q.sanitized_fragments(spark, str(tmp_path))
+    assert got.count() == 100 * len(Q.FRAGMENTS) and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
