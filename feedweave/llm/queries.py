@@ -68,7 +68,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_duplicates(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+    return found.select("doc_id", F.col("_hash").alias("class_id"), "n_lines", "n_exact", "n_near", "n_links", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,17 @@ def test_nulls_repeats_and_nothing(spark):
     got = sorted(((r.doc_id or 0), r.n_lines, list(r.dropped)) for r in line_duplicates(docs).collect())
     assert got == [(0, 2, [1]), (2, 1, [0]), (2, 1, [0]), (3, 0, [])]
     assert line_duplicates(docs.limit(0)).count() == 0
+
+
+def test_no_link_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr("feedweave.llm.lines.MEMBERS", 16)  # so that keys are dealt out
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefé ") for _ in range(60)) + "x" for _ in range(4)]
+    pool = sorted({edited(rng, rng.choice(base), rng.randrange(0, 3)) for _ in range(150)})
+    assert min(map(len, pool)) >= 40
+    rows = [(i, "\n".join(rng.choices(pool, k=3))) for i in range(90)]
+    there = sorted({x for _, t in rows for x in t.split("\n")})
+    links = {x: sum(x != y and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in there) for x in there}
+    got = line_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(links[x] for x in t.split("\n")) for i, t in rows}
+    assert sum(links.values()) > 500
