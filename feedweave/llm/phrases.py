@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from feedweave.llm.common import Filter, bounded, slices, spread_join, table
 LONGEST = 4
 #: Upper case becomes lower case, what ends a piece a full stop, the tab a space.
 _PIECES = bytes(c + 32 if 65 <= c <= 90 else 46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-#: Words, or keys, that a task holds before it sends what it has counted.
-MOST_WORDS, MOST_KEYS = 1 << 20, 1 << 21
+#: Words, or keys, that a task holds before it sends what it has counted, and rows that it sends at once.
+MOST_WORDS, MOST_KEYS, SENT = 1 << 18, 1 << 20, 1 << 16
 #: Odd multipliers that mix the words behind the first into a key's leading number.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 UND = "und"
@@ -61,12 +62,13 @@ def dictionary(docs: DataFrame, least: int, text: str = "text", lang: str = "lan
         counted: dict[str, Counter] = defaultdict(Counter)
 
         def flush():
-            for name, words in counted.items():
-                start = language_seed(name, seed)
-                ids = np.array([encode(w, start) for w in words] + [0], np.uint64).view(np.int64)
-                found = pa.array([*words.keys(), None], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids), found, pa.array([*words.values(), words.total()], pa.int64())], names=["lang", "id", "word", "n"])
-            counted.clear()
+            while counted:
+                name, words = counted.popitem()
+                start, total = language_seed(name, seed), words.total()
+                rows = chain(((encode(w, start), w, n) for w, n in words.items()), [(0, None, total)])
+                while part := list(islice(rows, SENT)):
+                    ids, found, n = zip(*part)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(found, pa.binary()), pa.array(n, pa.int64())], names=["lang", "id", "word", "n"])
 
         for batch in slices(batches, "_text"):
             for name, body in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
@@ -113,7 +115,9 @@ def runs(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[n
     is then two rows; the last count, which sorts whole keys, makes that good.
     """
     order = radix_order(columns[0])
-    columns = [c[order] for c in columns]
+    columns = list(columns)
+    for i in range(len(columns)):  # one at a time, so that what is not needed any more goes
+        columns[i] = columns[i][order]
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
@@ -139,24 +143,23 @@ def encoded(docs: DataFrame, words: Filter, seed: int, text: str = "text", lang:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # frequent words only: the others are most of the different words, but few of the text
         known: dict[str, dict[bytes, int]] = {}
         for batch in slices(batches, "_text"):
             found: list[int] = []
             for name, body in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
                 ids = known.setdefault(name, {b".": 0})
                 tokens = words_of(body)
-                new = set(tokens).difference(ids)
+                new = list(set(tokens).difference(ids))
                 if new:
                     start = language_seed(name, seed)
-                    ids.update((w, word_id(w, start)) for w in new)
-                found.extend(map(ids.__getitem__, tokens))
+                    made = np.array([word_id(w, start) for w in new], np.uint64)
+                    ids.update((new[i], int(made[i])) for i in shared.value.hits(made))
+                found.extend(map(ids.get, tokens, repeat(0)))
                 found.append(0)
             if sum(map(len, known.values())) > MOST_WORDS:
                 known.clear()
-            ids = np.array(found, np.uint64)
-            kept = np.zeros(len(ids), np.uint64)
-            at = shared.value.hits(ids)
-            kept[at] = ids[at]
+            kept = np.array(found, np.uint64)
             # one break is as good as many
             kept = kept[(kept != 0) | np.r_[True, kept[:-1] != 0]]
             yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary())], names=["ids"])
@@ -175,11 +178,13 @@ def phrases(blocks: DataFrame, size: int, least: int, parts: Filter | None) -> D
         shorter, held, room = shared.value, [], 0
 
         def flush():
-            keys, n = runs([np.concatenate(c) for c in zip(*(k for k, _ in held))], np.concatenate([n for _, n in held]))
+            n = np.concatenate([n for _, n in held])
+            columns = [[k[i] for k, _ in held] for i in range(size)]
             held.clear()
-            for at in range(0, len(n), 1 << 16):
-                part = [k[at : at + (1 << 16)] for k in keys]
-                yield pa.RecordBatch.from_arrays([packed(part), pa.array(n[at : at + (1 << 16)])], names=["key", "n"])
+            keys, n = runs([np.concatenate(columns.pop(0)) for _ in range(size)], n)
+            for at in range(0, len(n), SENT):
+                part = [k[at : at + SENT] for k in keys]
+                yield pa.RecordBatch.from_arrays([packed(part), pa.array(n[at : at + SENT])], names=["key", "n"])
 
         for batch in batches:
             for body in batch.column("ids").to_pylist():
