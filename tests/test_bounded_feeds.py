@@ -1,9 +1,11 @@
 """Queries whose feeds must not grow with their table, nor lose entries where they do."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from feedweave import queries as Q
+from feedweave.plans.parse import lex
 from feedweave.plans.tables import create_entry_view
 
 
@@ -43,3 +45,11 @@ def test_fragments_of_few_input_tasks_are_dealt_out(spark, tmp_path):
     spark.range(100).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     got = Q.sanitized_fragments(spark, str(tmp_path))
     assert got.count() == 100 * len(Q.FRAGMENTS) and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_goes_to_python_at_once_is_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(60).repartition(1).select("id", F.repeat(F.lit("x"), F.lit(1 << 20)).cast("binary").alias("content"))
+    lex(docs)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) >= 60 << 20 and max(r.n for r in sizes) <= 16 << 20
