@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -436,8 +436,12 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
     signs = [f"s{k}" for k in range(PARITIES)]
     facts = work.table(sets.select("key", "size", *[F.get("sign", F.lit(k)).alias(s) for k, s in enumerate(signs)]))
     side = lambda key, mark: facts.select(F.col("key").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in ("size", *signs)])
-    differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in signs])
-    may = (F.col("_size") >= F.col("size") * similarity - 1e-6) & (F.col("size") >= F.col("_size") * similarity - 1e-6) & (differ <= (F.col("size") + F.col("_size")) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+    def may(other: Callable[[str], Column]) -> Column:
+        """Whether a text and another, whose columns ``other`` gives, may be alike."""
+        size, its = F.col("size"), other("size")
+        differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(other(s))) for s in signs])
+        return (its >= size * similarity - 1e-6) & (size >= its * similarity - 1e-6) & (differ <= (size + its) * (1 - similarity) / (1 + similarity) + 1e-6)
 
     def held(pairs: DataFrame, side: str) -> DataFrame:
         """The sets of one side of the pairs; the others are left out before they are dealt."""
@@ -454,9 +458,14 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
         return scratch.table(both.select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"))
 
     def in_order(left: DataFrame, scratch: Scratch) -> DataFrame:
-        """Each member of a hash with the hash's first text, ``lead``; hashes of one text left out."""
-        first = left.groupBy("h").agg(F.min(F.struct("owner", "key")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
-        return scratch.table(left.join(first.select("h", F.col("_f.key").alias("lead")), "h"))
+        """Each member of a hash with the hash's first text, ``lead``; hashes of one text left out.
+
+        Of hashes with the same members (as 128 bits of sums of their keys' hashes tell) one is enough.
+        """
+        members = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"_m{k}") for k in range(2)]
+        first = left.groupBy("h").agg(F.min(F.struct("owner", "key")).alias("_f"), F.count("*").alias("_n"), *members).where("_n > 1")
+        one = first.groupBy("_n", "_m0", "_m1").agg(F.min("h").alias("h"), F.min("_f.key").alias("lead"))
+        return scratch.table(left.join(one.select("h", "lead"), "h"))
 
     scratch = Scratch(spark)
     led = in_order(sets.select(F.explode("prefix").alias("h"), "key", F.col("owner")[id_col].alias("owner")), scratch)
@@ -465,18 +474,21 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
         if LEADERS[turn] == 1:
             sure = scratch.table(led.groupBy("key").agg(F.min(F.col("lead") == F.col("key")).alias("_sure")).where("_sure").select("key"))
             pairs = led.where("lead <> key").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct().join(sure.select(F.col("key").alias("a")), "a", "left_semi")
-            may_be = pairs.join(side("b", ""), "b").join(side("a", "_"), "a").where(may).select("a", "b")
+            may_be = pairs.join(side("b", ""), "b").join(side("a", "_"), "a").where(may(lambda c: F.col(f"_{c}"))).select("a", "b")
             went = [work.table(alike(may_be, scratch).select(F.col("b").alias("key")).distinct())]
             done = sure.unionByName(went[0])
         else:
             left = led.select("h", "key", "owner").join(facts, "key")
             place = F.row_number().over(Window.partitionBy("h").orderBy("owner", "key"))
             leads = scratch.table(left.withColumn("_n", place).where(F.col("_n") <= LEADERS[turn]).drop("_n"))
-            first = leads.select("h", F.col("key").alias("a"), F.col("owner").alias("_o"), *[F.col(c).alias(f"_{c}") for c in ("size", *signs)])
-            later = F.struct("_o", "a") < F.struct(F.col("owner"), F.col("key"))
+            first = leads.groupBy("h").agg(F.collect_list(F.struct("owner", "key", "size", *signs)).alias("_l"))
+            before = lambda x: (F.struct(x["owner"], x["key"]) < F.struct("owner", "key")) & may(lambda c: x[c])
+            met = left.join(first, "h").select("key", F.transform(F.filter("_l", before), lambda x: x["key"]).alias("_a")).where(F.size("_a") > 0)
+            # two texts meet at many hashes; merged by text, they leave as one pair
+            pairs = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("_a"))).alias("_a")).select(F.explode("_a").alias("a"), F.col("key").alias("b"))
             places = leads.groupBy("key").agg(F.count("*").alias("_led"))
             lead = scratch.table(led.groupBy("key").agg(F.count("*").alias("_all")).join(places, "key").where("_led = _all").select("key"))
-            links, went = alike(left.join(first, "h").where(later & may).select("a", F.col("key").alias("b")).distinct(), scratch), []
+            links, went = alike(pairs, scratch), []
             while True:
                 top = links.select("a").distinct().join(lead.select(F.col("key").alias("a")), "a", "left_semi").join(links.select(F.col("b").alias("a")), "a", "left_anti")
                 less = work.table(links.join(top, "a", "left_semi").select(F.col("b").alias("key")).distinct())
@@ -487,11 +499,11 @@ def followers(sets: DataFrame, hashes: DataFrame, similarity: float, id_col: str
             kept = lead.join(links.select(F.col("b").alias("key")), "key", "left_anti")
             done = reduce(DataFrame.unionByName, [kept, *went])
         gone += went
-        before, round, scratch = n, scratch, Scratch(spark)
+        had, round, scratch = n, scratch, Scratch(spark)
         led = in_order(led.drop("lead").join(done.distinct(), "key", "left_anti"), scratch)
         n = led.select("key").distinct().count()
         round.clear()
-        if 2 * n > before:
+        if 2 * n > had:
             turn = min(turn + 1, len(LEADERS) - 1)
     scratch.clear()
     return reduce(DataFrame.unionByName, gone) if gone else sets.select("key").limit(0)

@@ -167,6 +167,36 @@ def test_near_dedup_of_many_groups_on_one_template(spark):
     assert 5 < len(want) < len(texts) / 2 and {r.doc_id for r in near_dedup(docs).collect()} == want
 
 
+def joined_rows(spark, work):
+    """The most rows that a join made in all that ``work`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    known, most = set(run()), 0
+    work()
+    for k in set(run()) - known:
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(j) for j in range(node.metrics().size()) if "Join" in node.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_near_dedup_meets_a_pair_once_however_many_hashes_it_shares(spark):
+    rng = np.random.default_rng(23)
+    vocab = [f"w{i}" for i in range(5000)]
+    form, texts = list(rng.choice(vocab, 300)), {}
+    for k in range(30):
+        words = list(form)
+        for at in rng.choice(300, 4, replace=False):
+            words[int(at)] = f"x{k}_{at}"
+        texts[k] = words
+    docs, got = spark.createDataFrame([(i, " ".join(w), "", 0) for i, w in texts.items()], SCHEMA).repartition(3).localCheckpoint(), []
+    most = joined_rows(spark, lambda: got.extend(r.doc_id for r in near_dedup(docs).collect()))
+    assert set(got) == stays(texts)
+    assert 0 < most <= 30 * 75  # texts by the hashes of a prefix
+
+
 def test_near_dedup_judges_rows_of_one_id_apart(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words are here now"), (3, "p q r s t u"), (3, "v w x y z a"), (3, "v w x y z a")]
     got = near_dedup(spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)).collect()
