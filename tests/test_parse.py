@@ -10,7 +10,7 @@ from feedweave.functions.html import sanitize
 from feedweave.options import Limits, Options
 from feedweave.plans import views
 from feedweave.plans.parse import parse, parse_entries, parse_feeds
-from feedweave.sources.lexer import lex
+from feedweave.sources.lexer import Document, lex
 
 NS = 'xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:dublin="http://purl.org/dc/elements/1.1/" xmlns:mrss="http://search.yahoo.com/mrss/" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:podcast="https://podcastindex.org/namespace/1.0" xmlns:georss="http://www.georss.org/georss" xmlns:gml="http://www.opengis.net/gml" xmlns:geo="http://www.w3.org/2003/01/geo/wgs84_pos#" xmlns:thr="http://purl.org/syndication/thread/1.0" xmlns:atom="http://www.w3.org/2005/Atom"'
 
@@ -215,3 +215,17 @@ def test_elements_that_no_field_needs_are_not_lexed():
     data = rss("<item><title>a</title><description>d</description></item>", "<title>t</title><link>http://e.com/</link>").encode()
     got = lex(data, Options(), (frozenset(), frozenset({"title"})))
     assert got.head.nodes == {} and list(got.items[0].nodes) == ["title"]
+
+
+def test_entries_repeat_work_that_is_done_once(monkeypatch):
+    """Attributes of the same source, and the empty reference to a base, are not read again for each entry."""
+    from feedweave.functions import urls
+
+    made, joined = [], []
+    whole, join = Document.made_attributes, urls.join
+    monkeypatch.setattr(Document, "made_attributes", lambda self, source: made.append(source) or whole(self, source))
+    monkeypatch.setattr(urls, "join", lambda href, base: joined.append(href) or join(href, base))
+    entry = '<entry><title type="text">a &lt;5&gt; &amp; b</title><link href="x/y"></link></entry>'
+    found = lex(f'<feed xmlns="http://www.w3.org/2005/Atom" xml:base="https://once.example.com/s/">{entry * 50}</feed>'.encode(), Options())
+    assert len(made) == len(set(made)) == 3 and joined.count("") <= 1
+    assert [(p.nodes["title"][0][3], p.nodes["title"][0][4], dict(p.nodes["link"][0][2])["@href"]) for p in found.items] == [("a <5> & b", "a &lt;5&gt; &amp; b", "https://once.example.com/s/x/y")] * 50
