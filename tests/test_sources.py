@@ -128,3 +128,30 @@ def test_the_deadline_is_for_all_hops():
 
     row = fetch("http://example.com/", None, None, slow, "a", 0.25, 100, {})
     assert "too long" in row["fetch_error"]
+
+
+def test_answers_go_on_many_at_once_bounded_by_bytes_and_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from feedweave.sources import fetch
+
+    def sized(url, headers, timeout, most):
+        return Response(200, {"Location": "x"}, b"x" * int(url.rsplit("/", 1)[1]))
+
+    urls, runs = spark.createDataFrame([], "n int, url string"), []
+    monkeypatch.setattr(type(urls), "mapInArrow", lambda self, run, schema: runs.append(run))
+    fetch_feeds(urls, transport=sized)
+
+    def batches(sizes):
+        asked = [None if s is None else f"http://example.com/{s}" for s in sizes]
+        found = list(runs[0](iter([pa.RecordBatch.from_pydict({"n": pa.array(range(len(sizes)), pa.int32()), "url": pa.array(asked, pa.string())})])))
+        rows = [r for b in found for r in b.to_pylist()]
+        assert [(r["n"], r["url"]) for r in rows] == list(enumerate(asked)) and [r["body"] if r["body"] is None else len(r["body"]) for r in rows] == sizes
+        return [b.num_rows for b in found]
+
+    monkeypatch.setattr(fetch, "BATCH_SECONDS", 60.0)
+    assert batches([5, None, 0] * 1000) == [3000]
+    assert batches([600_000, 400_000, None, 600_000, 3 << 20, 7, None, 7]) == [3, 1, 1, 3]
+    assert batches([]) == []
+    monkeypatch.setattr(fetch, "BATCH_SECONDS", 0.0)  # slow hosts: none waits for others
+    assert batches([5, None, 5]) == [1, 1, 1]
