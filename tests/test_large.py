@@ -3,6 +3,7 @@
 import random
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,3 +79,16 @@ def test_states_compose_and_are_those_of_the_tokens(parts):
             starts.add(token[1])
             at = token[2]
         assert [s == P.TEXT for s in seen[1:]] == [c in starts for c in cuts]
+
+
+def test_documents_in_another_order_at_each_reading(spark):
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(pa.array(random.sample(range(batch.num_rows), batch.num_rows), pa.int64()))
+
+    bodies = [feed("rss", 20 + 7 * i, i, 0) for i in range(12)] + [feed("rss", 40, 20, 0.5)] * 3 + ["<rss><channel><item/>" + "<a b='" + "x" * 3000] * 2
+    docs = spark.createDataFrame([(i % 14, bytearray(b.encode())) for i, b in enumerate(bodies)], "_k int, content binary").coalesce(1)
+    docs = docs.mapInArrow(shuffled, docs.schema)
+    rows = lambda piece: sorted(map(str, parse_entries(docs, entry_fields=FIELDS, piece=piece).collect()))
+    want = rows(None)
+    assert len(want) > 700 and all(rows(900) == want for _ in range(3))
