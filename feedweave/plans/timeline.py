@@ -34,7 +34,7 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, righ
     ends = both.groupBy(*keys, "_b").agg(F.max("_held").alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.withColumn("_then", F.last("_end", ignorenulls=True).over(before)).where(F.col("_then").isNotNull()).drop("_end")
-    found = filled.join(starts, [*keys, "_b"], "left").withColumn("_r", F.coalesce("_now", "_then"))
+    found = filled.join(starts.hint("merge"), [*keys, "_b"], "left").withColumn("_r", F.coalesce("_now", "_then"))
     return found.select("_left.*", F.col("_r.time").alias(right_time), *[F.col(f"_r.values.`{v}`").alias(v) for v in values])
 
 
@@ -43,13 +43,14 @@ def near(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
 
     Each row of ``right`` is met in its own bucket only, each of ``left`` in all buckets that its
     interval touches, which are two if it lies across a border, since a bucket is as wide as the interval.
+    Neither side is broadcast: the planner takes parsed entries for far fewer than they are.
     """
     width = max(1, before + after)
     edge = lambda shift: F.floor((_micros(left_time) + shift * 1_000_000) / (width * 1_000_000))
     lefts = left.where(F.col(left_time).isNotNull()).withColumn("_b", F.explode(F.array_distinct(F.array(edge(-before), edge(after)))))
     rights = right.where(F.col(right_time).isNotNull()).withColumn("_b", _bucket(right_time, width))
     apart = _micros(right_time) - _micros(left_time)
-    return lefts.join(rights, [*on, "_b"]).where(apart.between(-before * 1_000_000, after * 1_000_000)).drop("_b")
+    return lefts.join(rights.hint("merge"), [*on, "_b"]).where(apart.between(-before * 1_000_000, after * 1_000_000)).drop("_b")
 
 
 def sessions(entries: DataFrame, time: str, keys: list[str], gap: str = "1 hour", delay: str = "2 hours") -> DataFrame:
