@@ -1,5 +1,7 @@
 """Queries whose feeds must not grow with their table, nor lose entries where they do."""
 
+import re
+
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -53,3 +55,25 @@ def test_what_goes_to_python_at_once_is_bounded(spark):
     lex(docs)
     sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()
     assert sum(r.n for r in sizes) >= 60 << 20 and max(r.n for r in sizes) <= 16 << 20
+
+
+def joins(df):
+    return re.findall(r"(\w*Join) \[(\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_parsed_entries_are_not_broadcast(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("o_orderkey"), (F.col("id") * 150 % 1000).alias("o_custkey"), F.lit("LOW").alias("o_orderpriority"), F.lit(1.5).alias("o_totalprice"), F.timestamp_seconds(F.col("id")).alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(2000).select(F.col("id").alias("event_id"), (F.col("id") % 3 * 50).alias("user_id"), F.lit("view").alias("event_type"), F.timestamp_seconds(F.col("id") * 40 + 1704067200).alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(1000).select(F.col("id").alias("c_custkey"), (F.col("id") % 3).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("N"), "id").alias("n_name"), F.lit(0).alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1).select(F.lit(0).alias("r_regionkey"), F.lit("R").alias("r_name")).write.parquet(f"{tmp_path}/region.parquet")
+    near, nations = Q.entries_near_events(spark, str(tmp_path)), Q.entries_by_nation(spark, str(tmp_path))
+    assert joins(near) == [("SortMergeJoin", "user_id")]
+    assert ("SortMergeJoin", "o_custkey") in joins(nations)
+    duck = duckdb.connect()
+    duck.execute("set timezone = 'UTC'")
+    for name in ("orders", "events", "customer", "nation", "region"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for got, name in ((near, "entries_near_events"), (nations, "entries_by_nation")):
+        want = sorted(duck.execute(Q.ORACLE_SQL[name]).fetchall())
+        assert want and sorted(map(tuple, got.collect())) == want
