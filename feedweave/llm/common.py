@@ -23,6 +23,8 @@ SLICE_BYTES = 4 << 20
 #: them, up to 2**FILTER_BITS (32 MB). A full one lets more rows through, and never
 #: loses one.
 FILTER_BITS = 28
+#: Words of a filter that a task puts together (2 MB).
+FILTER_BLOCK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -187,7 +189,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """A bitmap by the leading bits of 64-bit hashes."""
+    """A bitmap by the leading bits of 64-bit hashes.
+
+    It comes to the driver as blocks of bytes that tasks have put together, a part at a time: as rows of
+    words a full one would take many times its size there.
+    """
 
     def __init__(self, hashes: DataFrame, column: str):
         self.bits, n = 16, hashes.count()
@@ -195,9 +201,34 @@ class Filter:
             self.bits += 1
         place = f"shiftrightunsigned({column}, {64 - self.bits})"
         bit = F.expr(f"shiftleft(1L, cast({place} & 63 as int))")
-        words = hashes.groupBy(F.expr(f"shiftright({place}, 6)").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+        words = hashes.groupBy(F.expr(f"shiftright({place}, 6)").alias("w")).agg(F.bit_or(bit).alias("b"))
         self.words = np.zeros(1 << self.bits - 6, np.uint64)
-        self.words[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
+        size = min(FILTER_BLOCK, len(self.words))
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Words in order; a block's come one after the other, from one batch to the next too."""
+            block, body = -1, np.zeros(size, np.uint64)
+
+            def put_together():
+                return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([body.tobytes()])], names=["block", "body"])
+
+            for batch in batches:
+                at, bits = (batch.column(c).to_numpy() for c in ("w", "b"))
+                for k in np.unique(at // size).tolist():
+                    if k != block:
+                        if block >= 0:
+                            yield put_together()
+                        block, body = k, np.zeros(size, np.uint64)
+                    own = at // size == k
+                    body[at[own] % size] = bits[own].view(np.uint64)
+            if block >= 0:
+                yield put_together()
+
+        parts = max(1, len(self.words) // size)
+        dealt = words.repartitionById(parts, F.floor(F.col("w") / size).cast("int")) if parts > 1 else words.coalesce(1)
+        for row in dealt.sortWithinPartitions("w").mapInArrow(put, "block bigint, body binary").toLocalIterator():
+            at = row["block"] * size
+            self.words[at : at + size] = np.frombuffer(row["body"], np.uint64)
 
     def __contains__(self, h: int) -> bool:
         at = h >> 64 - self.bits

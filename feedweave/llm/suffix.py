@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,9 +106,8 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def segment_kinds(docs: DataFrame, least: int, anchors: Filter) -> DataFrame:
+def segment_kinds(docs: DataFrame, least: int, shared: Broadcast[Filter]) -> DataFrame:
     """Different segments by anchor and digest: their number, size and first occurrence."""
-    shared = docs.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches):
         seen: dict[tuple[int, bytes], list] = {}
@@ -209,7 +209,7 @@ def _folded(batches, least: int) -> Iterator[list[list]]:
     yield chunk + group
 
 
-def repeated_segments(docs: DataFrame, least: int, anchors: Filter) -> DataFrame:
+def repeated_segments(docs: DataFrame, least: int, anchors: Broadcast[Filter]) -> DataFrame:
     """``digest``, ``low``, ``high``, ``owner``, ``origin``: of the segment with that digest
     the bytes from ``low`` to ``high`` occur again; the first time in the document of
     rank ``owner``, where the segment would start at ``origin``.
@@ -223,13 +223,13 @@ def repeated_segments(docs: DataFrame, least: int, anchors: Filter) -> DataFrame
     spots = Filter(several, "tag")
     bar = max(LEAST_HOT, several.count() // HOT)
     hot = {r["key"] for r in by_key.where(F.col("kinds") > bar).select("key").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((anchors, spots, hot))
+    shared = docs.sparkSession.sparkContext.broadcast((spots, hot))
 
     def sender(batches):
-        anchors, spots, hot = shared.value
+        spots, hot = shared.value
         for batch in slices(batches, "_text"):
             out = []
-            for _, _, k, c, a, body, digest, first in segments(batch, least, anchors):
+            for _, _, k, c, a, body, digest, first in segments(batch, least, anchors.value):
                 if tag(digest, first) in spots:
                     out += [(k, j, digest, at, body[at : at + n - 1 + least]) for j, at, n in pieces(c, a, k in hot)]
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
@@ -326,8 +326,7 @@ def spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: in
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     keyed = keyed.withColumn("_hash", F.xxhash64("_text")).withColumn("_rank", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
     long = keyed.where(F.octet_length("_text") >= least)
-    anchors = Filter(repeated_anchors(long, least), "key")
-    shared = docs.sparkSession.sparkContext.broadcast(anchors)
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(repeated_anchors(long, least), "key"))
 
     def places(batches):
         for batch in slices(batches, "_text"):
@@ -336,7 +335,7 @@ def spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: in
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_rank", "_hash")), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], names=["_rank", "_hash", "place", "digest"])
 
     where = long.select("_rank", "_hash", "_text").mapInArrow(places, "_rank bigint, _hash bigint, place bigint, digest binary")
-    repeats = repeated_segments(long, least, anchors).groupBy("digest").agg(F.collect_list(F.struct("low", "high", "owner", "origin")).alias("x"))
+    repeats = repeated_segments(long, least, shared).groupBy("digest").agg(F.collect_list(F.struct("low", "high", "owner", "origin")).alias("x"))
     met = spread_join(where, repeats, "digest", "inner", F.col("place"))
     found = met.select("_rank", "_hash", "place", F.explode("x").alias("x"))
     if keep_first:
