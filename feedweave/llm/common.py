@@ -61,9 +61,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, **options: str) -> DataFrame:
     """Like :func:`cut`, but as Parquet, whose size the planner then knows."""
-    return Scratch(df.sparkSession).table(df)
+    return Scratch(df.sparkSession).table(df, **options)
 
 
 class Scratch:
@@ -72,9 +72,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, **options: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/feedweave-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         self.paths.append(path)
         return self.spark.read.parquet(path)
 

@@ -26,6 +26,10 @@ LONGEST = 4
 _PIECES = bytes(c + 32 if 65 <= c <= 90 else 46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Words, or keys, that a task holds before it sends what it has counted, and rows that it sends at once.
 MOST_WORDS, MOST_KEYS, SENT = 1 << 18, 1 << 20, 1 << 16
+#: Words of a block of encoded text, and words that are counted at once. Parquet's writer and reader hold many rows,
+#: so rows are short, and row groups of the encoded text are small and looked at row by row.
+BLOCK, AT_ONCE = 1 << 13, 1 << 19
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16", "parquet.enable.dictionary": "false"}
 #: Odd multipliers that mix the words behind the first into a key's leading number.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 UND = "und"
@@ -138,6 +142,7 @@ def packed(columns: list[np.ndarray]) -> pa.Array:
 def encoded(docs: DataFrame, words: Filter, seed: int, text: str = "text", lang: str = "lang") -> DataFrame:
     """Blocks of text as ``ids``, eight bytes a word; 0 stands between pieces and for words that are not frequent.
 
+    A block has :data:`BLOCK` words, in ``own``, and those after them that a phrase of its last words may hold.
     ``words`` may hold more than the frequent ones, which costs time and is made good by the counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -162,9 +167,29 @@ def encoded(docs: DataFrame, words: Filter, seed: int, text: str = "text", lang:
             kept = np.array(found, np.uint64)
             # one break is as good as many
             kept = kept[(kept != 0) | np.r_[True, kept[:-1] != 0]]
-            yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary())], names=["ids"])
-
-    return _rows(docs, text, lang).mapInArrow(run, "ids binary")
+            starts = range(0, len(kept), BLOCK)
+            blocks = [kept[a : a + BLOCK + LONGEST - 1].tobytes() for a in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array([min(BLOCK, len(kept) - a) for a in starts], pa.int32())], names=["ids", "own"])
+
+    return _rows(docs, text, lang).mapInArrow(run, "ids binary, own int")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks together, about :data:`AT_ONCE` words at a time, with a break between them, and which words are a block's own."""
+    parts: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for body, own in zip(batch.column("ids").to_pylist(), batch.column("own").to_pylist()):
+            ids = np.frombuffer(body, np.uint64)
+            parts += [ids, np.zeros(1, np.uint64)]
+            marks.append(np.arange(len(ids) + 1) < own)
+            size += len(ids)
+            if size >= AT_ONCE:
+                yield np.concatenate(parts), np.concatenate(marks)
+                parts, marks, size = [], [], 0
+    if parts:
+        yield np.concatenate(parts), np.concatenate(marks)
 
 
 def phrases(blocks: DataFrame, size: int, least: int, parts: Filter | None) -> DataFrame:
@@ -186,27 +211,25 @@ def phrases(blocks: DataFrame, size: int, least: int, parts: Filter | None) -> D
                 part = [k[at : at + SENT] for k in keys]
                 yield pa.RecordBatch.from_arrays([packed(part), pa.array(n[at : at + SENT])], names=["key", "n"])
 
-        for batch in batches:
-            for body in batch.column("ids").to_pylist():
-                ids = np.frombuffer(body, np.uint64)
-                there = ids != 0
-                # where a phrase may begin: frequent words only, then frequent parts only
-                fits = there[: max(0, len(ids) - size + 1)].copy()
-                for k in range(1, size):
-                    fits &= there[k : k + len(fits)]
-                at = np.flatnonzero(fits)
-                if shorter is not None and len(at):
-                    part = np.zeros(len(ids), bool)
-                    begins = np.union1d(at, at + 1)
-                    part[begins[shorter.hits(leading([ids[begins + k] for k in range(size - 1)]))]] = True
-                    at = at[part[at] & part[at + 1]]
-                if len(at):
-                    columns = [ids[at + k] for k in range(size)]
-                    held.append(runs([leading(columns), *columns[1:]]))
-                    room += len(held[-1][1])
-                if room > MOST_KEYS:
-                    yield from flush()
-                    room = 0
+        for ids, own in gathered(batches):
+            there = ids != 0
+            # where a phrase may begin: frequent words only, then frequent parts only
+            fits = (there & own)[: max(0, len(ids) - size + 1)]
+            for k in range(1, size):
+                fits &= there[k : k + len(fits)]
+            at = np.flatnonzero(fits)
+            if shorter is not None and len(at):
+                part = np.zeros(len(ids), bool)
+                begins = np.union1d(at, at + 1)
+                part[begins[shorter.hits(leading([ids[begins + k] for k in range(size - 1)]))]] = True
+                at = at[part[at] & part[at + 1]]
+            if len(at):
+                columns = [ids[at + k] for k in range(size)]
+                held.append(runs([leading(columns), *columns[1:]]))
+                room += len(held[-1][1])
+            if room > MOST_KEYS:
+                yield from flush()
+                room = 0
         if held:
             yield from flush()
 
@@ -250,7 +273,7 @@ def phrases(blocks: DataFrame, size: int, least: int, parts: Filter | None) -> D
 def counted(docs: DataFrame, least: int, text: str = "text", lang: str = "lang", seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All frequent phrases ``(ids, n)`` of one to :data:`LONGEST` words, the dictionary, and the languages' totals."""
     words, totals, seed = dictionary(docs, least, text, lang, seed)
-    blocks, shorter = table(encoded(docs, Filter(words, "id"), seed, text, lang)), None
+    blocks, shorter = table(encoded(docs, Filter(words, "id"), seed, text, lang), **SMALL_GROUPS), None
     found = words.select(F.array("id").alias("ids"), "n")
     for size in range(2, LONGEST + 1):
         level = table(phrases(blocks, size, least, shorter))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedweave.llm import phrases
 from feedweave.llm.phrases import collocations, leading, radix_order, runs, words_of
@@ -101,3 +102,15 @@ def test_radix_order_and_runs(size):
 def test_words_and_empty_tables(spark):
     assert words_of("A b\tC.d;\x0be f\r\n É".encode()) == [b"a", b"b", b"c", b".", b"d", b".", b".", b"e", b"f", b".", b".", "É".encode()]
     assert found(spark, []) == []
+
+
+def test_encoded_text_is_in_short_rows_that_lose_no_phrase(spark):
+    words = [f"w{i * i % 97 + i // 5000}" for i in range(30_000)]
+    docs = spark.createDataFrame([(" ".join(words), "en")], "text string, lang string")
+    found, known, _ = phrases.counted(docs, 30)
+    spell = {r.id: r.word.decode() for r in known.collect()}
+    got = {tuple(spell[i] for i in r.ids): r.n for r in found.collect()}
+    want = Counter(tuple(words[i : i + k]) for k in range(1, 5) for i in range(len(words) - k + 1))
+    assert got == {w: n for w, n in want.items() if n >= 30} and len(got) > 300
+    blocks = phrases.encoded(docs, phrases.Filter(known, "id"), 42)
+    assert blocks.agg(F.max(F.octet_length("ids"))).first()[0] <= 1 << 17
