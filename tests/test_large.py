@@ -86,9 +86,15 @@ def test_documents_in_another_order_at_each_reading(spark):
         for batch in batches:
             yield batch.take(pa.array(random.sample(range(batch.num_rows), batch.num_rows), pa.int64()))
 
-    bodies = [feed("rss", 20 + 7 * i, i, 0) for i in range(12)] + [feed("rss", 40, 20, 0.5)] * 3 + ["<rss><channel><item/>" + "<a b='" + "x" * 3000] * 2
-    docs = spark.createDataFrame([(i % 14, bytearray(b.encode())) for i, b in enumerate(bodies)], "_k int, content binary").coalesce(1)
+    bodies = [feed("rss", 20 + 7 * i, i, 0) for i in range(12)] + [feed("rss", 40, 20, 0.5)] * 3 + [feed("rss", 40, 21, 0).replace("<summary>", "<!-- </item><item>x</item> --><summary>")] * 2 + ["<rss><channel><item/>" + "<a b='" + "x" * 3000] * 2
+    docs = spark.createDataFrame([(i % 15, bytearray(b.encode())) for i, b in enumerate(bodies)], "_k int, content binary").coalesce(1)
     docs = docs.mapInArrow(shuffled, docs.schema)
     rows = lambda piece: sorted(map(str, parse_entries(docs, entry_fields=FIELDS, piece=piece).collect()))
     want = rows(None)
     assert len(want) > 700 and all(rows(900) == want for _ in range(3))
+
+
+def test_a_document_is_cut_behind_entries(spark):
+    body = feed("rss", 300, 13, 0).replace("<summary>", "<description><![CDATA[<item>no</item> &]]></description><!-- <item> --><summary>").encode()
+    _, _, texts = P.cut(body, Options(), 3000)
+    assert len(texts) > 10 and all(P.end_state(t, P.TEXT) == P.TEXT and t.startswith("<item><title>") for t in texts)
